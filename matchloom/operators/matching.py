@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.ranking import dense_index, running_total
+from matchloom.operators.ranking import dense_index, first_rows, running_total
 from matchloom.session import broadcast_if_small, cut_lineage
 
 HASH_DIGITS = 15
@@ -207,3 +207,56 @@ def stratum_sizes(people: DataFrame, keys: list[str], case: str = "case") -> Dat
         F.sum(F.when(F.col(case) == 1, 1).otherwise(0)).alias("num_cases"),
         F.sum(F.when(F.col(case) == 1, 0).otherwise(1)).alias("num_others"),
     ).withColumn("has_case", (F.col("num_cases") > 0).cast("int"))
+
+
+# Primes above any cell size, used as strides through a cell.
+STRIDES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+
+
+def sample_overlapping(
+    people: DataFrame, rules: MatchRules, start: str, end: str, k: int = 10, seed: int = 42
+) -> DataFrame:
+    """As ``sample_controls``, and the windows of case and control must overlap.
+
+    The follow-up test bounds a prefix of the cell as before. Each case walks
+    it in its own pseudo-random order, a growing chunk per round, until ``k``
+    controls overlap or none is left; settled cases leave the rounds. So the
+    number of people looked at follows k over the overlapping share, not the
+    cell size. Gives ``case_id, control_id, control_rank``.
+    """
+    numbered = _numbered(people, rules)
+    windows = people.select(F.col(rules.person).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    controls = cut_lineage(
+        numbered.where(F.col("_probe") == 0)
+        .join(windows, "_id")
+        .select(*rules.cell, "_number", F.col("_id").alias("control_id"), F.col("_from").alias("_c_from"), F.col("_to").alias("_c_to"))
+    )
+    first = hash_number(F.lit(seed), F.lit("first"), F.col("_id"))
+    stride = F.get(F.array(*[F.lit(s) for s in STRIDES]), F.pmod(hash_number(F.lit(seed), F.lit("stride"), F.col("_id")), F.lit(len(STRIDES))).cast("int"))
+    n = F.col("n_eligible")
+    waiting = cut_lineage(
+        _case_ranges(numbered, rules)
+        .where(n > 0)
+        .join(windows, "_id")
+        .withColumn("_first", F.pmod(first, n))
+        .withColumn("_stride", F.pmod(stride.cast("long"), n))
+    )
+    seen, chunk, found = 0, 2 * k, None
+    while True:
+        steps = F.explode(F.sequence(F.lit(seen).cast("long"), F.least(F.lit(seen + chunk).cast("long"), n) - 1))
+        visits = waiting.withColumn("_step", steps).withColumn(
+            "_drawn", 1 + F.pmod(F.col("_first") + F.col("_stride") * F.col("_step"), n)
+        )
+        visits = visits.withColumn("_number", F.col("_drawn") + F.when(F.col("_drawn") >= F.col("_self"), 1).otherwise(0))
+        hits = (
+            visits.join(controls, [*rules.cell, "_number"])
+            .where((F.col("_c_from") <= F.col("_to")) & (F.col("_c_to") >= F.col("_from")))
+            .select(F.col("_id").alias("case_id"), "control_id", F.col("_step"))
+        )
+        kept = hits if found is None else found.select("case_id", "control_id", "_step").unionByName(hits)
+        found = cut_lineage(first_rows(kept, ["case_id"], ["_step"], k, rank="control_rank"))
+        seen, chunk = seen + chunk, chunk * 2
+        full = found.groupBy(F.col("case_id").alias("_id")).count().where(F.col("count") >= k)
+        waiting = cut_lineage(waiting.where(n > seen).join(full, "_id", "left_anti"))
+        if waiting.isEmpty():
+            return found.drop("_step")
