@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from matchloom.functions.codes import clean_code_of, differs, prefix_rule
 from matchloom.operators.joins import drop_codes
 from matchloom.operators.ranking import first_rows
-from matchloom.session import broadcast_if_small
+from matchloom.session import broadcast_if_small, local_table
 
 CODELIST_SCHEMA = "name string, terminology string, code string, term string"
 
 
 def literal_codelist(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """Code list from rows ``(name, terminology, code, term)``, all text."""
-    return spark.createDataFrame([tuple(r) for r in rows], CODELIST_SCHEMA)
+    return local_table(spark, [tuple(r) for r in rows], CODELIST_SCHEMA)
 
 
 def code_labels(records: DataFrame, code: str, label: str) -> DataFrame:

@@ -8,16 +8,21 @@ p + p*p sums per copy reach the driver, which solves the p-by-p system.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.vectors import sum_vectors
+from matchloom.session import local_table
+
+# The task functions travel with the job, so executors need numpy and pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMAL_975 = 1.96
 HOT_SET_ROWS = 10_000
@@ -240,7 +245,7 @@ def fit_conditional_logistic(
             out += [(i, t, float(b), float(e)) for t, b, e in zip(terms, beta[i] / scale, error)]
     finally:
         prepared.unpersist()
-    table = df.sparkSession.createDataFrame(out, "imp int, term string, estimate double, std_error double")
+    table = local_table(df.sparkSession, out, "imp int, term string, estimate double, std_error double")
     return ConditionalFit(
         table if copy else table.drop("imp"),
         {i: float(now[i][0]) for i in sorted(copies)},

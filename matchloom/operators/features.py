@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.dates import lookback_window
 from matchloom.functions.values import RECENCY_DAYS, in_range
 from matchloom.operators.asof import nearest_event, one_per_day
-from matchloom.session import broadcast_if_small
+from matchloom.session import broadcast_if_small, local_table
 
 RULES = ("latest", "flag", "span")
 
@@ -56,14 +56,15 @@ class Feature:
 
 def _feature_map(features: Sequence[Feature], codes: DataFrame, sources: Sequence[str]) -> DataFrame:
     spark = codes.sparkSession
+    number = lambda x: None if x is None else float(x)
     rows = [
-        (s, f.codelist, f.name, i, sources.index(s), f.low, f.high, f.below)
-        for i, f in enumerate(features)
+        (s, f.codelist, f.name, sources.index(s), number(f.low), number(f.high), number(f.below))
+        for f in features
         for s in f.sources
     ]
-    spec = spark.createDataFrame(
+    spec = local_table(spark, 
         rows,
-        "source string, codelist string, feature string, feature_no int, priority int, low double, high double, below double",
+        "source string, codelist string, feature string, priority int, low double, high double, below double",
     )
     listed = codes.select(F.col("name").alias("codelist"), "code").distinct()
     return listed.join(F.broadcast(spec), "codelist").drop("codelist")
@@ -249,7 +250,7 @@ def persistent_low(
     **columns: str,
 ) -> DataFrame:
     """Flag members with two readings under ``below`` at least ``min_days`` apart."""
-    codes = readings.sparkSession.createDataFrame([(out, "reading")], "name string, code string")
+    codes = local_table(readings.sparkSession, [(out, "reading")], "name string, code string")
     rule = Feature(out, out, ("readings",), "span", months, below=below, min_days=min_days)
     return feature_table(base, {"readings": readings.withColumn("code", F.lit("reading"))}, codes, [rule], **columns)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from matchloom.operators.matching import hash_number
 from matchloom.operators.ranking import running_total
 from matchloom.operators.vectors import sum_vectors
-from matchloom.session import cut_lineage
+from matchloom.session import cut_lineage, local_table
 
 DONORS = 5
 RIDGE = 1e-5
@@ -148,7 +148,7 @@ def _matched_values(
         rows.append((imp, fit.tolist(), draw.tolist()))
     # one row of 2p numbers per copy
     coefficients = F.broadcast(
-        state.sparkSession.createDataFrame(rows, "imp int, _fit array<double>, _draw array<double>")
+        local_table(state.sparkSession, rows, "imp int, _fit array<double>, _draw array<double>")
     )
     chosen = F.when(missing, F.col("_draw")).otherwise(F.col("_fit"))
     prediction = sum((c * F.get(F.col("_b"), F.lit(i)) for i, c in enumerate(design)), F.lit(0.0))
@@ -212,7 +212,7 @@ def impute_chained(
             values = _matched_values(state, plan, key, t, seed, cycle, donors)
             state = cut_lineage(_filled(state, values, key, t))
         log += _trace_rows(state, plan, cycle)
-    trace = df.sparkSession.createDataFrame(
+    trace = local_table(df.sparkSession, 
         log, "cycle int, imp int, variable string, n_imputed long, mean double, sd double"
     )
     completed = state.drop(*[f"_missing_{t}" for t in targets])

@@ -27,6 +27,7 @@ from matchloom.plans.roles import (
     prescriptions,
     table,
 )
+from matchloom.session import local_table
 
 # -- cohort ------------------------------------------------------------------
 
@@ -46,7 +47,7 @@ SELECT person_id, date, code, 'hospital' AS source, window_start, window_end FRO
   FROM observed o JOIN hospital h ON h.person_id = o.person_id
   WHERE h.code = '1-URGENT' AND h.date BETWEEN o.window_start AND o.window_end) WHERE rn = 1""")
 def first_event_after_start(spark, sf):
-    codes = spark.createDataFrame([("outcome", "1-URGENT")], "name string, code string")
+    codes = local_table(spark, [("outcome", "1-URGENT")], "name string, code string")
     windows = observed(spark, sf).select("person_id", "window_start", "window_end")
     return H.first_event_in_window(windows, {"hospital": (hospital(spark, sf), codes)}, first_in_window=True)
 
@@ -62,7 +63,7 @@ def recode_map(spark, sf):
 
 
 def flagged_people(spark, sf) -> DataFrame:
-    codes = spark.createDataFrame([("early", "5-LOW")], "name string, code string")
+    codes = local_table(spark, [("early", "5-LOW")], "name string, code string")
     known = H.event_before_entry(
         people(spark, sf).withColumn("cut_date", F.add_months("entry_date", 6)),
         {"hospital": (hospital(spark, sf), codes)}, "birth_date", "cut_date", "low_before_cut",
@@ -200,8 +201,8 @@ BRAND_CODES = (("urgent", "Brand#4"), ("minor", "Brand#5"), ("minor", "Brand#6")
 
 
 def match_sources(spark, sf):
-    priorities = spark.createDataFrame(list(MATCH_CODES), "name string, code string")
-    brands = spark.createDataFrame(list(BRAND_CODES), "name string, code string")
+    priorities = local_table(spark, list(MATCH_CODES), "name string, code string")
+    brands = local_table(spark, list(BRAND_CODES), "name string, code string")
     drugs = prescriptions(spark, sf).select("person_id", "date", "code")
     return {"hospital": (hospital(spark, sf), priorities, 1), "pharmacy": (drugs, brands, 2)}
 

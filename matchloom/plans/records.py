@@ -23,6 +23,7 @@ from matchloom.plans.roles import (
     table,
 )
 from matchloom.sources import snapshots as S
+from matchloom.session import local_table
 
 # -- snapshots: the order year is the batch --------------------------------
 
@@ -56,7 +57,7 @@ def _archives(spark, sf):
 
 def _registry(spark, sf):
     rows = [(0, "orders", "o_orderkey"), (1, "lineitem", "l_orderkey")]
-    registry = spark.createDataFrame(rows, "index int, dataset string, id string")
+    registry = local_table(spark, rows, "index int, dataset string, id string")
     return S.snapshot_registry(registry, _archives(spark, sf), 2000)
 
 
@@ -198,7 +199,7 @@ def codelist_build(spark, sf):
     raw = table(spark, sf, "part").select(raw_code().alias("code")).where(V.not_blank("code")).distinct()
     parts = raw.select(F.lit("parts").alias("name"), F.lit("ICD10").alias("terminology"), "code")
     brands = L.prefix_codelist(brand_labels(spark, sf), "brands", "BRAND", ["Brand#"])
-    dropped = spark.createDataFrame([("Brand#7",), ("M010",)], "code string")
+    dropped = local_table(spark, [("Brand#7",), ("M010",)], "code string")
     return L.build_codelist([parts, brands], excluded=dropped).select("name", "terminology", "code", "term")
 
 
@@ -232,14 +233,14 @@ def prefix_problems(spark, sf):
 @query("code_semi_join", f"""
 WITH {HOSPITAL_SQL} SELECT person_id, date, code FROM hospital WHERE code IN ('1-URGENT', '3-MEDIUM')""")
 def code_semi_join(spark, sf):
-    codes = spark.createDataFrame([("1-URGENT",), ("3-MEDIUM",), ("9-NONE",)], "code string")
+    codes = local_table(spark, [("1-URGENT",), ("3-MEDIUM",), ("9-NONE",)], "code string")
     return J.keep_codes(hospital(spark, sf), codes).select("person_id", "date", "code")
 
 
 @query("code_exclusion", f"""
 WITH {PRESCRIPTIONS_SQL} SELECT person_id, date, code, value FROM prescriptions WHERE code NOT IN ('Brand#3', 'Brand#14')""")
 def code_exclusion(spark, sf):
-    codes = spark.createDataFrame([("Brand#3",), ("Brand#14",)], "code string")
+    codes = local_table(spark, [("Brand#3",), ("Brand#14",)], "code string")
     return J.drop_codes(prescriptions(spark, sf), codes).select("person_id", "date", "code", "value")
 
 
@@ -257,7 +258,7 @@ WITH {PRESCRIPTIONS_SQL}
 SELECT p.person_id, p.date, p.code, p.value, c.unit FROM prescriptions p
 JOIN (VALUES ('Brand#2', 'mg'), ('Brand#5', 'ml')) c(code, unit) ON c.code = p.code""")
 def values_by_code(spark, sf):
-    codes = spark.createDataFrame([("Brand#2", "mg"), ("Brand#5", "ml")], "code string, unit string")
+    codes = local_table(spark, [("Brand#2", "mg"), ("Brand#5", "ml")], "code string, unit string")
     return J.values_by_code(prescriptions(spark, sf), codes).select("person_id", "date", "code", "value", "unit")
 
 

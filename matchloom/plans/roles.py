@@ -6,6 +6,8 @@ items for dated coded records, quantities for measurements.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,21 @@ from matchloom.functions.dates import observation_end, observation_start, within
 from matchloom.functions.values import flag
 from matchloom.operators.cohort import first_event_in_window
 from matchloom.sources.tables import read_table
+from matchloom.session import local_table
 
 STUDY_START = "1998-01-01"
 STUDY_END = "1998-12-31"
 OUTCOME_CODES = ("1-URGENT",)
 
 
+@lru_cache(maxsize=256)
+def _opened(application: str, path: str) -> DataFrame:
+    """Opened once per session: reading a file's schema costs a job."""
+    return read_table(SparkSession.active(), path)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet")
+    return _opened(spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +103,7 @@ prescriptions AS (
 
 
 def outcome_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("outcome", "PRIORITY", c) for c in OUTCOME_CODES], "name string, terminology string, code string")
+    return local_table(spark, [("outcome", "PRIORITY", c) for c in OUTCOME_CODES], "name string, terminology string, code string")
 
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -29,9 +34,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    Parquet rather than ``checkpoint()``: later readers prune columns, and the
+    optimizer knows the size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/matchloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A few driver rows as a local relation, whose size the optimizer knows."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    data = [pa.array(list(c), type=t) for c, t in zip(columns, arrow.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), fields)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
