@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.vectors import sum_vectors
-from matchloom.session import local_table
+from matchloom.session import cut_lineage, local_table
 
 # The task functions travel with the job, so executors need numpy and pandas only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -163,13 +163,13 @@ def fit_conditional_logistic(
     p = len(terms)
     x = [f"_x{i}" for i in range(p)]
     member = F.col(f"`{set_column}`").cast("string")
-    rows = df.select(
+    rows = cut_lineage(df.select(
         (F.col(copy) if copy else F.lit(0)).cast("int").alias("imp"),
         member.alias("member_set"),
         F.col(case).cast("int").alias("case"),
         *[F.col(f"`{t}`").cast("double").alias(a) for t, a in zip(terms, x)],
         F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_spread"),
-    ).na.drop(subset=["imp", "member_set", "case", *x])
+    ).na.drop(subset=["imp", "member_set", "case", *x]))
     sizes = rows.groupBy("imp", "member_set").agg(F.count(F.lit(1)).alias("_n"), F.sum("case").alias("_cases"))
     good = (F.col("_cases") == 1) & (F.col("_n") > 1)
     facts = sizes.agg(

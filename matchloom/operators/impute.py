@@ -114,12 +114,9 @@ def _draw(products: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, n
     return beta, beta + sigma * (root @ rng.standard_normal(len(beta)))
 
 
-def _start_values(df: DataFrame, key: str, target: str, copies: Sequence[int], seed: int) -> DataFrame:
+def _start_values(df: DataFrame, key: str, target: str, n: int, copies: Sequence[int], seed: int) -> DataFrame:
     """A random observed value for every missing cell of every copy: ``imp, key, value``."""
     observed = running_total(df.where(F.col(target).isNotNull()).select(key, target), [key], out="_number")
-    n = df.where(F.col(target).isNotNull()).count()
-    if n == 0:
-        raise ValueError(f"{target} has no observed value to impute from")
     numbers = F.explode(F.array(*[F.lit(int(i)) for i in copies]))
     missing = df.where(F.col(target).isNull()).select(key, numbers.alias("imp"))
     drawn = F.pmod(hash_number(F.lit(seed), F.lit("start"), F.lit(target), F.col("imp"), F.col(key)), F.lit(n)) + 1
@@ -160,8 +157,8 @@ def _matched_values(
             F.when(~missing, F.col(target)).alias("_value"),
         )
     )
-    numbered = running_total(
-        scored, ["_score", "_wanting", "_id"], ["imp"], weight=1 - F.col("_wanting"), out="_number"
+    numbered = cut_lineage(
+        running_total(scored, ["_score", "_wanting", "_id"], ["imp"], weight=1 - F.col("_wanting"), out="_number")
     )
     near = F.explode(F.sequence(F.col("_number") - (donors - 1), F.col("_number") + donors))
     wanting = numbered.where(F.col("_wanting") == 1).select("imp", "_id", F.col("_score").alias("_target"), near.alias("_number"))
@@ -195,16 +192,20 @@ def impute_chained(
     written to the checkpoint folder after each variable.
     """
     copies = [int(c) for c in copies]
-    original = df.select(key, *plan.predictors, *plan.targets)
     targets = list(plan.targets)
-    for name in plan.predictors:
-        if original.where(F.col(name).isNull()).limit(1).count():
-            raise ValueError(f"predictor {name} has nulls; make it a target or leave it out")
+    original = cut_lineage(df.select(key, *plan.predictors, *targets))
+    filled = original.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in (*plan.predictors, *targets)]).first()
+    gaps = [c for c in plan.predictors if filled[c] < filled["_rows"]]
+    if gaps:
+        raise ValueError(f"predictors with nulls: {gaps}; make them targets or leave them out")
+    empty = [t for t in targets if not filled[t]]
+    if empty:
+        raise ValueError(f"no observed value to impute from: {empty}")
     flagged = original.withColumns({f"_missing_{t}": F.col(t).isNull() for t in targets})
     numbers = F.explode(F.array(*[F.lit(c) for c in copies])).alias("imp")
     state = flagged.select(numbers, "*")
     for t in targets:
-        state = _filled(state, _start_values(original, key, t, copies, seed), key, t)
+        state = _filled(state, _start_values(original, key, t, filled[t], copies, seed), key, t)
     state = cut_lineage(state)
     log = []
     for cycle in range(1, cycles + 1):

@@ -49,14 +49,14 @@ def validated_merge(
     validate: str = "m:m",
     assert_results: Sequence[str] = ("both", "left_only", "right_only"),
     indicator: str | None = None,
-    how: str = "outer",
 ) -> DataFrame:
     """Join that checks key uniqueness and match states before it returns.
 
     ``validate`` is ``1:1``, ``1:m``, ``m:1`` or ``m:m``; ``assert_results``
     lists the match states that may occur. Both checks are one aggregation over
     per-key counts, not over the joined rows, and raise ``MergeError``.
-    ``indicator`` names a column for the match state.
+    ``indicator`` names a column for the match state. Right-only rows come from
+    an anti join: unlike a full join, both parts can be split on a hot key.
     """
     if validate not in ("1:1", "1:m", "m:1", "m:m"):
         raise ValueError(f"unknown validate {validate!r}")
@@ -79,10 +79,9 @@ def validated_merge(
     unexpected = {s: seen[s] for s in ("both", "left_only", "right_only") if s not in assert_results and seen[s]}
     if unexpected:
         raise MergeError(f"unexpected match states {unexpected}, allowed {list(assert_results)}")
-    merged = left.withColumn("_in_left", F.lit(True)).join(right.withColumn("_in_right", F.lit(True)), on, how)
-    if indicator:
-        merged = merged.withColumn(
-            indicator,
-            F.when(F.col("_in_left").isNull(), "right_only").when(F.col("_in_right").isNull(), "left_only").otherwise("both"),
-        )
-    return merged.drop("_in_left", "_in_right")
+    state = F.when(F.col("_in_right").isNull(), "left_only").otherwise("both")
+    merged = left.join(right.withColumn("_in_right", F.lit(True)), on, "left").withColumn("_state", state).drop("_in_right")
+    if seen["right_only"]:
+        rest = right.join(left.select(*on).distinct(), on, "left_anti").withColumn("_state", F.lit("right_only"))
+        merged = merged.unionByName(rest, allowMissingColumns=True)
+    return merged.withColumnRenamed("_state", indicator) if indicator else merged.drop("_state")

@@ -49,21 +49,26 @@ def hash_number(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
-def _complete(people: DataFrame, rules: MatchRules) -> DataFrame:
-    needed = [*rules.exact, rules.at_least, rules.person, *([rules.near] if rules.near else [])]
-    test = F.lit(True)
-    for column in needed:
-        test = test & F.col(column).isNotNull()
-    return people.where(test)
+def _kept(people: DataFrame, rules: MatchRules, *extra: str) -> DataFrame:
+    """The columns that matching reads, written out once.
+
+    The table of people is usually the end of a long pipeline, and the steps
+    below read it several times.
+    """
+    near = [rules.near] if rules.near else []
+    wanted = dict.fromkeys([rules.person, rules.case, *rules.exact, *near, rules.at_least, *extra])
+    return cut_lineage(people.select(*wanted))
 
 
 def _numbered(people: DataFrame, rules: MatchRules) -> DataFrame:
     """Controls with their number in the cell, and cases with their eligible count.
 
     Both are one running count over (follow-up descending, controls first): a
-    control adds 1, the probe of a case adds 0 and reads the count so far.
+    control adds 1, the probe of a case adds 0 and reads the count so far. The
+    result is narrow, and written out because it is read as three tables.
     """
-    usable = _complete(people, rules)
+    needed = [rules.person, *rules.exact, rules.at_least, *([rules.near] if rules.near else [])]
+    usable = people.na.drop(subset=needed)
     is_case = F.coalesce(F.col(rules.case) == 1, F.lit(False))
     level = (-F.col(rules.at_least)).alias("_level")
     near = [F.col(rules.near).alias("_near")] if rules.near else []
@@ -79,7 +84,7 @@ def _numbered(people: DataFrame, rules: MatchRules) -> DataFrame:
         own = is_case
     controls = pool.select(*rules.cell, level, F.lit(0).alias("_probe"), F.col(rules.person).alias("_id"), own.alias("_own"))
     occupied = broadcast_if_small(probes.select(*rules.cell).distinct())
-    merged = cut_lineage(controls.join(occupied, rules.cell, "left_semi").unionByName(probes))
+    merged = controls.join(occupied, rules.cell, "left_semi").unionByName(probes)
     return cut_lineage(
         running_total(merged, ["_level", "_probe", "_id"], rules.cell, weight=1 - F.col("_probe"), out="_number")
     )
@@ -99,6 +104,7 @@ def _case_ranges(numbered: DataFrame, rules: MatchRules) -> DataFrame:
 
 def eligible_counts(people: DataFrame, rules: MatchRules) -> DataFrame:
     """Number of eligible controls of every case, 0 for cases without any."""
+    people = _kept(people, rules)
     counted = _case_ranges(_numbered(people, rules), rules).select(F.col("_id").alias(rules.person), "n_eligible")
     cases = people.where(F.col(rules.case) == 1).select(rules.person)
     return cases.join(counted, rules.person, "left").na.fill(0, ["n_eligible"])
@@ -129,7 +135,7 @@ def sample_controls(people: DataFrame, rules: MatchRules, k: int = 10, seed: int
     A control is used once per case and may serve several cases. The sample
     depends on seed and data only, not on the partitioning.
     """
-    return _draw_controls(_numbered(people, rules), rules, k, seed)
+    return _draw_controls(_numbered(_kept(people, rules), rules), rules, k, seed)
 
 
 def _draw_controls(numbered: DataFrame, rules: MatchRules, k: int, seed: int) -> DataFrame:
@@ -167,6 +173,7 @@ def matched_sets(
     Controls get ``case = 0`` and the index date of their case, whatever they
     are elsewhere. ``set`` numbers the matched cases in order of their id.
     """
+    people = _kept(people, rules, index_date, *[c for c in (source, code) if c])
     numbered = _numbered(people, rules)
     pairs = _draw_controls(numbered, rules, k, seed)
     matched = _case_ranges(numbered, rules).where(F.col("n_eligible") > 0).select(F.col("_id").alias(rules.person))
@@ -224,6 +231,7 @@ def sample_overlapping(
     number of people looked at follows k over the overlapping share, not the
     cell size. Gives ``case_id, control_id, control_rank``.
     """
+    people = _kept(people, rules, start, end)
     numbered = _numbered(people, rules)
     windows = people.select(F.col(rules.person).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to"))
     controls = cut_lineage(

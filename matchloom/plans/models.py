@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,12 @@ from matchloom.functions import values as V
 from matchloom.operators import assembly as A
 from matchloom.operators import condlogit as CL
 from matchloom.operators import impute as I
+from matchloom.operators.compare import stack_results
 from matchloom.plans.cohorts import matched
 from matchloom.plans.features import analysis
 from matchloom.plans.registry import query
 from matchloom.plans.roles import people, table
+from matchloom.session import ensure_checkpoint_dir
 from matchloom.sources import batches as B
 from matchloom.sources import codelist_files as CF
 from matchloom.sources import tables as T
@@ -23,15 +25,28 @@ from matchloom.sources import tables as T
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    from matchloom.session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(spark)
-    local = root.removeprefix("file:")
-    if local.startswith("/") and "://" not in root:
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
-    return f"{root}/{name}-{next(tempfile._get_candidate_names())}"
-
+    """A new folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("save_versioned", """
+SELECT 'old' AS version, count(*) AS n, min(o_orderkey) AS low FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'new', count(*), min(o_orderkey) FROM orders WHERE o_orderpriority = '2-HIGH'""")
+def save_versioned(spark, sf):
+    orders, place, name = table(spark, sf, "orders"), _scratch(spark, "saved"), f"Saved_{uuid.uuid4().hex}"
+    T.save_table(orders.where("o_orderpriority = '1-URGENT'"), name, location=place)
+    kept = T.save_table(orders.where("o_orderpriority = '2-HIGH'"), name, location=place)
+    versions = [("old", spark.table(kept)), ("new", spark.table(name))]
+    return stack_results([
+        ({"version": v}, df.agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"))) for v, df in versions
+    ])
+
+
+@query("checkpoint_table", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def checkpoint_table(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    stored = T.checkpoint_table(orders, f"stored_{uuid.uuid4().hex}", _scratch(spark, "stored"))
+    return stored.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("export_csv", """

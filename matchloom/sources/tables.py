@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,28 +22,39 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return normalise_names(source)
 
 
-def save_table(df: DataFrame, name: str, save_previous: bool = True, partition_by: tuple[str, ...] = ()) -> str | None:
+def _writer(df: DataFrame, name: str, location: str | None, partition_by: Sequence[str] = ()):
+    writer = df.write.mode("overwrite").option("overwriteSchema", "true")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    return writer.option("path", f"{location}/{name}") if location else writer
+
+
+def save_table(
+    df: DataFrame,
+    name: str,
+    save_previous: bool = True,
+    partition_by: Sequence[str] = (),
+    location: str | None = None,
+) -> str | None:
     """Overwrite a table, schema included, keeping the version it replaces.
 
     The old version is copied to ``<name>_pre<timestamp>``; that name is
-    returned, or None when there was nothing to keep.
+    returned, or None when there was nothing to keep. ``location`` puts the
+    files into a folder outside the warehouse.
     """
     spark, name = df.sparkSession, name.lower()
     kept = None
     if save_previous and spark.catalog.tableExists(name):
         kept = f"{name}_pre{datetime.now():%Y%m%d_%H%M%S}"
-        spark.table(name).write.mode("overwrite").saveAsTable(kept)
-    writer = df.write.mode("overwrite").option("overwriteSchema", "true")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
+        _writer(spark.table(name), kept, location).saveAsTable(kept)
+    _writer(df, name, location, partition_by).saveAsTable(name)
     return kept
 
 
-def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
+def checkpoint_table(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
     """Write a table and return it re-read, so later steps start from storage."""
     spark, name = df.sparkSession, name.lower()
-    df.write.mode("overwrite").saveAsTable(name)
+    _writer(df, name, location).saveAsTable(name)
     spark.catalog.refreshTable(name)
     return spark.table(name)
 
