@@ -178,10 +178,10 @@ def fit_conditional_logistic(
         F.max("_cases").alias("cases"),
         F.max(F.when(good, F.col("_n"))).alias("largest"),
     ).first()
+    if (facts["cases"] or 0) > 1:
+        raise ModelError("a set has more than one case")
     if not facts["used"]:
         raise ModelError("no set has both its case and a control")
-    if facts["cases"] > 1:
-        raise ModelError("a set has more than one case")
     hot = F.col("_n") > hot_set_rows
     prepared = (
         rows.join(sizes.where(good), ["imp", "member_set"])
