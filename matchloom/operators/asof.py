@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,33 +29,40 @@ def nearest_event(
     at: str,
     date: str,
     payload: Sequence[str] = (),
-    forward: bool = False,
+    forward: Column | bool = False,
 ) -> DataFrame:
     """Add to each probe the last event on or before ``at``, by key.
 
-    With ``forward`` it is the first event on or after ``at``. Probes and
-    events are merged in date order and the last event seen is carried along:
-    the work is linear in both, where a join would multiply them per key.
+    Where ``forward`` holds it is the first event on or after ``at``. Probes
+    and events are merged in date order and the neighbouring event is carried
+    to the probe, one shuffle and one sort for both directions: the work is
+    linear in both inputs, where a join would multiply them per key.
     """
     by = list(by)
+    ahead = forward if isinstance(forward, Column) else F.lit(forward)
     event = F.struct(F.col(date), *[F.col(c) for c in payload])
     probe_columns = [c for c in probes.columns if c not in by]
-    merged = probes.select(*by, F.col(at).alias("_at"), F.struct(*probe_columns).alias("_probe")).unionByName(
-        events.select(*by, F.col(date).alias("_at"), event.alias("_event")), allowMissingColumns=True
-    )
-    is_probe = F.col("_probe").isNotNull()
-    sequence = F.col("_at").desc() if forward else F.col("_at").asc()
-    window = (
-        Window.partitionBy(*by).orderBy(sequence, is_probe).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # on one day: forward probes, then events, then backward probes
+    merged = probes.select(
+        *by, F.col(at).alias("_at"), F.when(ahead, 0).otherwise(2).alias("_turn"), F.struct(*probe_columns).alias("_probe")
+    ).unionByName(
+        events.select(*by, F.col(date).alias("_at"), F.lit(1).alias("_turn"), event.alias("_event")), allowMissingColumns=True
     )
+    keys = ", ".join(f"`{c}`" for c in by)
+    order = f"OVER (PARTITION BY {keys} ORDER BY _at, _turn"
+    before = F.expr(f"last(_event) IGNORE NULLS {order} ROWS UNBOUNDED PRECEDING)")
+    after = F.expr(f"lead(_event, 1) IGNORE NULLS {order})")
+    one_way = not isinstance(forward, Column)
+    found = (after if forward else before) if one_way else F.when(F.col("_turn") == 0, F.col("_after")).otherwise(F.col("_before"))
+    seen = merged if one_way else merged.withColumn("_before", before).withColumn("_after", after)
     return (
-        merged.withColumn("_event", F.last("_event", ignorenulls=True).over(window))
-        .where(is_probe)
+        seen.withColumn("_found", found)
+        .where(F.col("_turn") != 1)
         .select(
             *by,
             *[F.col(f"_probe.{c}").alias(c) for c in probe_columns],
-            F.col(f"_event.{date}").alias(date),
-            *[F.col(f"_event.{c}").alias(c) for c in payload],
+            F.col(f"_found.{date}").alias(date),
+            *[F.col(f"_found.{c}").alias(c) for c in payload],
         )
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.dates import lookback_window
 from matchloom.functions.values import RECENCY_DAYS, in_range
 from matchloom.operators.asof import nearest_event, one_per_day
-from matchloom.session import broadcast_if_small, local_table
+from matchloom.session import broadcast_if_small, fits, local_table
 
 RULES = ("latest", "flag", "span")
 
@@ -71,13 +71,20 @@ def _feature_map(features: Sequence[Feature], codes: DataFrame, sources: Sequenc
 
 
 def feature_events(
-    records: Mapping[str, DataFrame], codes: DataFrame, features: Sequence[Feature], person: str = "person_id"
+    records: Mapping[str, DataFrame],
+    codes: DataFrame,
+    features: Sequence[Feature],
+    person: str = "person_id",
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """``person, feature, date, value``: one row per day, matched and in range.
 
     ``records`` maps a source label to ``(person, date, code, value)``; the
     order of the mapping settles ties on a day, then code, then value.
+    ``wanted`` limits the people: before anything is shuffled when their ids
+    are few enough to broadcast, else after the reduction to days.
     """
+    early = wanted is not None and fits(wanted)
     labels = list(records)
     mapping = broadcast_if_small(_feature_map(features, codes, labels))
     parts = []
@@ -96,17 +103,30 @@ def feature_events(
         & (F.col("below").isNull() | (F.col("value") < F.col("below")))
     )
     needs_value = [f.name for f in features if f.rule == "latest"]
+    if early:
+        valid = valid.join(F.broadcast(wanted), person, "left_semi")
     if needs_value:
         valid = valid.where(F.col("value").isNotNull() | ~F.col("feature").isin(needs_value))
-    return one_per_day(valid, [person, "feature"], "date", ["value"], ["priority", "code", "value"])
+    daily = one_per_day(valid, [person, "feature"], "date", ["value"], ["priority", "code", "value"])
+    return daily if early or wanted is None else daily.join(wanted, person, "left_semi")
 
 
 def _probes(base: DataFrame, features: Sequence[Feature], person: str, index_date: str, birth_date: str) -> DataFrame:
-    """Distinct (person, index date) with a window per feature."""
+    """Distinct (person, index date) with a window per feature.
+
+    Each window is looked up backwards from its end; for a span also forwards
+    from its start.
+    """
     rows = []
     for f in features:
         start, end = f.window(index_date, birth_date)
-        rows.append(F.struct(F.lit(f.name).alias("feature"), start.alias("_start"), end.alias("_end")))
+        for ahead in (False, True) if f.rule == "span" else (False,):
+            rows.append(
+                F.struct(
+                    F.lit(f.name).alias("feature"), start.alias("_start"), end.alias("_end"),
+                    F.lit(ahead).alias("_ahead"), (start if ahead else end).alias("_look"),
+                )
+            )
     return (
         base.groupBy(person, index_date)
         .agg(F.min(birth_date).alias(birth_date))
@@ -132,21 +152,11 @@ def feature_table(
     for f in features:
         if f.rule not in RULES:
             raise ValueError(f"unknown rule {f.rule!r}")
-    wanted = base.select(person).distinct()
-    events = feature_events(records, codes, features, person).join(wanted, person, "left_semi")
+    events = feature_events(records, codes, features, person, base.select(person).distinct())
     probes = _probes(base, features, person, index_date, birth_date)
-    found = nearest_event(probes, events, [person, "feature"], "_end", "date", ["value"])
-    found = found.where(F.col("date") >= F.col("_start"))
-    spans = [f.name for f in features if f.rule == "span"]
-    if spans:
-        of_span = F.col("feature").isin(spans)
-        earliest = nearest_event(
-            probes.where(of_span), events.where(of_span), [person, "feature"], "_start", "date", forward=True
-        ).where(F.col("date") <= F.col("_end"))
-        keep = [person, "feature", index_date, "date"]
-        found = found.select(*keep, "value").unionByName(
-            earliest.select(*keep), allowMissingColumns=True
-        )
+    ahead = F.col("_ahead") if any(f.rule == "span" for f in features) else False
+    found = nearest_event(probes, events, [person, "feature"], "_look", "date", ["value"], ahead)
+    found = found.where(F.col("date").between(F.col("_start"), F.col("_end")))
     columns = []
     for f in features:
         mine = F.col("feature") == f.name

@@ -53,16 +53,19 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Data
     return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), fields)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size is within ``max_bytes``.
-
-    Rows and text bytes are counted in one aggregation; anything larger is
-    returned unhinted, and the join stays a shuffle join that adaptive
-    execution can split on skewed keys.
-    """
+def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df``, text counted by length, stay within ``max_bytes``."""
     width = sum(
         (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns),
         F.lit(16),
     )
-    total = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the measured size is within ``max_bytes``.
+
+    Anything larger is returned unhinted, and the join stays a shuffle join
+    that adaptive execution can split on skewed keys.
+    """
+    return F.broadcast(df) if fits(df, max_bytes) else df
