@@ -54,17 +54,26 @@ class Feature:
         return start, end
 
 
-def _feature_map(features: Sequence[Feature], codes: DataFrame, sources: Sequence[str]) -> DataFrame:
-    spark = codes.sparkSession
+def _stream(f: Feature) -> tuple:
+    """What decides which records a feature sees; features that agree share them."""
+    return (f.codelist, f.sources, f.low, f.high, f.below, f.rule == "latest")
+
+
+def _streams(features: Sequence[Feature]) -> dict[tuple, int]:
+    return {key: i for i, key in enumerate(dict.fromkeys(_stream(f) for f in features))}
+
+
+def _stream_map(features: Sequence[Feature], codes: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """``code, source, stream, priority`` and the value bounds, for every stream."""
     number = lambda x: None if x is None else float(x)
     rows = [
-        (s, f.codelist, f.name, sources.index(s), number(f.low), number(f.high), number(f.below))
-        for f in features
-        for s in f.sources
+        (s, codelist, i, sources.index(s), number(low), number(high), number(below), needs_value)
+        for (codelist, from_sources, low, high, below, needs_value), i in _streams(features).items()
+        for s in from_sources
     ]
-    spec = local_table(spark, 
-        rows,
-        "source string, codelist string, feature string, priority int, low double, high double, below double",
+    spec = local_table(
+        codes.sparkSession, rows,
+        "source string, codelist string, stream int, priority int, low double, high double, below double, needs_value boolean",
     )
     listed = codes.select(F.col("name").alias("codelist"), "code").distinct()
     return listed.join(F.broadcast(spec), "codelist").drop("codelist")
@@ -77,7 +86,9 @@ def feature_events(
     person: str = "person_id",
     wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """``person, feature, date, value``: one row per day, matched and in range.
+    """``person, stream, date, value``: one row per day, matched and in range.
+
+    A stream serves all features with the same codes, sources and value range.
 
     ``records`` maps a source label to ``(person, date, code, value)``; the
     order of the mapping settles ties on a day, then code, then value.
@@ -86,7 +97,7 @@ def feature_events(
     """
     early = wanted is not None and fits(wanted)
     labels = list(records)
-    mapping = broadcast_if_small(_feature_map(features, codes, labels))
+    mapping = broadcast_if_small(_stream_map(features, codes, labels))
     parts = []
     for label, df in records.items():
         value = F.col("value").cast("double") if "value" in df.columns else F.lit(None).cast("double")
@@ -101,13 +112,11 @@ def feature_events(
         & (F.col("low").isNull() | (F.col("value") >= F.col("low")))
         & (F.col("high").isNull() | (F.col("value") <= F.col("high")))
         & (F.col("below").isNull() | (F.col("value") < F.col("below")))
+        & (F.col("value").isNotNull() | ~F.col("needs_value"))
     )
-    needs_value = [f.name for f in features if f.rule == "latest"]
     if early:
         valid = valid.join(F.broadcast(wanted), person, "left_semi")
-    if needs_value:
-        valid = valid.where(F.col("value").isNotNull() | ~F.col("feature").isin(needs_value))
-    daily = one_per_day(valid, [person, "feature"], "date", ["value"], ["priority", "code", "value"])
+    daily = one_per_day(valid, [person, "stream"], "date", ["value"], ["priority", "code", "value"])
     return daily if early or wanted is None else daily.join(wanted, person, "left_semi")
 
 
@@ -117,13 +126,13 @@ def _probes(base: DataFrame, features: Sequence[Feature], person: str, index_dat
     Each window is looked up backwards from its end; for a span also forwards
     from its start.
     """
-    rows = []
+    rows, streams = [], _streams(features)
     for f in features:
         start, end = f.window(index_date, birth_date)
         for ahead in (False, True) if f.rule == "span" else (False,):
             rows.append(
                 F.struct(
-                    F.lit(f.name).alias("feature"), start.alias("_start"), end.alias("_end"),
+                    F.lit(streams[_stream(f)]).alias("stream"), F.lit(f.name).alias("feature"), start.alias("_start"), end.alias("_end"),
                     F.lit(ahead).alias("_ahead"), (start if ahead else end).alias("_look"),
                 )
             )
@@ -155,7 +164,7 @@ def feature_table(
     events = feature_events(records, codes, features, person, base.select(person).distinct())
     probes = _probes(base, features, person, index_date, birth_date)
     ahead = F.col("_ahead") if any(f.rule == "span" for f in features) else False
-    found = nearest_event(probes, events, [person, "feature"], "_look", "date", ["value"], ahead)
+    found = nearest_event(probes, events, [person, "stream"], "_look", "date", ["value"], ahead)
     found = found.where(F.col("date").between(F.col("_start"), F.col("_end")))
     columns = []
     for f in features:
