@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.session import cut_lineage
+
 SAMPLES_PER_SPLIT = 8
 
 
@@ -45,7 +47,7 @@ def running_total(
     everything. Here split points are sampled from the data as (group, order)
     tuples, so a group gets slices in proportion to its size, ties included.
     Each slice is summed alone and shifted by the totals of the slices before
-    it in its group.
+    it in its group. The sliced rows are written out, as they are read twice.
     """
     group, order = list(group), list(order)
     if splits is None:
@@ -58,7 +60,7 @@ def running_total(
         .agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
         .select(F.filter("_keys", lambda _, i: i % SAMPLES_PER_SPLIT == SAMPLES_PER_SPLIT - 1))
     )
-    sliced = (
+    sliced = cut_lineage(
         df.withColumn("_weight", F.lit(1) if weight is None else weight)
         .withColumn("_points", sampled.scalar())
         .withColumn("_slice", F.size(F.filter("_points", lambda point: point < key)))
