@@ -1,9 +1,9 @@
 """Look-back features: one column per specification and matched-set member.
 
-The reference computes each feature by filtering, joining and ranking the same
-large tables again. Here all features come from one pass: records are matched
-to the code lists (broadcast when small), reduced to one row per person,
-feature and day, and met by the look-back windows in date order.
+All features come from one pass over the large tables, not one filter, join and
+ranking each: records are matched to the code lists (broadcast when small),
+reduced to one row per person, code group and day, and met by the look-back
+windows in date order.
 """
 
 from __future__ import annotations
