@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from matchloom.plans.catalogue import ORACLES, QUERIES
 
 FOLDER = os.environ.get("MATCHLOOM_TEST_DIR", "/root/testdata/sf0.001")
 MODEL_FOLDER = os.environ.get("MATCHLOOM_MODEL_DIR", "/root/testdata/sf0.01")
@@ -34,14 +35,14 @@ def plain(value):
     return (3, str(value))
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, twin, name):
     # the smallest tables hold too few matched sets for a model
     folder = MODEL_FOLDER if name.startswith("cond_logit") else FOLDER
-    df = entry_point.queries()[name](spark, folder)
+    df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    sql = entry_point.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert got
         return
