@@ -41,7 +41,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/matchloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``cut_lineage``, once nothing reads them any more.
+
+    A loop calls it on the state of a round after the next round is written.
+    """
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
