@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import quality
+from matchloom.llm import quality, simhash
 from matchloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,9 @@ def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
     )
+
+
+@query
+def op2_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read(spark, folder, "documents"))
