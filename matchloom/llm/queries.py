@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import quality, simhash
+from matchloom.llm import packing, quality, simhash
 from matchloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,14 @@ def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op9_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of power-of-two length of every document, each a sequence without padding."""
+    import public_tokenizers
+
+    pieces = packing.decompose(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.with_digest(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
