@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import packing, quality, simhash
+from matchloom.llm import langid, packing, quality, simhash
 from matchloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,18 @@ def op9_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.with_digest(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of the labelled ones."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    return langid.identify(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.accepted").alias("accepted"),
+    )
