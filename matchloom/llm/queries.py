@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, packing, quality, simhash
+from matchloom.llm import langid, lines, packing, quality, simhash
 from matchloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,17 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
         F.col("language.score").alias("score"),
         F.col("language.accepted").alias("accepted"),
     )
+
+
+@query
+def op3_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that nearly repeat an earlier one, and what was dropped."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id",
+        F.col("dropped.n_lines").alias("n_lines"),
+        F.size("dropped.lines").cast("long").alias("n_dropped"),
+        F.col("dropped.lines").alias("dropped_lines"),
+        F.col("dropped.kept_ids").alias("kept_doc_ids"),
+        "text",
+    )
