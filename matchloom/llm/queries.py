@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, lines, packing, quality, simhash
+from matchloom.llm import langid, lines, packing, quality, simhash, token_files
 from matchloom.llm.common import read
+from matchloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +77,13 @@ def op3_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("dropped.kept_ids").alias("kept_doc_ids"),
         "text",
     )
+
+
+@query
+def op8_elias_fano_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, read back: place, length and checksum of each."""
+    import public_tokenizers
+
+    place = f"{ensure_checkpoint_dir(spark)}/matchloom/tokens-{uuid.uuid4().hex}"
+    manifest = token_files.write_tokens(read(spark, folder, "documents"), place, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
