@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, lines, packing, quality, simhash, token_files
+from matchloom.llm import langid, lines, packing, permutation, quality, simhash, token_files
 from matchloom.llm.common import read
 from matchloom.session import ensure_checkpoint_dir
 
@@ -87,3 +87,10 @@ def op8_elias_fano_tokens(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{ensure_checkpoint_dir(spark)}/matchloom/tokens-{uuid.uuid4().hex}"
     manifest = token_files.write_tokens(read(spark, folder, "documents"), place, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector, by inner product."""
+    index = permutation.build_index(read(spark, folder, "embeddings"))
+    return permutation.search(index, index.where(F.col("id") % 20 == 0))
