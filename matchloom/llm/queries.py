@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, lines, packing, permutation, quality, simhash, token_files
+from matchloom.llm import langid, lines, packing, permutation, quality, simhash, threads, token_files
 from matchloom.llm.common import read
 from matchloom.session import ensure_checkpoint_dir
 
@@ -94,3 +94,54 @@ def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector, by inner product."""
     index = permutation.build_index(read(spark, folder, "embeddings"))
     return permutation.search(index, index.where(F.col("id") % 20 == 0))
+
+
+@query
+def op10_quotation_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages without quotations, in reply order, as chat markup."""
+    ordered = threads.reply_order(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return threads.as_chat(ordered).select("conv_id", "turn", "role", "text", "chat", "reply.*")
+
+
+ORACLES["op10_quotation_threads"] = r"""
+WITH RECURSIVE cut AS (
+    SELECT conv_id, turn, role, text, row_number() OVER () AS uid, string_split(text, chr(10)) AS parts FROM conversations
+), lines AS (
+    SELECT uid, conv_id, turn, i, parts[i] AS line, regexp_extract(parts[i], '^((?:[ \t]*>)+)', 1) AS signs
+    FROM cut, unnest(range(1, len(parts) + 1)) AS r(i)
+), parsed AS (
+    SELECT *, length(signs) - length(replace(signs, '>', '')) AS level,
+        lower(trim(regexp_replace(substr(line, length(signs) + 1), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS said
+    FROM lines
+), own AS (
+    SELECT uid, count(*) FILTER (level > 0) AS n_quoted,
+        trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), chr(10)) AS rest
+    FROM parsed GROUP BY uid
+), origins AS (
+    SELECT conv_id, said, min(turn) AS origin FROM parsed WHERE level = 0 AND said <> '' GROUP BY ALL
+), votes AS (
+    SELECT conv_id, turn, level, origin, count(*) AS n FROM parsed JOIN origins USING (conv_id, said)
+    WHERE level > 0 AND origin < turn GROUP BY ALL
+), parents AS (
+    SELECT conv_id, turn, sum(n)::BIGINT AS n_linked, arg_max(origin, (-level, n, origin)) AS parent FROM votes GROUP BY ALL
+), chains AS (
+    SELECT conv_id, turn, turn AS up, 0::BIGINT AS depth FROM parents
+    UNION ALL
+    SELECT c.conv_id, c.turn, p.parent, c.depth + 1 FROM chains c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.up
+), roots AS (
+    SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM chains GROUP BY ALL
+), placed AS (
+    SELECT c.conv_id, c.turn, c.role, c.uid, CASE WHEN o.n_quoted > 0 THEN o.rest ELSE c.text END AS text,
+        p.parent AS reply_to, coalesce(r.thread, c.turn) AS thread, coalesce(r.depth, 0) AS depth,
+        coalesce(o.n_quoted, 0) AS n_quoted, coalesce(p.n_linked, 0) AS n_linked
+    FROM cut c LEFT JOIN own o USING (uid) LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn
+    LEFT JOIN roots r ON r.conv_id = c.conv_id AND r.turn = c.turn
+)
+SELECT conv_id, turn, role, text,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS chat,
+    reply_to, thread, depth,
+    CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL
+        THEN row_number() OVER (PARTITION BY conv_id ORDER BY thread, depth, turn, uid) END AS position,
+    n_quoted, n_linked
+FROM placed
+"""
