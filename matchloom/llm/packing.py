@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from matchloom.llm.common import column
-from matchloom.llm.tokenization import ChunkEncoder
+from matchloom.llm.tokenization import encoder as encoder_of
 
 LENGTH, END_ID = 2048, 1
 #: Bytes of ids handed on at a time.
@@ -66,7 +66,7 @@ def decompose(
     ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = ChunkEncoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, number = encoder_of(tokenizer), TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             held, size = ([], [], [], [], [], []), 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import column
-from matchloom.llm.tokenization import ChunkEncoder
+from matchloom.llm.tokenization import encoder as encoder_of
 from matchloom.session import cut_lineage
 
 MAGIC, END_ID = b"MLTOKEN1", 0
@@ -202,7 +202,7 @@ def write_tokens(
         for batch in batches:
             for number, value in zip(batch.column(0), batch.column(1)):
                 if writer is None:
-                    encoder = ChunkEncoder(tokenizer)
+                    encoder = encoder_of(tokenizer)
                     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     writer = ShardWriter(path, width)
                 content = value.as_py()

@@ -9,18 +9,34 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
-import numpy as np
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("token ids are kept as native little-endian 32-bit numbers")
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: What keeps a text from being cut at each single space and line end.
-_UNEVEN = re.compile(f"[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|[ \\n][ \\n]|^[ \\n]|[ \\n]$")
+_ODD = tuple("\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 #: Characters that libraries may or may not count as white space: such texts are encoded in one go.
-_DOUBTFUL = re.compile("[\\x1c-\\x1f]")
-#: Chunks kept by a task, the longest chunk kept, and characters of a text cut at a time.
-KEPT, LONGEST, PART = 300_000, 64, 1 << 20
+_DOUBTFUL = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Chunks kept by a worker (some 200 bytes each), and characters of a text cut at a time.
+KEPT, PART = 1_000_000, 1 << 20
+
+
+def _whole(key: str) -> str:
+    """The chunk of a key: itself after a carriage return or with its line end, else with a space before it."""
+    return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
+
+
+@lru_cache(4)
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this process for a tokenizer file, with the chunks met so far."""
+    return ChunkEncoder(path)
 
 
 class ChunkEncoder:
@@ -33,34 +49,33 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _ids(self, keys: list[str]) -> bytes:
-        """Ids of chunks. A key is a chunk without its single space; after a carriage return, as it is."""
-        known = self.known
+        """Ids of chunks. Those not met lately are encoded together."""
         try:
-            return b"".join(map(known.__getitem__, keys))
+            return b"".join(map(self.known.__getitem__, keys))
         except KeyError:
             pass
-        new = list(set(keys).difference(known))
-        found = dict(zip(new, self._encode([k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in new])))
-        if len(known) + len(found) > KEPT:
-            known.clear()
-        known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        return b"".join([found[k] if k in found else known[k] if k in known else self._again(k, found) for k in keys])
-
-    def _again(self, key: str, found: dict[str, bytes]) -> bytes:
-        found[key] = self._encode([key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key])[0]
-        return found[key]
+        missing = set(keys).difference(self.known)
+        again = missing & self.aged.keys()
+        new = list(missing - again)
+        self.known.update((k, self.aged[k]) for k in again)
+        self.known.update(zip(new, self._encode(list(map(_whole, new)))))
+        ids = b"".join(map(self.known.__getitem__, keys))
+        if len(self.known) > KEPT // 2:
+            self.known, self.aged = {}, self.known
+        return ids
 
     def parts(self, text: str) -> Iterable[bytes]:
         """The ids of a text, some at a time for a long one."""
-        if _DOUBTFUL.search(text):
+        if any(c in text for c in _DOUBTFUL):
             yield self._encode([text])[0]
-        elif not _UNEVEN.search(text):
+        elif not (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD + _PAIRS)):
             at = 0
             while text:
                 end = text.find(" ", at + PART)

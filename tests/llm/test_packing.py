@@ -35,7 +35,7 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
 def test_small_limits_change_nothing(monkeypatch):
     rng = random.Random(1)
     text = " ".join(rng.choice(["alpha", "beta.\nGamma", "x" * 90, "d'être", "12345"]) + str(rng.randrange(50)) for _ in range(800))
-    monkeypatch.setattr(tokenization, "KEPT", 20)
+    monkeypatch.setattr(tokenization, "KEPT", 40)
     monkeypatch.setattr(tokenization, "PART", 64)
     for path in LIBRARIES:
         for value in (text, text.replace(" x", "  x")):
