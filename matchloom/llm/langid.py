@@ -113,17 +113,27 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=-1, keepdims=True)
 
 
-def fit(bags: list[np.ndarray], labels: list[str]) -> Model:
-    """Train on rows (counts, language); every fifth row of a language calibrates.
+Bag = tuple[np.ndarray, np.ndarray]
 
-    Rows must come in a fixed order. Few languages or rows are no error: without
+
+def dense(bags: list[Bag]) -> np.ndarray:
+    """Shares of the n-grams of some texts, a row each."""
+    out = np.zeros((len(bags), BUCKETS), np.float32)
+    for row, (places, counts) in zip(out, bags):
+        row[places] = counts / counts.sum()
+    return out
+
+
+def fit(bags: list[Bag], labels: list[str]) -> Model:
+    """Train on rows ((places, counts), language); every fifth row of a language calibrates.
+
+    Rows stay sparse but for the batch at hand, and must come in a fixed order. Few languages or rows are no error: without
     any the model knows nothing, with one it predicts that one.
     """
     languages = tuple(sorted(set(labels)))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in labels])
-    x = np.stack([b / b.sum() for b in bags]).astype(np.float32)
     nth = np.zeros(len(y), dtype=int)
     for k in range(len(languages)):
         nth[y == k] = np.arange((y == k).sum())
@@ -136,17 +146,19 @@ def fit(bags: list[np.ndarray], labels: list[str]) -> Model:
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(rows), -(-len(rows) // BATCH)):
             rate = RATE * (1 - step / steps)
-            hidden = x[part] @ embedding
+            x = dense([bags[i] for i in part])
+            hidden = x @ embedding
             error = softmax(hidden @ output + bias)
             error[np.arange(len(part)), y[part]] -= 1
             error /= len(part)
             back = error @ output.T
             output -= rate * hidden.T @ error
             bias -= 0.05 * rate * error.sum(axis=0)
-            embedding -= rate * x[part].T @ back
+            embedding -= rate * x.T @ back
             step += 1
     table = embedding @ output
-    logits = x[held] @ table + bias
+    shares = [bags[i][1] / bags[i][1].sum() @ table[bags[i][0]] for i in np.flatnonzero(held)]
+    logits = np.array(shares, dtype=np.float64).reshape(len(shares), len(languages)) + bias
     temperature, least = calibrate(logits, y[held])
     return Model(languages, table, bias, temperature, least)
 
@@ -212,11 +224,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
         .toPandas()
         .sort_values(["draw", "label"], kind="stable")
     )
-    bags = []
-    for places, counts in zip(rows["places"], rows["counts"]):
-        full = np.zeros(BUCKETS)
-        full[np.asarray(places, dtype=int)] = counts
-        bags.append(full)
+    bags = [(np.asarray(p), np.asarray(c, np.float32)) for p, c in zip(rows["places"], rows["counts"])]
     return fit(bags, list(rows["label"]))
 
 
