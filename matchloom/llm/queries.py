@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, lines, packing, permutation, quality, simhash, threads, token_files, warc
+from matchloom.llm import langid, lines, packing, permutation, pieces, quality, simhash, threads, token_files, warc
 from matchloom.llm.common import read
 from matchloom.session import ensure_checkpoint_dir
 
@@ -196,3 +196,19 @@ SELECT page_id, canonical, refers_to, CASE WHEN tag = stored THEN 'resolved' ELS
     CASE WHEN tag = stored THEN stored END AS payload_md5
 FROM dated
 """
+
+
+@query
+def op7_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded on the lattice: number and checksum of its ids, and whether they decode to the text."""
+    import public_tokenizers
+
+    table = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(read(spark, folder, "documents").select("doc_id", "text"), table)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
+    return pieces.decode(encoded, "ids", table).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        (F.col("decoded") == text).alias("round_trip"),
+    )
