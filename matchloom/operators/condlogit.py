@@ -9,6 +9,7 @@ p + p*p sums per copy reach the driver, which solves the p-by-p system.
 from __future__ import annotations
 
 import sys
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -168,7 +169,7 @@ def fit_conditional_logistic(
         member.alias("member_set"),
         F.col(case).cast("int").alias("case"),
         *[F.col(f"`{t}`").cast("double").alias(a) for t, a in zip(terms, x)],
-        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_spread"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_spread"),
     ).na.drop(subset=["imp", "member_set", "case", *x]))
     sizes = rows.groupBy("imp", "member_set").agg(F.count(F.lit(1)).alias("_n"), F.sum("case").alias("_cases"))
     good = (F.col("_cases") == 1) & (F.col("_n") > 1)
@@ -219,6 +220,7 @@ def fit_conditional_logistic(
         now = evaluate(beta)
         for steps in range(1, max_steps + 1):
             move = {i: _solve(now[i], p, terms) for i in copies}
+            change = max(np.abs(move[i]).max() for i in copies)
             trial = {i: beta[i] + move[i] for i in copies}
             after = evaluate(trial)
             for _ in range(20):
@@ -229,8 +231,9 @@ def fit_conditional_logistic(
                     move[i] = move[i] / 2
                     trial[i] = beta[i] + move[i]
                 after = evaluate(trial)
+            else:
+                raise ModelError("the likelihood does not improve along the Newton step")
             beta, now = trial, after
-            change = max(np.abs(move[i]).max() for i in copies)
             far = sorted({t for i in copies for t, b in zip(terms, beta[i]) if abs(b) > 30})
             if far:
                 raise ModelError(f"estimates run away, the cases may be separated by {far}")
@@ -266,13 +269,30 @@ def _solve(sums: np.ndarray, p: int, terms: Sequence[str]) -> np.ndarray:
     return np.linalg.solve(hessian, gradient)
 
 
-def pool_estimates(copies: DataFrame) -> DataFrame:
+def pool_estimates(copies: DataFrame, complete_df: float | None = None) -> DataFrame:
     """Rubin's rules over ``imp, term, estimate, std_error`` (Rubin 1987).
 
     The variance is the mean within-copy variance plus (1 + 1/m) times the
-    variance between copies; a single copy has no between part.
+    variance between copies; a single copy has no between part. ``statistic`` is
+    the estimate over its error, ``df`` its degrees of freedom (Barnard and Rubin
+    1999, with ``complete_df`` those of the complete data, else Rubin's of 1987;
+    null where they are infinite), ``p_value`` two-sided.
     """
-    m = F.col("n_copies")
+    m, within, between = F.col("n_copies"), F.col("within"), F.col("between")
+    extra = (1 + 1 / m) * between
+    share = extra / (within + extra)
+    old = F.when((between > 0) & (m > 1), (m - 1) / (share * share))
+    if complete_df is None:
+        free = old
+    else:
+        nu = F.lit(float(complete_df))
+        observed = (nu + 1) / (nu + 3) * nu * (1 - share)
+        free = F.when(old.isNull(), observed).otherwise(old * observed / (old + observed))
+
+    @F.pandas_udf("double")
+    def two_sided(statistic: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([_two_sided(t, d) for t, d in zip(statistic, df)], dtype=float)
+
     return (
         copies.groupBy("term")
         .agg(
@@ -281,11 +301,28 @@ def pool_estimates(copies: DataFrame) -> DataFrame:
             F.avg(F.col("std_error") * F.col("std_error")).alias("within"),
             F.coalesce(F.var_samp("estimate"), F.lit(0.0)).alias("between"),
         )
-        .withColumn("std_error", F.sqrt(F.col("within") + (1 + 1 / m) * F.col("between")))
-        .select("term", "estimate", "std_error", "within", "between", "n_copies")
+        .withColumn("std_error", F.sqrt(within + extra))
+        .withColumn("statistic", F.col("estimate") / F.col("std_error"))
+        .withColumn("df", free)
+        .withColumn("p_value", two_sided("statistic", "df"))
+        .select("term", "estimate", "std_error", "within", "between", "n_copies", "statistic", "df", "p_value")
     )
 
 
+def _two_sided(statistic: float, df: float) -> float:
+    """P value of Student's t, by the trapezoid rule on the bounded angle; normal without ``df``."""
+    if statistic is None or np.isnan(statistic):
+        return float("nan")
+    if df is None or np.isnan(df):
+        return math.erfc(abs(statistic) / math.sqrt(2))
+    # with t = sqrt(df) tan(a) the density is cos(a)^(df - 1)
+    angle = np.arctan(abs(statistic) / math.sqrt(df))
+    grid = np.linspace(0, np.pi / 2, 20_001)
+    total = np.trapezoid(np.exp((df - 1) * np.log(np.maximum(np.cos(grid), 1e-300))), grid)
+    tail = np.linspace(angle, np.pi / 2, 20_001)
+    return float(np.trapezoid(np.exp((df - 1) * np.log(np.maximum(np.cos(tail), 1e-300))), tail) / total)
+
+
 def odds_ratios(estimates: DataFrame) -> DataFrame:
     """Add the odds ratio and its 95 % interval."""
     b, half = F.col("estimate"), NORMAL_975 * F.col("std_error")

@@ -3,9 +3,10 @@
 Method: van Buuren and Groothuis-Oudshoorn, Journal of Statistical Software
 45(3), 2011. All copies move together as rows of one table. Per variable and
 cycle, tasks build the cross products of the design; the driver draws the
-coefficients (p numbers per copy); donors and recipients are numbered in order
-of their prediction by one running count per copy, so the nearest donors of a
-recipient are an equi-join on neighbouring numbers, whatever the ties.
+coefficients (p numbers per copy). Donors are numbered in order of prediction,
+and donors with one prediction are a range of numbers. A recipient meets the
+ranges nearest to its prediction, fills its five places from them, draws a place,
+and then a donor of that range at random, so tied donors are all as likely.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from matchloom.operators.matching import hash_number
 from matchloom.operators.ranking import running_total
 from matchloom.operators.vectors import sum_vectors
-from matchloom.session import cut_lineage, local_table
+from matchloom.session import cut_lineage, discard, local_table
 
 DONORS = 5
 RIDGE = 1e-5
@@ -153,27 +154,80 @@ def _matched_values(
         state.join(coefficients, "imp")
         .withColumn("_b", chosen)
         .select(
-            "imp", F.col(key).alias("_id"), F.round(prediction, 9).alias("_score"), missing.cast("int").alias("_wanting"),
+            "imp", F.col(key).alias("_id"), prediction.alias("_score"), missing.alias("_wanting"),
             F.when(~missing, F.col(target)).alias("_value"),
         )
     )
-    numbered = running_total(
-        scored, ["_score", "_wanting", "_id"], ["imp"], weight=1 - F.col("_wanting"), out="_number"
+    pool = cut_lineage(
+        running_total(scored.where(~F.col("_wanting")), ["_score", "_id"], ["imp"], out="_number").select(
+            "imp", "_number", "_score", "_value"
+        )
+    )
+    wanting = cut_lineage(scored.where("_wanting").select("imp", "_id", "_score"))
+    places = _donor_places(pool, wanting, donors)
+    draw = lambda *parts: hash_number(F.lit(seed), F.lit(cycle), F.lit(target), *parts, F.col("imp"), F.col("_id"))
+    place = F.pmod(draw(), F.least(F.lit(donors), F.col("_total")))
+    tie = F.filter("_ties", lambda t: t["upto"] > place)[0]
+    out = cut_lineage(
+        wanting.join(places, ["imp", "_score"])
+        .withColumn("_tie", tie)
+        .select("imp", "_id", (F.col("_tie.low") + F.pmod(draw(F.lit("tie")), F.col("_tie.n"))).alias("_number"))
+        .join(pool.drop("_score"), ["imp", "_number"])
+        .select("imp", F.col("_id").alias(key), "_value")
+    )
+    for spent in (pool, wanting, places):
+        discard(spent)
+    return out
+
+
+def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame:
+    """For each different prediction of recipients: the tied donors that fill its places, nearest first.
+
+    ``_ties`` holds at most ``2 * donors`` ranges as (low, n, upto), ``upto``
+    counting the donors of the ranges so far; ``_total`` counts all.
+    """
+    ties = pool.groupBy("imp", "_score").agg(F.min("_number").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    asked = wanting.select("imp", "_score").distinct()
+    none = F.lit(None).cast("long")
+    marks = ties.withColumn("_is_tie", F.lit(1)).unionByName(
+        asked.select("imp", "_score", none.alias("_low"), none.alias("_n"), F.lit(0).alias("_is_tie"))
+    )
+    ranked = cut_lineage(
+        running_total(marks, ["_score", "_is_tie"], ["imp"], weight=F.col("_is_tie"), out="_rank")
+    )
+    near = F.explode(F.sequence(F.col("_rank") - (donors - 1), F.col("_rank") + donors)).alias("_rank")
+    met = ranked.where("_is_tie = 0").select("imp", F.col("_score").alias("_target"), near).join(
+        ranked.where("_is_tie = 1").drop("_is_tie"), ["imp", "_rank"]
     )
-    near = F.explode(F.sequence(F.col("_number") - (donors - 1), F.col("_number") + donors))
-    wanting = numbered.where(F.col("_wanting") == 1).select("imp", "_id", F.col("_score").alias("_target"), near.alias("_number"))
-    pool = numbered.where(F.col("_wanting") == 0).select("imp", "_number", "_score", "_value")
     distance = F.abs(F.col("_score") - F.col("_target")).alias("d")
-    # at most 2 * donors candidates per recipient
-    nearest = (
-        wanting.join(pool, ["imp", "_number"])
-        .groupBy("imp", "_id")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct(distance, "_number", "_value"))), 1, donors).alias("_near"))
+    sorted_ties = F.array_sort(F.collect_list(F.struct(distance, "_rank", F.col("_low").alias("low"), F.col("_n").alias("n"))))
+    counted = F.transform(
+        "_near",
+        lambda t, i: F.struct(
+            t["low"].alias("low"), t["n"].alias("n"),
+            F.aggregate(F.slice("_near", F.lit(1), i + 1), F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("upto"),
+        ),
+    )
+    out = cut_lineage(
+        met.groupBy("imp", "_target").agg(sorted_ties.alias("_near")).select(
+            "imp", F.col("_target").alias("_score"), counted.alias("_ties"),
+            F.aggregate("_near", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("_total"),
+        )
     )
-    pick = F.pmod(
-        hash_number(F.lit(seed), F.lit(cycle), F.lit(target), F.col("imp"), F.col("_id")), F.size("_near")
-    ).cast("int")
-    return nearest.select("imp", F.col("_id").alias(key), F.get("_near", pick)["_value"].alias("_value"))
+    discard(ranked)
+    return out
+
+
+def impute_strata(df: DataFrame, key: str, plan: ImputationPlan, strata: str, **options) -> dict[object, Imputation]:
+    """``impute_chained`` for the rows of each value of ``strata`` apart, nulls left out.
+
+    A study has a few strata, each imputed from its own donors; more than fifty
+    values are refused.
+    """
+    values = [r[0] for r in df.select(strata).where(F.col(strata).isNotNull()).distinct().limit(51).collect()]
+    if len(values) > 50:
+        raise ValueError(f"{strata} has more than 50 values")
+    return {v: impute_chained(df.where(F.col(strata) == v), key, plan, **options) for v in sorted(values)}
 
 
 def impute_chained(
@@ -189,7 +243,8 @@ def impute_chained(
 
     ``key`` identifies a row. The result depends on data, seed and copy number
     only, so copies may be computed together or one by one. The table is
-    written to the checkpoint folder after each variable.
+    written to the checkpoint folder after each variable, and the one before is
+    deleted.
     """
     copies = [int(c) for c in copies]
     targets = list(plan.targets)
@@ -211,7 +266,9 @@ def impute_chained(
     for cycle in range(1, cycles + 1):
         for t in targets:
             values = _matched_values(state, plan, key, t, seed, cycle, donors)
-            state = cut_lineage(_filled(state, values, key, t))
+            before, state = state, cut_lineage(_filled(state, values, key, t))
+            discard(before)
+            discard(values)
         log += _trace_rows(state, plan, cycle)
     trace = local_table(df.sparkSession, 
         log, "cycle int, imp int, variable string, n_imputed long, mean double, sd double"

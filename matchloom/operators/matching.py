@@ -216,8 +216,24 @@ def stratum_sizes(people: DataFrame, keys: list[str], case: str = "case") -> Dat
     ).withColumn("has_case", (F.col("num_cases") > 0).cast("int"))
 
 
-# Primes above any cell size, used as strides through a cell.
-STRIDES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+# Rounds of the Feistel network that permutes the numbers of a cell.
+FEISTEL_ROUNDS = 4
+# Steps of a walk made from one array.
+STEPS = 1024
+
+
+def permuted(number: Column, half: Column, *keys: Column) -> Column:
+    """A keyed permutation of the numbers below ``4 ** half``, each used once.
+
+    A Feistel network: the low half is mixed into the high half by a hash, and
+    the halves change places.
+    """
+    mask = F.pow(F.lit(2), half).cast("long")
+    high, low = F.floor(number / mask).cast("long"), F.pmod(number, mask)
+    for r in range(FEISTEL_ROUNDS):
+        mixed = F.pmod(hash_number(*keys, F.lit(f"round{r}"), low), mask)
+        high, low = low, high.bitwiseXOR(mixed)
+    return high * mask + low
 
 
 def sample_overlapping(
@@ -226,7 +242,8 @@ def sample_overlapping(
     """As ``sample_controls``, and the windows of case and control must overlap.
 
     The follow-up test bounds a prefix of the cell as before. Each case walks
-    it in its own pseudo-random order, a growing chunk per round, until ``k``
+    it in an order of its own, a keyed permutation (steps that fall outside the
+    prefix are passed over, at most three in four), a growing chunk per round, until ``k``
     controls overlap or none is left; settled cases leave the rounds. So the
     number of people looked at follows k over the overlapping share, not the
     cell size. Gives ``case_id, control_id, control_rank``.
@@ -239,21 +256,23 @@ def sample_overlapping(
         .join(windows, "_id")
         .select(*rules.cell, "_number", F.col("_id").alias("control_id"), F.col("_from").alias("_c_from"), F.col("_to").alias("_c_to"))
     )
-    first = hash_number(F.lit(seed), F.lit("first"), F.col("_id"))
-    stride = F.get(F.array(*[F.lit(s) for s in STRIDES]), F.pmod(hash_number(F.lit(seed), F.lit("stride"), F.col("_id")), F.lit(len(STRIDES))).cast("int"))
     n = F.col("n_eligible")
+    half = F.ceil((F.length(F.bin(n - 1))) / 2).cast("int")
     waiting = cut_lineage(
-        _case_ranges(numbered, rules)
-        .where(n > 0)
-        .join(windows, "_id")
-        .withColumn("_first", F.pmod(first, n))
-        .withColumn("_stride", F.pmod(stride.cast("long"), n))
+        _case_ranges(numbered, rules).where(n > 0).join(windows, "_id").withColumn("_half", half)
     )
+    size = F.pow(F.lit(4), F.col("_half")).cast("long")
     seen, chunk, found = 0, 2 * k, None
     while True:
-        steps = F.explode(F.sequence(F.lit(seen).cast("long"), F.least(F.lit(seen + chunk).cast("long"), n) - 1))
-        visits = waiting.withColumn("_step", steps).withColumn(
-            "_drawn", 1 + F.pmod(F.col("_first") + F.col("_stride") * F.col("_step"), n)
+        last = F.least(F.lit(seen + chunk).cast("long"), size) - 1
+        # steps by blocks, so that no array is longer than a block
+        block = F.explode(F.sequence(F.lit(seen // STEPS).cast("long"), F.floor(last / STEPS)))
+        within = F.explode(F.sequence(F.greatest(F.col("_block") * STEPS, F.lit(seen)), F.least(F.col("_block") * STEPS + (STEPS - 1), last)))
+        visits = (
+            waiting.withColumn("_block", block)
+            .withColumn("_step", within)
+            .withColumn("_drawn", 1 + permuted(F.col("_step"), F.col("_half"), F.lit(seed), F.col("_id")))
+            .where(F.col("_drawn") <= n)
         )
         visits = visits.withColumn("_number", F.col("_drawn") + F.when(F.col("_drawn") >= F.col("_self"), 1).otherwise(0))
         hits = (
@@ -265,6 +284,6 @@ def sample_overlapping(
         found = cut_lineage(first_rows(kept, ["case_id"], ["_step"], k, rank="control_rank"))
         seen, chunk = seen + chunk, chunk * 2
         full = found.groupBy(F.col("case_id").alias("_id")).count().where(F.col("count") >= k)
-        waiting = cut_lineage(waiting.where(n > seen).join(full, "_id", "left_anti"))
+        waiting = cut_lineage(waiting.where(size > seen).join(full, "_id", "left_anti"))
         if waiting.isEmpty():
             return found.drop("_step")

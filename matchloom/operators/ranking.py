@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from matchloom.session import cut_lineage
 
-SAMPLES_PER_SPLIT = 8
-
 
 def first_rows(
     df: DataFrame,
@@ -44,28 +42,17 @@ def running_total(
     identify a row; group columns must not be null.
 
     A plain window would put a whole group in one task, and a global one
-    everything. Here split points are sampled from the data as (group, order)
-    tuples, so a group gets slices in proportion to its size, ties included.
-    Each slice is summed alone and shifted by the totals of the slices before
-    it in its group. The sliced rows are written out, as they are read twice.
+    everything. Here rows are range partitioned by (group, order), so a group
+    gets slices in proportion to its size, ties included. Each slice is summed
+    alone and shifted by the totals of the slices before it in its group. The
+    sliced rows are written out with their slice, as they are read twice.
+    ``splits`` sets the number of slices; by default Spark does.
     """
     group, order = list(group), list(order)
-    if splits is None:
-        splits = min(1000, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    key = F.struct(*[F.col(c) for c in (*group, *order)])
-    sampled = (
-        df.select(key.alias("_key"))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(splits * SAMPLES_PER_SPLIT)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-        .select(F.filter("_keys", lambda _, i: i % SAMPLES_PER_SPLIT == SAMPLES_PER_SPLIT - 1))
-    )
-    sliced = cut_lineage(
-        df.withColumn("_weight", F.lit(1) if weight is None else weight)
-        .withColumn("_points", sampled.scalar())
-        .withColumn("_slice", F.size(F.filter("_points", lambda point: point < key)))
-        .drop("_points")
-    )
+    keys = [*group, *order]
+    weighted = df.withColumn("_weight", F.lit(1) if weight is None else weight)
+    ranged = weighted.repartitionByRange(splits, *keys) if splits else weighted.repartitionByRange(*keys)
+    sliced = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
     within = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = (
         Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

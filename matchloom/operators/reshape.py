@@ -37,7 +37,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], position: str, stub: str) ->
     """
     values = [c for c in df.columns if c.startswith(stub) and c not in ids]
     return df.unpivot(list(ids), values, "_column", stub).select(
-        *ids, F.substring("_column", len(stub) + 1, 1000).alias(position), stub
+        *ids, F.expr(f"substr(_column, {len(stub) + 1})").alias(position), stub
     )
 
 

@@ -269,7 +269,7 @@ STRICT = M.MatchRules(exact=("sex", "segment", "entry_year"), near="birth_year")
 NO_CASES = M.MatchRules(exact=("sex", "segment", "entry_year"), near="birth_year", cases_as_controls=False)
 LOOSE = M.MatchRules(exact=("sex", "segment"), near="birth_year")
 SAME_BIRTH = M.MatchRules(exact=("sex", "segment", "birth_year"))
-K, SEED = 4, 42
+K, SEED = 10, 42
 
 
 def _pairs_sql(cell: str, control: str = "TRUE") -> str:
@@ -354,20 +354,24 @@ def stratum_sizes(spark, sf):
     return M.stratum_sizes(follow_up(spark, sf), ["sex", "segment", "entry_year"])
 
 
-_STRIDE_LIST = ", ".join(str(s) for s in M.STRIDES)
+def _rounds_sql(source: str) -> str:
+    for r in range(4):
+        mixed = _hash_sql("'42'", "case_id", f"'round{r}'", "low")
+        source = f"(SELECT case_id, n, step, mask, low AS high, xor(high, {mixed} % mask) AS low FROM {source})"
+    return source
 
 
 @query("match_overlap", f"""
 WITH {_pairs_sql('n.birth_year = c.birth_year')},
-ranges AS (
-  SELECT case_id, count(*) AS n, {_hash_sql("'42'", "'first'", 'case_id')} % count(*) AS first,
-         ([{_STRIDE_LIST}])[1 + {_hash_sql("'42'", "'stride'", 'case_id')} % {len(M.STRIDES)}] % count(*) AS stride FROM pairs GROUP BY case_id),
-visits AS (SELECT case_id, step, 1 + (first + stride * step) % n AS pos FROM (SELECT *, unnest(range(n)) AS step FROM ranges)),
+ranges AS (SELECT case_id, count(*) AS n FROM pairs GROUP BY case_id),
+halves AS (SELECT case_id, n, CAST(1 AS BIGINT) << CAST(ceil(length(bin(n - 1)) / 2.0) AS INTEGER) AS mask FROM ranges),
+steps AS (SELECT *, step // mask AS high, step % mask AS low FROM (SELECT *, unnest(range(mask * mask)) AS step FROM halves)),
+visits AS (SELECT case_id, step, 1 + high * mask + low AS pos FROM {_rounds_sql('steps')}),
 seen AS (
   SELECT v.case_id, p.control_id, row_number() OVER (PARTITION BY v.case_id ORDER BY step) AS control_rank
   FROM visits v JOIN pairs p ON p.case_id = v.case_id AND p.pos = v.pos
   WHERE p.n_start <= p.c_end AND p.n_end >= p.c_start)
-SELECT case_id, control_id, CAST(control_rank AS INTEGER) AS control_rank FROM seen WHERE control_rank <= {K}""")
+SELECT case_id, control_id, CAST(control_rank AS INTEGER) AS control_rank FROM seen WHERE control_rank <= {{K}}""".replace("{K}", str(K)))
 def match_overlap(spark, sf):
     return M.sample_overlapping(follow_up(spark, sf), SAME_BIRTH, "window_start", "window_end", K, SEED)
 

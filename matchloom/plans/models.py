@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from matchloom.operators import assembly as A
 from matchloom.operators import condlogit as CL
 from matchloom.operators import impute as I
 from matchloom.operators.compare import stack_results
-from matchloom.plans.cohorts import matched
+from matchloom.plans.cohorts import SETS_SQL, matched
 from matchloom.plans.features import analysis
 from matchloom.plans.registry import query
 from matchloom.plans.roles import people, table
@@ -30,12 +31,12 @@ def _scratch(spark, name: str) -> str:
 
 
 @query("save_versioned", """
-SELECT 'old' AS version, count(*) AS n, min(o_orderkey) AS low FROM orders WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT 'new', count(*), min(o_orderkey) FROM orders WHERE o_orderpriority = '2-HIGH'""")
+SELECT 'old' AS version, count(*) AS n, min(o_orderkey) AS low FROM orders
+UNION ALL SELECT 'new', count(*), min(o_orderkey) + 1 FROM orders""")
 def save_versioned(spark, sf):
     orders, place, name = table(spark, sf, "orders"), _scratch(spark, "saved"), f"Saved_{uuid.uuid4().hex}"
-    T.save_table(orders.where("o_orderpriority = '1-URGENT'"), name, location=place)
-    kept = T.save_table(orders.where("o_orderpriority = '2-HIGH'"), name, location=place)
+    T.save_table(orders, name, location=place)
+    kept = T.save_table(orders.withColumn("o_orderkey", F.col("o_orderkey") + 1), name, location=place)
     versions = [("old", spark.table(kept)), ("new", spark.table(name))]
     return stack_results([
         ({"version": v}, df.agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"))) for v, df in versions
@@ -104,8 +105,15 @@ PLAN = I.ImputationPlan(
 )
 
 
+# imputations of a session by table folder: several queries read the same copies
+_IMPUTED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def imputation(spark, sf) -> I.Imputation:
-    return I.impute_chained(gappy_people(spark, sf), "person_id", PLAN, copies=(1, 2), cycles=1, seed=100)
+    done = _IMPUTED.setdefault(spark, {})
+    if sf not in done:
+        done[sf] = I.impute_chained(gappy_people(spark, sf), "person_id", PLAN, seed=100)
+    return done[sf]
 
 
 @query("imputed_copies")
@@ -122,10 +130,13 @@ gappy AS (
 
 
 @query("imputation_checks", _OBSERVED + """
-SELECT i.imp, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_foreign
-FROM gappy, (VALUES (1), (2)) i(imp) GROUP BY i.imp""")
+SELECT CAST(i.imp AS INTEGER) AS imp, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_foreign, TRUE AS spread
+FROM gappy, range(1, 11) i(imp) GROUP BY i.imp""")
 def imputation_checks(spark, sf):
-    """Per copy: rows, nulls left, observed cells changed, values no donor has."""
+    """Per copy: rows, nulls left, observed cells changed, values no donor has, whether donors vary.
+
+    Donors vary if the imputed prices are at least three in ten of what they could be.
+    """
     result = imputation(spark, sf)
     old = result.original.select("person_id", *[F.col(t).alias(f"_{t}") for t in PLAN.targets])
     joined = result.copies.join(old, "person_id")
@@ -138,6 +149,7 @@ def imputation_checks(spark, sf):
         total([F.col(t).isNull() for t in PLAN.targets]).alias("n_null"),
         total([F.col(f"_{t}").isNotNull() & (F.col(f"_{t}") != F.col(t)) for t in PLAN.targets]).alias("n_changed"),
         total([F.col(t).isNotNull() & F.col(f"_in_{t}").isNull() for t in PLAN.targets]).alias("n_foreign"),
+        (10 * F.countDistinct(F.when(F.col("_price").isNull(), F.col("price"))) >= 3 * F.count(F.when(F.col("_price").isNull(), 1))).alias("spread"),
     )
 
 
@@ -153,6 +165,41 @@ def imputation_trace(spark, sf):
     return imputation(spark, sf).trace
 
 
+@query("imputation_trace_counts", _OBSERVED + """,
+cells AS (
+  SELECT 'price' AS variable, count(*) - count(price) AS n FROM gappy UNION ALL SELECT 'score', count(*) - count(score) FROM gappy
+  UNION ALL SELECT 'segment', count(*) - count(segment) FROM gappy)
+SELECT CAST(c.cycle AS INTEGER) AS cycle, CAST(i.imp AS INTEGER) AS imp, variable, n AS n_imputed, TRUE AS in_range
+FROM cells, range(1, 6) c(cycle), range(1, 11) i(imp)""")
+def imputation_trace_counts(spark, sf):
+    """Cells imputed per cycle, copy and variable, and whether their mean lies among the observed values."""
+    done = imputation(spark, sf)
+    bounds = [f(PLAN.response(t)).alias(f"{n}_{t}") for t in PLAN.targets for f, n in ((F.min, "low"), (F.max, "high"))]
+    seen = done.original.agg(*bounds).first()
+    within = F.lit(None).cast("boolean")
+    for t in PLAN.targets:
+        within = F.when(F.col("variable") == t, F.col("mean").between(seen[f"low_{t}"], seen[f"high_{t}"])).otherwise(within)
+    return done.trace.select("cycle", "imp", "variable", "n_imputed", within.alias("in_range"))
+
+
+@query("imputation_histogram_observed", _OBSERVED + """
+SELECT 'observed' AS kind, CAST(0 AS INTEGER) AS imp, floor(CAST(score AS DOUBLE) / 5) * 5 AS bucket, count(*) AS n
+FROM gappy WHERE score IS NOT NULL GROUP BY ALL""")
+def imputation_histogram_observed(spark, sf):
+    return imputation_histogram(spark, sf).where("kind = 'observed'")
+
+
+@query("imputed_group_totals", _OBSERVED + """,
+bands AS (SELECT CASE WHEN score < 20 THEN 'under 20' WHEN score < 25 THEN '20-24' WHEN score < 30 THEN '25-29' WHEN score IS NOT NULL THEN '30 and over' END AS score_band FROM gappy)
+SELECT CAST(0 AS INTEGER) AS imp, score_band, count(*) AS n FROM bands GROUP BY ALL
+UNION ALL SELECT CAST(imp AS INTEGER), NULL, (SELECT count(*) FROM gappy) FROM range(1, 11) i(imp)""")
+def imputed_group_totals(spark, sf):
+    """The groups of the table with its nulls, and the total of each copy."""
+    groups = imputed_groups(spark, sf)
+    total = groups.where("imp > 0").groupBy("imp").agg(F.lit(None).cast("string").alias("score_band"), F.sum("n").alias("n"))
+    return groups.where("imp = 0").unionByName(total)
+
+
 @query("imputation_histogram")
 def imputation_histogram(spark, sf):
     return I.observed_imputed_histogram(imputation(spark, sf), "person_id", "score", 5.0)
@@ -173,6 +220,21 @@ def cond_logit(spark, sf):
     return CL.odds_ratios(fit.coefficients)
 
 
+@query("cond_logit_pairs", f"""
+WITH RECURSIVE {SETS_SQL},
+pairs AS (
+  SELECT a.set, CAST(p.c_custkey % 7 < 3 AS INTEGER) AS case_value, CAST(q.c_custkey % 7 < 3 AS INTEGER) AS control_value
+  FROM sets a JOIN sets b ON a.set = b.set AND a."case" = 1 AND b."case" = 0 AND b.control_rank = 1
+  JOIN customer p ON p.c_custkey = a.person_id JOIN customer q ON q.c_custkey = b.person_id)
+SELECT 'three_sevenths' AS term, round(ln(b * 1.0::DOUBLE / c), 6) AS estimate, round(sqrt(1.0::DOUBLE / b + 1.0::DOUBLE / c), 6) AS std_error
+FROM (SELECT count(*) FILTER (case_value > control_value) AS b, count(*) FILTER (case_value < control_value) AS c FROM pairs)""")
+def cond_logit_pairs(spark, sf):
+    """One control per case and one 0/1 term: the odds ratio is that of the discordant pairs."""
+    sets = matched(spark, sf).where("case = 1 OR control_rank = 1").select("set", "person_id", "case")
+    fit = CL.fit_conditional_logistic(sets.withColumn("three_sevenths", (F.col("person_id") % 7 < 3).cast("int")), ["three_sevenths"])
+    return fit.coefficients.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
 @query("cond_logit_interaction")
 def cond_logit_interaction(spark, sf):
     df, products = A.with_interactions(model_table(spark, sf), [("exposed_12m", "admitted")])
@@ -204,11 +266,15 @@ def copy_estimates(spark, sf) -> DataFrame:
 WITH {_COPY_SQL}
 SELECT term, round(avg(estimate), 8) AS estimate,
   round(sqrt(avg(std_error * std_error) + (1 + 1.0::DOUBLE / count(*)) * var_samp(estimate)), 8) AS std_error,
-  round(avg(std_error * std_error), 8) AS within, round(var_samp(estimate), 10) AS between, count(*) AS n_copies FROM copies GROUP BY term""")
+  round(avg(std_error * std_error), 8) AS within, round(var_samp(estimate), 10) AS between, count(*) AS n_copies,
+  round(avg(estimate) / sqrt(avg(std_error * std_error) + (1 + 1.0::DOUBLE / count(*)) * var_samp(estimate)), 6) AS statistic,
+  round((count(*) - 1) * power(1 + avg(std_error * std_error) / ((1 + 1.0::DOUBLE / count(*)) * var_samp(estimate)), 2) / 1e6, 3) AS df_millions
+FROM copies GROUP BY term""")
 def pooled_estimates(spark, sf):
     return CL.pool_estimates(copy_estimates(spark, sf)).withColumns({
         "estimate": F.round("estimate", 8), "std_error": F.round("std_error", 8), "within": F.round("within", 8), "between": F.round("between", 10),
-    })
+        "statistic": F.round("statistic", 6), "df_millions": F.round(F.col("df") / 1e6, 3),
+    }).drop("df", "p_value")
 
 
 @query("odds_ratios", f"""

@@ -216,10 +216,10 @@ def codelist_checks(spark, sf):
 
 
 @query("codelist_overlap", """
-WITH codes AS (SELECT DISTINCT p_type AS name, p_brand AS code FROM part WHERE p_size > 45)
+WITH codes AS (SELECT DISTINCT p_type AS name, p_brand AS code FROM part)
 SELECT code, string_agg(name, ',' ORDER BY name) AS names FROM codes GROUP BY code HAVING count(*) > 1""")
 def codelist_overlap(spark, sf):
-    codes = table(spark, sf, "part").where("p_size > 45").select(F.col("p_type").alias("name"), F.col("p_brand").alias("code"))
+    codes = table(spark, sf, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("code"))
     return L.codelist_overlap(codes.distinct()).withColumn("names", F.concat_ws(",", "names"))
 
 

@@ -170,3 +170,26 @@ def test_constant_predictions_still_find_donors(spark):
     out = I.impute_chained(df, "id", plan, copies=(1,), cycles=1).copies
     assert out.where("y is null").count() == 0
     assert out.where("id % 3 = 0").select("y").distinct().count() > 1
+
+
+def test_p_values_of_students_t():
+    from matchloom.operators.condlogit import _two_sided
+
+    for statistic, df, want in ((2.0, 10.0, 0.073388), (12.706, 1.0, 0.05), (1.96, 1e6, 0.04999), (0.0, 5.0, 1.0), (2.5758, None, 0.01)):
+        assert abs(_two_sided(statistic, df) - want) < 2e-4
+
+
+def test_tied_donors_are_all_used(spark):
+    import matchloom.operators.impute as I
+
+    rows = [(i, 1.0, float(i) if i < 2000 else None, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, one double, y double, half int")
+    constant = I.impute_chained(df, "id", I.ImputationPlan(("y",), ("one",)), copies=(1, 2), cycles=2)
+    chosen = {c: [r.y for r in constant.copies.where(f"imp = {c} AND id >= 2000").orderBy("id").collect()] for c in (1, 2)}
+    assert all(len(set(v)) > 600 for v in chosen.values())
+    assert chosen[1] != chosen[2]
+    binary = I.impute_chained(df, "id", I.ImputationPlan(("y",), ("half",)), copies=(1,), cycles=1)
+    assert binary.copies.where("id >= 2000").select("y").distinct().count() > 600
+    apart = I.impute_strata(df, "id", I.ImputationPlan(("y",), ("one",)), "half", copies=(1,), cycles=1)
+    for half, done in apart.items():
+        assert {int(r.y) % 2 for r in done.copies.where("id >= 2000").collect()} == {half}
