@@ -7,15 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.joins import MergeError
+from matchloom.operators.profile import duplicate_keys
+
 
 def compare_versions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys whose rows differ: ``keys, status, changed``.
 
     ``status`` is ``only_old``, ``only_new`` or ``differs``; ``changed`` lists
     the differing columns, comma separated. Columns in one version only are
-    not compared. Keys should be unique in each version.
+    not compared. A key that repeats in a version raises ``MergeError``.
     """
     keys = list(keys)
+    for name, df in (("old", old), ("new", new)):
+        if not duplicate_keys(df, keys).isEmpty():
+            raise MergeError(f"keys repeat in the {name} version")
     common = [c for c in old.columns if c in new.columns and c not in keys]
     left = old.select(*keys, F.struct(F.lit(1).alias("_"), *common).alias("_old"))
     right = new.select(*keys, F.struct(F.lit(1).alias("_"), *common).alias("_new"))

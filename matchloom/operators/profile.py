@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.ranking import running_total
+
 
 def freq_one(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value, null being a value of its own."""
@@ -61,9 +63,9 @@ def date_range(df: DataFrame, column: str) -> DataFrame:
 def describe_by(df: DataFrame, by: str, column: str, accuracy: int | None = None) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum per group.
 
-    Exact quartiles fold values into counts per distinct value. With
-    ``accuracy`` they come from a bounded sketch, for measurements with a great
-    many distinct values.
+    Exact quartiles come from counts per value that are numbered by running
+    totals, so no task holds a group. With ``accuracy`` they come from a bounded
+    sketch.
     """
     value = F.col(column).cast("double")
     quarters = [0.25, 0.5, 0.75]
@@ -74,14 +76,25 @@ def describe_by(df: DataFrame, by: str, column: str, accuracy: int | None = None
         names = ["count", "mean", "std", "min", "_q", "max"]
         out = table.agg(*[s.alias(n) for s, n in zip(stats, names)])
     else:
-        out = df.groupBy(by).agg(
+        stats = df.groupBy(by).agg(
             F.count(value).alias("count"),
             F.avg(value).alias("mean"),
             F.stddev(value).alias("std"),
             F.min(value).alias("min"),
-            F.percentile(value, quarters).alias("_q"),
             F.max(value).alias("max"),
         )
+        # a struct, so that a null group is a key like any other
+        stats = stats.withColumn("_key", F.struct(by))
+        counts = df.where(value.isNotNull()).groupBy(F.struct(by).alias("_key"), value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_total(counts, ["_value"], ["_key"], weight=F.col("_n"), out="_upto").join(
+            stats.select("_key", "count"), "_key"
+        )
+        at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_value")))
+        place = [q * (F.col("count") - 1) for q in quarters]
+        low, high = [at(F.floor(p)) for p in place], [at(F.ceil(p)) for p in place]
+        part = [F.max(p - F.floor(p)) for p in place]
+        found = placed.groupBy("_key").agg(F.array(*[a + f * (b - a) for a, b, f in zip(low, high, part)]).alias("_q"))
+        out = stats.join(found, "_key", "left")
     return out.select(
         by, "count", "mean", "std", "min",
         *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))],

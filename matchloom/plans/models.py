@@ -222,12 +222,12 @@ def cond_logit(spark, sf):
 
 @query("cond_logit_pairs", f"""
 WITH RECURSIVE {SETS_SQL},
-pairs AS (
+matched_pairs AS (
   SELECT a.set, CAST(p.c_custkey % 7 < 3 AS INTEGER) AS case_value, CAST(q.c_custkey % 7 < 3 AS INTEGER) AS control_value
   FROM sets a JOIN sets b ON a.set = b.set AND a."case" = 1 AND b."case" = 0 AND b.control_rank = 1
   JOIN customer p ON p.c_custkey = a.person_id JOIN customer q ON q.c_custkey = b.person_id)
 SELECT 'three_sevenths' AS term, round(ln(b * 1.0::DOUBLE / c), 6) AS estimate, round(sqrt(1.0::DOUBLE / b + 1.0::DOUBLE / c), 6) AS std_error
-FROM (SELECT count(*) FILTER (case_value > control_value) AS b, count(*) FILTER (case_value < control_value) AS c FROM pairs)""")
+FROM (SELECT count(*) FILTER (case_value > control_value) AS b, count(*) FILTER (case_value < control_value) AS c FROM matched_pairs)""")
 def cond_logit_pairs(spark, sf):
     """One control per case and one 0/1 term: the odds ratio is that of the discordant pairs."""
     sets = matched(spark, sf).where("case = 1 OR control_rank = 1").select("set", "person_id", "case")

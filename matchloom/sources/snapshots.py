@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.joins import validated_merge
@@ -21,16 +21,20 @@ def batches(archive: DataFrame, batch: str = BATCH) -> DataFrame:
     return archive.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _extreme(archive: DataFrame, pick: Column, batch: str) -> DataFrame:
+    """One batch and its row count: the batch column first, then only that batch is counted."""
+    chosen = archive.agg(pick).scalar()
+    return batches(archive.where(F.col(batch) == chosen), batch)
+
+
 def latest_snapshot(archive: DataFrame, as_of, batch: str = BATCH) -> DataFrame:
     """Newest batch not after ``as_of``, with its row count."""
-    chosen = batches(archive.where(F.col(batch) <= F.lit(as_of)), batch)
-    return chosen.orderBy(F.desc(batch)).limit(1)
+    return _extreme(archive.where(F.col(batch) <= F.lit(as_of)), F.max(batch), batch)
 
 
 def first_snapshot_after(archive: DataFrame, start, batch: str = BATCH) -> DataFrame:
     """Earliest batch not before ``start``, with its row count."""
-    chosen = batches(archive.where(F.col(batch) >= F.lit(start)), batch)
-    return chosen.orderBy(F.asc(batch)).limit(1)
+    return _extreme(archive.where(F.col(batch) >= F.lit(start)), F.min(batch), batch)
 
 
 def snapshot_registry(registry: DataFrame, archives: Mapping[str, DataFrame], as_of, batch: str = BATCH) -> DataFrame:

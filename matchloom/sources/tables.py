@@ -38,14 +38,17 @@ def save_table(
 ) -> str | None:
     """Overwrite a table, schema included, keeping the version it replaces.
 
-    The old version is copied to ``<name>_pre<timestamp>``; that name is
-    returned, or None when there was nothing to keep. ``location`` puts the
+    The old version is copied to ``<name>_pre<timestamp>``, numbered if that
+    second has one; the name is returned, or None when there was nothing to keep. ``location`` puts the
     files into a folder outside the warehouse.
     """
     spark, name = df.sparkSession, name.lower()
     kept = None
     if save_previous and spark.catalog.tableExists(name):
-        kept = f"{name}_pre{datetime.now():%Y%m%d_%H%M%S}"
+        kept = stamp = f"{name}_pre{datetime.now():%Y%m%d_%H%M%S}"
+        nth = 1
+        while spark.catalog.tableExists(kept):
+            nth, kept = nth + 1, f"{stamp}_{nth + 1}"
         _writer(spark.table(name), kept, location).saveAsTable(kept)
     _writer(df, name, location, partition_by).saveAsTable(name)
     return kept
