@@ -232,12 +232,12 @@ def adaptive_rules(
     columns = [c for c in docs.columns if carry or c != text]
     measured = cut_lineage(measure(docs, at, text).select(*map(column, columns), at))
     limits = thresholds(measured, at, lang, source)
-    rate = F.col(at)["rates"]
+    rate = column_of("d", at)["rates"]
     failed = F.filter(
         F.array(*[
             F.when(
-                (rate[name] > F.col("fence")[name]["high"])
-                | ((rate[name] < F.col("fence")[name]["low"]) if name in TWO_SIDED else F.lit(False)),
+                (rate[name] > F.col("t.fence")[name]["high"])
+                | ((rate[name] < F.col("t.fence")[name]["low"]) if name in TWO_SIDED else F.lit(False)),
                 F.lit(name),
             )
             for name in LEAST_SPREAD
@@ -249,9 +249,9 @@ def adaptive_rules(
         column_of("d", lang).eqNullSafe(F.col("t.g0")) & column_of("d", source).eqNullSafe(F.col("t.g1")),
         "left",
     )
-    keep = ~F.col(at)["base_failed"] & (F.size(failed) == 0)
+    keep = ~column_of("d", at)["base_failed"] & (F.size(failed) == 0)
     full = F.struct(
-        *[F.col(at)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
+        *[column_of("d", at)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
         keep.alias("kept"),
         failed.alias("failed"),
     )

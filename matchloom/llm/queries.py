@@ -212,3 +212,64 @@ def op7_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
         (F.col("decoded") == text).alias("round_trip"),
     )
+
+
+def _quality_sql() -> str:
+    spread, names = quality.LEAST_SPREAD, list(quality.LEAST_SPREAD)
+    space = r"[\x20\x09-\x0D]"
+    levels = {
+        "0": "'0|' || coalesce('l' || lang, '-') || '|' || coalesce('s' || source, '-')",
+        "1": "'1|' || coalesce('l' || lang, '-')",
+        "2": "'2'",
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT {key} AS k, '{name}' AS rate, {name} AS v FROM rated WHERE NOT base_failed" for key in levels.values() for name in names
+    )
+    floors = " ".join(f"WHEN '{name}' THEN {value}" for name, value in spread.items())
+    over = " OR ".join(f"(f.rate = '{name}' AND r.{name} > f.high)" for name in names)
+    under = " OR ".join(f"(f.rate = '{name}' AND r.{name} < f.low)" for name in quality.TWO_SIDED)
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+cut AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+grams AS (SELECT uid, i, words[i:i + 4] AS g FROM cut, unnest(range(1, len(words) - 3)) AS t(i)),
+again AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT uid, count(DISTINCT p) AS n FROM (SELECT uid, unnest(range(i, i + 5)) AS p FROM again) GROUP BY uid),
+counted AS (
+    SELECT uid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(text, '{space}+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_capitals,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+        CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    FROM cut LEFT JOIN covered c USING (uid)),
+rated AS (
+    SELECT *, n_words < {quality.SHORTEST} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed,
+        1000 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(n_words, 1) AS symbols,
+        1000 * n_capitals // greatest(n_words, 1) AS capitals, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+        1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
+        {", ".join(f"{key} AS k{i}" for i, key in levels.items())}
+    FROM counted),
+sketch AS (
+    SELECT k, rate, (v >> d) << d AS bucket, count(*) AS n
+    FROM (SELECT *, CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS d FROM ({rows})) GROUP BY ALL),
+running AS (
+    SELECT *, sum(n) OVER (PARTITION BY k, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY k, rate) AS total FROM sketch),
+quartiles AS (
+    SELECT k, rate, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+    FROM running GROUP BY ALL),
+fences AS (
+    SELECT k, rate, total, q1 - {quality.REACH} * s AS low, q3 + {quality.REACH} * s AS high
+    FROM (SELECT *, greatest(q3 - q1, CASE rate {floors} END) AS s FROM quartiles)),
+totals AS (SELECT k, max(total) AS total FROM fences GROUP BY k),
+placed AS (
+    SELECT r.*, CASE WHEN a.total >= {quality.GROUP_ROWS} THEN k0 WHEN b.total >= {quality.GROUP_ROWS} THEN k1 ELSE k2 END AS used
+    FROM rated r LEFT JOIN totals a ON a.k = k0 LEFT JOIN totals b ON b.k = k1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT EXISTS (SELECT 1 FROM fences f WHERE f.k = r.used AND ({over} OR {under})) AS kept
+FROM placed r
+"""
+
+
+ORACLES["op4_adaptive_quality"] = _quality_sql()
