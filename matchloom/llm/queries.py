@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
+    if fn.__name__ in QUERIES:
+        raise ValueError(f"{fn.__name__} is registered already")
     QUERIES[fn.__name__] = fn
     return fn
 
@@ -214,73 +216,6 @@ def op7_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: Seconds after which a page is asked for again.
-ASKED_AGAIN = 500
-
-
-@query
-def op5_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """The revisits of a crawl of all pages, resolved to the responses they stand for."""
-    texts = warc.as_records(read(spark, folder, "pages"), ASKED_AGAIN)
-    records = warc.parse_records(texts, "record").select("warc.*")
-    number = lambda c: F.regexp_extract(c, r"-(-?\d+)$", 1).cast("long")
-    return warc.resolve_revisits(records).select(
-        number("id").alias("page_id"),
-        "canonical",
-        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
-        "outcome",
-        F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"),
-        F.md5(F.col("payload").cast("binary")).alias("payload_md5"),
-    )
-
-
-ORACLES["op5_revisit_resolution"] = rf"""
-WITH cut AS (
-    SELECT page_id, coalesce(html, '') AS html, regexp_replace(trim(url), '#.*$', '') AS u,
-        '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*' AS site FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL
-), parts AS (
-    SELECT page_id, html, lower(regexp_replace(regexp_extract(u, site), '^[^:]*://', '')) AS host, regexp_replace(u, site, '') AS rest FROM cut
-), urls AS (
-    SELECT page_id, html,
-        regexp_replace(regexp_replace(host, '^(?:[^@]*@)?(?:www[0-9]*\.|m\.)?', ''), ':(?:80|443)$', '')
-            || regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS place,
-        list_sort(list_filter(string_split(regexp_replace(rest, '^[^?]*\??', ''), '&'),
-            lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|gclid|fbclid)='))) AS query
-    FROM parts
-), pages_at AS (
-    SELECT page_id, md5(html) AS tag, strlen(html) AS size,
-        place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical
-    FROM urls
-), asked AS (
-    SELECT r.page_id, r.canonical, r.tag, s.page_id AS refers_to, s.tag AS stored, s.size
-    FROM (SELECT *, page_id + {ASKED_AGAIN} AS at FROM pages_at) r ASOF LEFT JOIN pages_at s ON r.canonical = s.canonical AND r.at > s.page_id
-), dated AS (
-    SELECT *, strftime(to_timestamp(1700000000 + page_id + {ASKED_AGAIN}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS day FROM asked
-)
-SELECT page_id, canonical, refers_to, CASE WHEN tag = stored THEN 'resolved' ELSE 'mismatch' END AS outcome,
-    'cache-control=max-age=60;content-length=' || CASE WHEN tag = stored THEN size || ';content-type=text/html' ELSE '0' END
-        || ';date=' || day || ';etag=W/"' || tag || '"' AS headers,
-    CASE WHEN tag = stored THEN stored END AS payload_md5
-FROM dated
-"""
-
-
-@query
-def op7_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document encoded on the lattice: number and checksum of its ids, and whether they decode to the text."""
-    import public_tokenizers
-
-    table = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(read(spark, folder, "documents").select("doc_id", "text"), table)
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
-    return pieces.decode(encoded, "ids", table).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
-        (F.col("decoded") == text).alias("round_trip"),
-    )
-
-
 def _quality_sql() -> str:
     spread, names = quality.LEAST_SPREAD, list(quality.LEAST_SPREAD)
     space = r"[\x20\x09-\x0D]"
