@@ -71,7 +71,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op3_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that nearly repeat an earlier one, and what was dropped."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select(
+    return lines.dedup_lines(docs, shingle=lines.FINE).select(
         "doc_id",
         F.col("dropped.n_lines").alias("n_lines"),
         F.size("dropped.lines").cast("long").alias("n_dropped"),
