@@ -45,13 +45,15 @@ def decompose(
     longest: int = LENGTH,
     id: str = "doc_id",
     text: str = "text",
+    literal: bool = True,
 ) -> DataFrame:
     """One row per sequence: ``id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``ids``.
 
     ``ids`` holds unsigned 32-bit little-endian numbers; ``start`` counts the
     document's ids before the piece, ``doc_tokens`` all of them, the closing
     ``end_id`` included. A null or empty text is that one id. Repeated rows are
-    packed each. ``longest`` must be a power of two.
+    packed each. ``longest`` must be a power of two. ``literal`` takes the names of
+    special tokens in a text as text; the library by itself does not.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the sequence length must be a power of two")
@@ -66,7 +68,7 @@ def decompose(
     ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = encoder_of(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, number = encoder_of(tokenizer, literal), TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             held, size = ([], [], [], [], [], []), 0

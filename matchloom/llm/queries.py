@@ -46,7 +46,7 @@ def op9_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of power-of-two length of every document, each a sequence without padding."""
     import public_tokenizers
 
-    pieces = packing.decompose(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.decompose(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), literal=False)
     return packing.with_digest(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
@@ -87,7 +87,7 @@ def op8_elias_fano_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     place = f"{ensure_checkpoint_dir(spark)}/matchloom/tokens-{uuid.uuid4().hex}"
-    manifest = token_files.write_tokens(read(spark, folder, "documents"), place, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = token_files.write_tokens(read(spark, folder, "documents"), place, public_tokenizers.path("byte_bpe_50k.json"), literal=False)
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -181,7 +181,13 @@ class Shard:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    id: str = "doc_id",
+    text: str = "text",
+    literal: bool = True,
 ) -> DataFrame:
     """Encode whole texts, write shards under ``folder`` and return the manifest.
 
@@ -190,7 +196,8 @@ def write_tokens(
     ``id``, a whole number, with nulls first; ``end_id`` closes each. A null text
     is empty. Repeated numbers stay separate documents; an id that many rows
     share is still split over shards. An empty table gives an empty manifest.
-    ``folder`` must be one that all executors share.
+    ``folder`` must be one that all executors share. ``literal`` takes the names of
+    special tokens in a text as text; the library by itself does not.
     """
     rows = docs.select(column(id).cast("long").alias("id"), column(text).alias("text")).withColumn(
         "nth", F.monotonically_increasing_id()
@@ -202,7 +209,7 @@ def write_tokens(
         for batch in batches:
             for number, value in zip(batch.column(0), batch.column(1)):
                 if writer is None:
-                    encoder = encoder_of(tokenizer)
+                    encoder = encoder_of(tokenizer, literal)
                     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     writer = ShardWriter(path, width)
                 content = value.as_py()

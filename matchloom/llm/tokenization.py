@@ -34,20 +34,27 @@ def _whole(key: str) -> str:
 
 
 @lru_cache(4)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, literal: bool = True) -> ChunkEncoder:
     """The encoder of this process for a tokenizer file, with the chunks met so far."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, literal)
 
 
 class ChunkEncoder:
-    """Encodes texts as little-endian 32-bit ids; the same ids as the library's on the whole text."""
+    """Encodes texts as little-endian 32-bit ids; the same ids as the library's on the whole text.
 
-    def __init__(self, path: str):
+    With ``literal`` the name of a special token in a text is text, the library's
+    ``encode_special_tokens``; without, it is that token, as the library does by
+    itself, and a text with an added token's name is encoded in one go.
+    """
+
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = (*_DOUBTFUL, *(t.content for t in added if not (literal and t.special)))
         self.known: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
 
@@ -73,7 +80,7 @@ class ChunkEncoder:
 
     def parts(self, text: str) -> Iterable[bytes]:
         """The ids of a text, some at a time for a long one."""
-        if any(c in text for c in _DOUBTFUL):
+        if any(c in text for c in self.whole):
             yield self._encode([text])[0]
         elif not (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD + _PAIRS)):
             at = 0
