@@ -35,3 +35,9 @@ def quoted(name: str) -> str:
 
 def column(name: str) -> Column:
     return F.col(quoted(name))
+
+
+def letters_table(digits: bool) -> bytes:
+    """Byte table for ``bytes.translate``: A-Z lower-cased, all else below 0x80 but letters (and digits) to spaces."""
+    kept = b"abcdefghijklmnopqrstuvwxyz" + (b"0123456789" if digits else b"")
+    return bytes(ord(chr(b).lower()) if b < 0x80 and chr(b).isupper() else b if b >= 0x80 or b in kept else 0x20 for b in range(256))

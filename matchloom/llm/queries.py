@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, lines, packing, permutation, pieces, quality, simhash, threads, token_files, warc
+from matchloom.llm import divergence, langid, lines, minhash, packing, permutation, pieces, quality, search, simhash, threads, token_files, warc
 from matchloom.llm.common import read
 from matchloom.session import ensure_checkpoint_dir
 
@@ -275,3 +275,102 @@ FROM placed r
 
 
 ORACLES["op4_adaptive_quality"] = _quality_sql()
+
+
+@query
+def op11_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set, its component of near-duplicates, and whether it stays."""
+    return minhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_tensored_minhash"] = rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), cut AS (
+    SELECT uid, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM docs
+), sized AS (SELECT uid, doc_id, CAST(len(shingles) AS BIGINT) AS n FROM cut),
+posted AS (SELECT uid, unnest(shingles) AS s FROM cut),
+met AS (
+    SELECT a.uid AS u, b.uid AS v, count(*) AS both FROM posted a JOIN posted b ON a.s = b.s AND a.uid < b.uid GROUP BY ALL
+), linked AS (
+    SELECT u, v FROM met JOIN sized x ON x.uid = u JOIN sized y ON y.uid = v WHERE 100 * met.both >= 80 * (x.n + y.n - met.both)
+), edges AS (SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked),
+reached AS (
+    SELECT DISTINCT u AS node, u AS other FROM edges
+    UNION
+    SELECT r.node, e.v FROM reached r JOIN edges e ON e.u = r.other
+), firsts AS (SELECT node, min(doc_id) AS first FROM reached JOIN sized ON uid = other GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(first, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(first, doc_id) AS kept
+FROM sized LEFT JOIN firsts ON node = uid
+"""
+
+
+@query
+def op12_shared_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return search.ranked_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+
+ORACLES["op12_shared_search"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+facts AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_words FROM docs WHERE len(terms) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+occurs AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(terms) AS term FROM docs) GROUP BY ALL),
+wanted AS (SELECT o.* FROM occurs o SEMI JOIN asked USING (term)),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM wanted GROUP BY term), facts
+), parts AS (
+    SELECT uid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(terms) * n_docs) // n_words))) AS part
+    FROM wanted JOIN docs USING (uid) JOIN weights USING (term), facts
+), scores AS (
+    SELECT item_id, uid, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distance of every source from the others of its language, and the terms that set it apart."""
+    return divergence.source_divergence(read(spark, folder, "documents"))
+
+
+ORACLES["op13_source_divergence"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), counts AS (
+    SELECT lang, source, term, count(*) AS c, count(DISTINCT uid) AS n
+    FROM (SELECT uid, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+), kept AS (SELECT lang, term, sum(c)::BIGINT AS c FROM counts GROUP BY ALL HAVING sum(n) >= 3),
+own AS (SELECT lang, source, term, counts.c FROM counts SEMI JOIN kept USING (lang, term)),
+langs AS (
+    SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang
+), sources AS (
+    SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN own USING (lang, source) GROUP BY ALL
+), wide AS (
+    SELECT s.lang, s.source, k.term, coalesce(o.c, 0) AS in_source,
+        1 + (1000000000::HUGEINT * (coalesce(o.c, 0) + 1)) // (s.n + l.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS q
+    FROM sources s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term
+), distances AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM wide a JOIN wide b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM wide WHERE in_source > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR place <= {divergence.TOP}
+"""
