@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.session import cut_lineage, discard
+
 
 def one_per_day(events: DataFrame, keys: Sequence[str], date: str, payload: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Reduce events to one row per key and day, the first by the tie columns.
@@ -30,13 +34,19 @@ def nearest_event(
     date: str,
     payload: Sequence[str] = (),
     forward: Column | bool = False,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add to each probe the last event on or before ``at``, by key.
 
-    Where ``forward`` holds it is the first event on or after ``at``. Probes
-    and events are merged in date order and the neighbouring event is carried
-    to the probe, one shuffle and one sort for both directions: the work is
-    linear in both inputs, where a join would multiply them per key.
+    Where ``forward`` holds it is the first event on or after ``at``. Keys may be
+    null; of several events of a key at one time any may be taken.
+
+    Probes and events are merged and range partitioned by (key, time), so a key
+    spreads over slices in proportion to its rows. Inside a slice the neighbouring
+    event is carried to the probe in time order; what comes from another slice is
+    one event per slice and key that a slice border cuts, at most two rows per
+    slice. The work is linear in both inputs, where a join would multiply them per
+    key. ``slices`` sets the number of slices; by default Spark does.
     """
     by = list(by)
     ahead = forward if isinstance(forward, Column) else F.lit(forward)
@@ -48,16 +58,28 @@ def nearest_event(
     ).unionByName(
         events.select(*by, F.col(date).alias("_at"), F.lit(1).alias("_turn"), event.alias("_event")), allowMissingColumns=True
     )
-    keys = ", ".join(f"`{c}`" for c in by)
-    order = f"OVER (PARTITION BY {keys} ORDER BY _at, _turn"
-    before = F.expr(f"last(_event) IGNORE NULLS {order} ROWS UNBOUNDED PRECEDING)")
-    after = F.expr(f"lead(_event, 1) IGNORE NULLS {order})")
-    one_way = not isinstance(forward, Column)
-    found = (after if forward else before) if one_way else F.when(F.col("_turn") == 0, F.col("_after")).otherwise(F.col("_before"))
-    seen = merged if one_way else merged.withColumn("_before", before).withColumn("_after", after)
+    # written before it is dealt out, since dealing looks at the rows twice
+    merged = cut_lineage(merged)
+    order = [*by, "_at", "_turn"]
+    ranged = merged.repartitionByRange(slices, *order) if slices else merged.repartitionByRange(*order)
+    sliced = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
+    discard(merged)
+    within = f"OVER (PARTITION BY _slice, {', '.join(f'`{c}`' for c in by)} ORDER BY _at, _turn"
+    before = F.expr(f"last(_event) IGNORE NULLS {within} ROWS UNBOUNDED PRECEDING)")
+    after = F.expr(f"lead(_event, 1) IGNORE NULLS {within})")
+    if not isinstance(forward, Column):
+        here, carried = (after, F.col("_later")) if forward else (before, F.col("_earlier"))
+    else:
+        here = F.when(F.col("_turn") == 0, after).otherwise(before)
+        carried = F.when(F.col("_turn") == 0, F.col("_later")).otherwise(F.col("_earlier"))
+    found = sliced.withColumn("_here", here).where(F.col("_turn") != 1)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_slice"]]
     return (
-        seen.withColumn("_found", found)
-        .where(F.col("_turn") != 1)
+        found.alias("s")
+        .join(F.broadcast(_carried(sliced, by)).alias("c"), reduce(and_, same), "left")
+        .select(
+            *[F.col(f"s.{c}").alias(c) for c in by], "_probe", F.coalesce("_here", carried).alias("_found")
+        )
         .select(
             *by,
             *[F.col(f"_probe.{c}").alias(c) for c in probe_columns],
@@ -67,6 +89,31 @@ def nearest_event(
     )
 
 
+def _carried(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For each slice of a key that lies in several: the last event of the slices before, the first of those after.
+
+    Only the first and the last key of a slice can reach into another one, so
+    there are at most two rows per slice.
+    """
+    ends = sliced.groupBy("_slice").agg(F.min(F.struct(*by)).alias("low"), F.max(F.struct(*by)).alias("high"))
+    cut = cut_lineage(ends.select(F.explode(F.array("low", "high")).alias("key")).select("key.*").distinct())
+    same = reduce(and_, [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by])
+    event, at = F.when(F.col("_turn") == 1, F.col("_event")), F.when(F.col("_turn") == 1, F.col("_at"))
+    spans = cut_lineage(
+        sliced.alias("s")
+        .join(F.broadcast(cut).alias("k"), same, "left_semi")
+        .groupBy(*by, "_slice")
+        .agg(F.max_by(event, at).alias("_last"), F.min_by(event, at).alias("_first"))
+    )
+    along = Window.partitionBy(*by).orderBy("_slice")
+    return spans.select(
+        *by,
+        "_slice",
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+
+
 def latest_in_window(
     base: DataFrame,
     records: DataFrame,
@@ -75,17 +122,23 @@ def latest_in_window(
     date: str,
     payload: Sequence[str],
     ties: Sequence[str] = (),
+    slices: int | None = None,
 ) -> DataFrame:
     """Latest record of each base row's person inside the row's closed window.
 
     Base rows without such a record are left out, as after an inner join. Rows
-    on one day are resolved by the tie columns, then by the payload.
+    on one day are resolved by the tie columns, then by the payload. Rows of one
+    person with one window are looked up once.
     """
     daily = one_per_day(
         records.where(F.col(person).isNotNull() & F.col(date).isNotNull()),
         [person], date, payload, [*ties, *[c for c in payload if c not in ties]],
     )
     start, end = window
-    probes = base.withColumn("_start", start).withColumn("_end", end).where(F.col(person).isNotNull())
-    found = nearest_event(probes, daily, [person], "_end", date, payload)
-    return found.where(F.col(date) >= F.col("_start")).drop("_start", "_end")
+    asked = base.withColumn("_start", start).withColumn("_end", end).where(F.col(person).isNotNull())
+    probes = asked.select(person, "_start", "_end").where(F.col("_start") <= F.col("_end")).distinct()
+    found = nearest_event(probes, daily, [person], "_end", date, payload, slices=slices)
+    hits = found.where(F.col(date) >= F.col("_start"))
+    return asked.join(hits, [person, "_start", "_end"]).drop("_start", "_end").select(
+        *base.columns, date, *[c for c in payload if c != date]
+    )

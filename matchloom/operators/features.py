@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.dates import lookback_window
 from matchloom.functions.values import RECENCY_DAYS, in_range
 from matchloom.operators.asof import nearest_event, one_per_day
-from matchloom.session import broadcast_if_small, fits, local_table
+from matchloom.session import broadcast_if_small, cut_lineage, fits, local_table
 
 RULES = ("latest", "flag", "span")
 
@@ -76,11 +77,48 @@ def _stream_map(features: Sequence[Feature], codes: DataFrame, sources: Sequence
         "source string, codelist string, stream int, priority int, low double, high double, below double, needs_value boolean",
     )
     listed = codes.select(F.col("name").alias("codelist"), "code").distinct()
-    return listed.join(F.broadcast(spec), "codelist").drop("codelist")
+    return listed.join(F.broadcast(spec), "codelist").drop("codelist")  # a row per stream and source
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where a source's records lie: a table, and the columns of its codes and values.
+
+    Sources of one table (the same DataFrame object) are read in one scan.
+    """
+
+    records: DataFrame
+    code: str = "code"
+    value: str | None = "value"
+
+
+def _matched(
+    sources: Mapping[str, Source], mapping: DataFrame, person: str, wanted: DataFrame | None
+) -> DataFrame:
+    """``person, date, code, value`` with the streams that take them, each physical table read once."""
+    tables: dict[int, list[tuple[str, Source]]] = {}
+    for label, source in sources.items():
+        tables.setdefault(id(source.records), []).append((label, source))
+    parts = []
+    for entries in tables.values():
+        df = entries[0][1].records
+        value = lambda s: (F.col(s.value).cast("double") if s.value in df.columns else F.lit(None).cast("double"))
+        seen = [
+            F.struct(F.lit(label).alias("source"), F.col(s.code).alias("code"), value(s).alias("value")) for label, s in entries
+        ]
+        rows = df.where(F.col(person).isNotNull() & F.col("date").isNotNull())
+        if wanted is not None:
+            rows = rows.join(F.broadcast(wanted), person, "left_semi")
+        if len(seen) == 1:
+            rows = rows.select(person, "date", seen[0].alias("_seen")).select(person, "date", "_seen.*")
+        else:
+            rows = rows.select(person, "date", F.inline(F.array(*seen)))
+        parts.append(rows.join(mapping, ["source", "code"]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def feature_events(
-    records: Mapping[str, DataFrame],
+    records: Mapping[str, DataFrame | Source],
     codes: DataFrame,
     features: Sequence[Feature],
     person: str = "person_id",
@@ -90,38 +128,38 @@ def feature_events(
 
     A stream serves all features with the same codes, sources and value range.
 
-    ``records`` maps a source label to ``(person, date, code, value)``; the
-    order of the mapping settles ties on a day, then code, then value.
+    ``records`` maps a source label to ``(person, date, code, value)`` or to a
+    ``Source``; the order of the mapping settles ties on a day, then code, then
+    value. Streams that only ask for days keep no value, so a day is one row after a
+    hash aggregate; where a value counts, equal rows are joined first and the
+    day's first row is taken from what is left.
     ``wanted`` limits the people: before anything is shuffled when their ids
     are few enough to broadcast, else after the reduction to days.
     """
     early = wanted is not None and fits(wanted)
-    labels = list(records)
-    mapping = broadcast_if_small(_stream_map(features, codes, labels))
-    parts = []
-    for label, df in records.items():
-        value = F.col("value").cast("double") if "value" in df.columns else F.lit(None).cast("double")
-        mine = mapping.where(F.col("source") == label).drop("source")
-        parts.append(df.select(person, "date", "code", value.alias("value")).join(mine, "code"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    sources = {label: r if isinstance(r, Source) else Source(r) for label, r in records.items()}
+    mapping = broadcast_if_small(_stream_map(features, codes, list(sources)))
+    rows = _matched(sources, mapping, person, wanted if early else None)
     valid = rows.where(
-        F.col(person).isNotNull()
-        & F.col("date").isNotNull()
-        & (F.col("low").isNull() | (F.col("value") >= F.col("low")))
+        (F.col("low").isNull() | (F.col("value") >= F.col("low")))
         & (F.col("high").isNull() | (F.col("value") <= F.col("high")))
         & (F.col("below").isNull() | (F.col("value") < F.col("below")))
         & (F.col("value").isNotNull() | ~F.col("needs_value"))
     )
-    if early:
-        valid = valid.join(F.broadcast(wanted), person, "left_semi")
-    daily = one_per_day(valid, [person, "stream"], "date", ["value"], ["priority", "code", "value"])
-    return daily if early or wanted is None else daily.join(wanted, person, "left_semi")
+    ties = ["priority", "code", "value"]
+    bare = [F.when(F.col("needs_value"), F.col(c)).alias(c) for c in ties]
+    days = valid.select(person, "stream", "date", "needs_value", *bare).distinct()
+    if any(f.rule == "latest" for f in features):
+        days = cut_lineage(days)
+        daily = one_per_day(days.where("needs_value"), [person, "stream"], "date", ["value"], ties)
+        days = daily.unionByName(days.where("not needs_value").select(daily.columns))
+    else:
+        days = days.select(person, "stream", "date", "value")
+    return days if early or wanted is None else days.join(wanted, person, "left_semi")
 
 
 def _probes(base: DataFrame, features: Sequence[Feature], person: str, index_date: str, birth_date: str) -> DataFrame:
-    """Distinct (person, index date) with a window per feature.
+    """Windows of each (person, index date), one per feature.
 
     Each window is looked up backwards from its end; for a span also forwards
     from its start.
@@ -137,16 +175,14 @@ def _probes(base: DataFrame, features: Sequence[Feature], person: str, index_dat
                 )
             )
     return (
-        base.groupBy(person, index_date)
-        .agg(F.min(birth_date).alias(birth_date))
-        .select(person, index_date, F.inline(F.array(*rows)))
+        base.select(person, index_date, F.inline(F.array(*rows)))
         .where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
     )
 
 
 def feature_table(
     base: DataFrame,
-    records: Mapping[str, DataFrame],
+    records: Mapping[str, DataFrame | Source],
     codes: DataFrame,
     features: Sequence[Feature],
     person: str = "person_id",
@@ -157,12 +193,16 @@ def feature_table(
 
     A feature depends on person and index date only, so people in several sets
     of one date are computed once. The result joins back on those two columns.
+    ``base`` is written once, unless it is a written table, for it is read as people,
+    as windows and as the result.
     """
     for f in features:
         if f.rule not in RULES:
             raise ValueError(f"unknown rule {f.rule!r}")
-    events = feature_events(records, codes, features, person, base.select(person).distinct())
-    probes = _probes(base, features, person, index_date, birth_date)
+    base = base if hasattr(base, "cut_path") else cut_lineage(base)
+    asked = cut_lineage(base.groupBy(person, index_date).agg(F.min(birth_date).alias(birth_date)))
+    events = feature_events(records, codes, features, person, asked.select(person).distinct())
+    probes = _probes(asked, features, person, index_date, birth_date)
     ahead = F.col("_ahead") if any(f.rule == "span" for f in features) else False
     found = nearest_event(probes, events, [person, "stream"], "_look", "date", ["value"], ahead)
     found = found.where(F.col("date").between(F.col("_start"), F.col("_end")))

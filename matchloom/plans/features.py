@@ -12,7 +12,7 @@ from matchloom.operators import features as X
 from matchloom.operators.asof import latest_in_window
 from matchloom.plans.cohorts import SETS_SQL, matched
 from matchloom.plans.registry import query
-from matchloom.plans.roles import HOSPITAL_SQL, PEOPLE_SQL, PRESCRIPTIONS_SQL, hospital, people, prescriptions, table
+from matchloom.plans.roles import HOSPITAL_SQL, PEOPLE_SQL, PRESCRIPTIONS_SQL, born, hospital, people, prescriptions, table
 from matchloom.session import cut_lineage, local_table
 
 # Every urgent order is a set of its own here, so one person is in several
@@ -23,7 +23,7 @@ def members(spark, sf) -> DataFrame:
     urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(
         F.col("o_orderkey").alias("set"), F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("date").alias("index_date")
     )
-    return urgent.join(people(spark, sf).select("person_id", "birth_date", "sex"), "person_id")
+    return urgent.join(born(spark, sf), "person_id")
 
 
 MEMBERS_SQL = f"""{PEOPLE_SQL}, {HOSPITAL_SQL}, {PRESCRIPTIONS_SQL},
@@ -189,7 +189,8 @@ FEATURE_CODES = [
 
 def features(spark, sf, base: DataFrame) -> DataFrame:
     codes = local_table(spark, FEATURE_CODES, "name string, code string")
-    records = {"hospital": hospital(spark, sf), "pharmacy": drugs(spark, sf), "lab": measurements(spark, sf)}
+    given = prescriptions(spark, sf)
+    records = {"hospital": X.Source(hospital(spark, sf)), "pharmacy": X.Source(given), "lab": X.Source(given, code="kind")}
     return X.feature_table(base, records, codes, FEATURES)
 
 

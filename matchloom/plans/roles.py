@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _opened(spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
 
 
+def born(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per person: birth date and sex."""
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        key.alias("person_id"),
+        F.make_date((1940 + key % 60).cast("int"), (1 + key % 12).cast("int"), (1 + key % 28).cast("int")).alias("birth_date"),
+        F.when(key % 2 == 0, "F").otherwise("M").alias("sex"),
+    )
+
+
 def people(spark: SparkSession, sf: str) -> DataFrame:
     """One row per person: birth, sex, region, entry and death dates."""
     key = F.col("c_custkey")
