@@ -9,13 +9,16 @@ Work is linear in people plus cases times k, for any distribution of cells.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.ranking import dense_index, first_rows, running_total
-from matchloom.session import broadcast_if_small, cut_lineage
+from matchloom.operators.ranking import dense_index, running_total
+from matchloom.session import broadcast_if_small, cut_lineage, discard
 
 HASH_DIGITS = 15
 HASH_RANGE = 16**HASH_DIGITS
@@ -216,24 +219,53 @@ def stratum_sizes(people: DataFrame, keys: list[str], case: str = "case") -> Dat
     ).withColumn("has_case", (F.col("num_cases") > 0).cast("int"))
 
 
-# Rounds of the Feistel network that permutes the numbers of a cell.
-FEISTEL_ROUNDS = 4
-# Steps of a walk made from one array.
-STEPS = 1024
+# Children of a block of consecutive numbers, as a power of two.
+FAN_BITS = 3
 
 
-def permuted(number: Column, half: Column, *keys: Column) -> Column:
-    """A keyed permutation of the numbers below ``4 ** half``, each used once.
-
-    A Feistel network: the low half is mixed into the high half by a hash, and
-    the halves change places.
+def overlap_counts(
+    controls: DataFrame, asked: DataFrame, cell: list[str], levels: Sequence[int]
+) -> DataFrame:
+    """How many controls of a block of numbers overlap a window: ``_id, _level, _block, _n``.
+
+    ``controls`` has the cell, ``_number`` and the window ``_from``, ``_to``;
+    ``asked`` the cell, ``_id``, ``_level``, ``_block``, ``_from`` and ``_to``. Block b of
+    level l holds the numbers above b * 8^l, 8^l of them. Those that overlap are
+    those that start by the end of the window less those that end before its
+    start: two counts below a bound, read off one running count per block in order
+    of the date, for all blocks in one pass.
     """
-    mask = F.pow(F.lit(2), half).cast("long")
-    high, low = F.floor(number / mask).cast("long"), F.pmod(number, mask)
-    for r in range(FEISTEL_ROUNDS):
-        mixed = F.pmod(hash_number(*keys, F.lit(f"round{r}"), low), mask)
-        high, low = low, high.bitwiseXOR(mixed)
-    return high * mask + low
+    above = F.explode(F.array(*[F.lit(level).cast("int") for level in levels]))
+    block = F.call_function("shiftright", F.col("_number") - 1, F.col("_level") * FAN_BITS)
+    posted = controls.select(*cell, above.alias("_level"), "_number", "_from", "_to").withColumn("_block", block)
+    no_id = F.lit(None).cast(asked.schema["_id"].dataType)
+    turn = lambda side, day, order, points: points.select(
+        *cell, "_level", "_block", F.lit(side).alias("_side"), F.col(day).alias("_day"), F.lit(order).alias("_turn"),
+        "_id" if "_id" in points.columns else no_id.alias("_id"),
+    )
+    # a start on the last day counts, an end on the first day does not
+    merged = reduce(DataFrame.unionByName, [
+        turn(0, "_from", 0, posted), turn(0, "_to", 1, asked), turn(1, "_to", 1, posted), turn(1, "_from", 0, asked),
+    ])
+    point = F.col("_id").isNull()
+    counted = running_total(
+        merged, ["_day", "_turn", "_id"], [*cell, "_level", "_block", "_side"], weight=F.when(point, 1).otherwise(0), out="_count"
+    )
+    return counted.where(~point).groupBy("_id", "_level", "_block").agg(
+        F.sum(F.when(F.col("_side") == 0, F.col("_count")).otherwise(-F.col("_count"))).alias("_n")
+    )
+
+
+def _prefix_blocks(upto: Column, levels: int) -> Column:
+    """The blocks that make up the numbers 1..upto, as structs ``_level``, ``_block``."""
+    at = lambda level: lambda b: F.struct(F.lit(level).cast("int").alias("_level"), b.alias("_block"))
+    parts = []
+    for level in range(levels):
+        digit = F.shiftright(upto, level * FAN_BITS).bitwiseAND(F.lit((1 << FAN_BITS) - 1).cast("long"))
+        first = F.shiftleft(F.shiftright(upto, (level + 1) * FAN_BITS), FAN_BITS)
+        blocks = F.when(digit > 0, F.sequence(first, first + digit - 1)).otherwise(F.array().cast("array<bigint>"))
+        parts.append(F.transform(blocks, at(level)))
+    return F.concat(*parts)
 
 
 def sample_overlapping(
@@ -241,49 +273,86 @@ def sample_overlapping(
 ) -> DataFrame:
     """As ``sample_controls``, and the windows of case and control must overlap.
 
-    The follow-up test bounds a prefix of the cell as before. Each case walks
-    it in an order of its own, a keyed permutation (steps that fall outside the
-    prefix are passed over, at most three in four), a growing chunk per round, until ``k``
-    controls overlap or none is left; settled cases leave the rounds. So the
-    number of people looked at follows k over the overlapping share, not the
-    cell size. Gives ``case_id, control_id, control_rank``.
+    The follow-up test bounds a prefix of the numbered cell as before. The prefix is
+    a few blocks of numbers, and how many controls overlap in each is counted
+    (``overlap_counts``), so a case's number of candidates is known exactly and a
+    case without any is settled there. ``k`` different ranks below it are drawn, and
+    each is followed down its block, into the child that holds it by the counts of
+    the children, to one control. Work is ``k`` times the depth per case, whatever
+    share of the cell overlaps. A window that is null or ends before it starts
+    overlaps nothing. Gives ``case_id, control_id, control_rank``.
     """
     people = _kept(people, rules, start, end)
     numbered = _numbered(people, rules)
-    windows = people.select(F.col(rules.person).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    windows = people.where(F.col(start) <= F.col(end)).select(
+        F.col(rules.person).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to")
+    )
+    cell = rules.cell
     controls = cut_lineage(
-        numbered.where(F.col("_probe") == 0)
-        .join(windows, "_id")
-        .select(*rules.cell, "_number", F.col("_id").alias("control_id"), F.col("_from").alias("_c_from"), F.col("_to").alias("_c_to"))
+        numbered.where(F.col("_probe") == 0).join(windows, "_id").select(*cell, "_number", F.col("_id").alias("control_id"), "_from", "_to")
     )
-    n = F.col("n_eligible")
-    half = F.ceil((F.length(F.bin(n - 1))) / 2).cast("int")
-    waiting = cut_lineage(
-        _case_ranges(numbered, rules).where(n > 0).join(windows, "_id").withColumn("_half", half)
+    cases = cut_lineage(_case_ranges(numbered, rules).join(windows, "_id"))
+    longest = numbered.agg(F.max("_number")).first()[0] or 0
+    levels = max(1, math.ceil(longest.bit_length() / FAN_BITS))
+    # numbers up to the last eligible one, the case's own included, and those before its own
+    prefixes = F.array(
+        F.struct(F.lit(False).alias("_own"), (F.col("n_eligible") + F.when(F.col("_self").isNotNull(), 1).otherwise(0)).alias("_upto")),
+        F.struct(F.lit(True).alias("_own"), F.coalesce(F.col("_self") - 1, F.lit(0)).alias("_upto")),
     )
-    size = F.pow(F.lit(4), F.col("_half")).cast("long")
-    seen, chunk, found = 0, 2 * k, None
-    while True:
-        last = F.least(F.lit(seen + chunk).cast("long"), size) - 1
-        # steps by blocks, so that no array is longer than a block
-        block = F.explode(F.sequence(F.lit(seen // STEPS).cast("long"), F.floor(last / STEPS)))
-        within = F.explode(F.sequence(F.greatest(F.col("_block") * STEPS, F.lit(seen)), F.least(F.col("_block") * STEPS + (STEPS - 1), last)))
-        visits = (
-            waiting.withColumn("_block", block)
-            .withColumn("_step", within)
-            .withColumn("_drawn", 1 + permuted(F.col("_step"), F.col("_half"), F.lit(seed), F.col("_id")))
-            .where(F.col("_drawn") <= n)
-        )
-        visits = visits.withColumn("_number", F.col("_drawn") + F.when(F.col("_drawn") >= F.col("_self"), 1).otherwise(0))
-        hits = (
-            visits.join(controls, [*rules.cell, "_number"])
-            .where((F.col("_c_from") <= F.col("_to")) & (F.col("_c_to") >= F.col("_from")))
-            .select(F.col("_id").alias("case_id"), "control_id", F.col("_step"))
-        )
-        kept = hits if found is None else found.select("case_id", "control_id", "_step").unionByName(hits)
-        found = cut_lineage(first_rows(kept, ["case_id"], ["_step"], k, rank="control_rank"))
-        seen, chunk = seen + chunk, chunk * 2
-        full = found.groupBy(F.col("case_id").alias("_id")).count().where(F.col("count") >= k)
-        waiting = cut_lineage(waiting.where(size > seen).join(full, "_id", "left_anti"))
-        if waiting.isEmpty():
-            return found.drop("_step")
+    parts = cut_lineage(
+        cases.select(*cell, "_id", "_from", "_to", F.inline(prefixes))
+        .select("*", F.inline(_prefix_blocks(F.col("_upto"), levels)))
+    )
+    asked = parts.select(*cell, "_id", "_from", "_to", "_level", "_block").distinct()
+    counts = cut_lineage(overlap_counts(controls, asked, cell, range(levels)))
+    sized = cut_lineage(parts.join(counts, ["_id", "_level", "_block"]).where(F.col("_n") > 0))
+    totals = sized.groupBy("_id").agg(
+        F.sum(F.when(F.col("_own"), F.lit(0)).otherwise(F.col("_n"))).alias("_all"), F.sum(F.when(F.col("_own"), F.col("_n")).otherwise(0)).alias("_before")
+    )
+    self_in = F.col("_self").isNotNull()
+    n = F.col("_all") - F.when(self_in, 1).otherwise(0)
+    drawn = (
+        cases.join(totals, "_id")
+        .select("_id", self_in.alias("_in"), "_before", F.explode(_distinct_draws(seed, F.col("_id"), n, k)).alias("_draw"))
+        .select("_id", "_draw", (F.col("_draw") + F.when(F.col("_in") & (F.col("_draw") > F.col("_before")), 1).otherwise(0)).alias("_rank"))
+    )
+    along = Window.partitionBy("_id").orderBy(F.call_function("shiftleft", F.col("_block"), F.col("_level") * FAN_BITS))
+    placed = sized.where(~F.col("_own")).withColumn("_upto", F.sum("_n").over(along))
+    # a case has at most seven blocks per level, and k draws
+    items = cut_lineage(
+        drawn.join(placed, "_id")
+        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+        .select(*cell, "_id", "_from", "_to", "_draw", "_level", "_block", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+    )
+    for level in range(levels - 1, 0, -1):
+        before, items = items, cut_lineage(_one_level_down(controls, items, cell, level))
+        discard(before)
+    order = hash_number(F.lit(seed), F.col("_id"), F.lit("rank"), F.col("_draw"))
+    found = items.withColumn("_number", F.col("_block") + 1).join(controls.select(*cell, "_number", "control_id"), [*cell, "_number"])
+    ranked = F.row_number().over(Window.partitionBy("_id").orderBy(order, "_draw"))
+    return found.select(F.col("_id").alias("case_id"), "control_id", ranked.alias("control_rank"))
+
+
+def _one_level_down(controls: DataFrame, items: DataFrame, cell: list[str], level: int) -> DataFrame:
+    """Draws of blocks of ``level`` moved into the child that holds their rank."""
+    here = items.where(F.col("_level") == level)
+    last = (1 << FAN_BITS) - 1
+    child = F.explode(F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda j: F.shiftleft(F.col("_block"), FAN_BITS) + j))
+    asked = here.select(*cell, "_id", "_from", "_to", "_block").distinct().select(
+        *cell, "_id", "_from", "_to", F.lit(level - 1).cast("int").alias("_level"), child.alias("_block")
+    )
+    counts = overlap_counts(controls, asked, cell, [level - 1])
+    # at most seven children of a block
+    children = counts.groupBy("_id", F.shiftright("_block", FAN_BITS).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_block").alias("child"), F.col("_n").alias("n")))).alias("_children")
+    )
+    start = F.struct(F.lit(None).cast("long").alias("child"), F.col("_rank").alias("rank"))
+    step = lambda at, x: F.when(at["child"].isNull() & (at["rank"] <= x["n"]), F.struct(x["child"].alias("child"), at["rank"].alias("rank"))).otherwise(
+        F.struct(at["child"].alias("child"), F.when(at["child"].isNull(), at["rank"] - x["n"]).otherwise(at["rank"]).alias("rank"))
+    )
+    moved = here.join(children, ["_id", "_block"]).withColumn("_at", F.aggregate("_children", start, step))
+    down = moved.select(
+        *cell, "_id", "_from", "_to", "_draw", F.lit(level - 1).cast("int").alias("_level"),
+        F.coalesce(F.col("_at.child"), F.shiftleft(F.col("_block"), FAN_BITS) + last).alias("_block"), F.col("_at.rank").alias("_rank"),
+    )
+    return items.where(F.col("_level") < level).unionByName(down)

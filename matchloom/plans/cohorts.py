@@ -307,16 +307,18 @@ def _hash_sql(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
-SETS_SQL = f"""{_pairs_sql(_NEAR)},
-ranges AS (SELECT case_id, count(*) AS n FROM pairs GROUP BY case_id),
-draws AS (
+_DRAWS_SQL = f"""draws AS (
   SELECT case_id, n, greatest(n - {K}, 0) + 1 AS j, CAST([] AS BIGINT[]) AS taken FROM ranges
   UNION ALL
   SELECT case_id, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, t) THEN j ELSE t END)
   FROM (SELECT *, 1 + {_hash_sql("'42'", 'case_id', 'j')} % j AS t FROM draws WHERE j <= n)),
 picked AS (
   SELECT case_id, d, {_hash_sql("'42'", 'case_id', "'rank'", 'd')} AS h
-  FROM (SELECT case_id, unnest(taken) AS d FROM draws WHERE j = n + 1)),
+  FROM (SELECT case_id, unnest(taken) AS d FROM draws WHERE j = n + 1))"""
+
+SETS_SQL = f"""{_pairs_sql(_NEAR)},
+ranges AS (SELECT case_id, count(*) AS n FROM pairs GROUP BY case_id),
+{_DRAWS_SQL},
 sampled AS (
   SELECT p.case_id, q.control_id, q.index_date, q.source, q.code, h / 1152921504606846976.0::DOUBLE AS random_num,
          CAST(row_number() OVER (PARTITION BY p.case_id ORDER BY h, d) AS INTEGER) AS control_rank
@@ -354,24 +356,15 @@ def stratum_sizes(spark, sf):
     return M.stratum_sizes(follow_up(spark, sf), ["sex", "segment", "entry_year"])
 
 
-def _rounds_sql(source: str) -> str:
-    for r in range(4):
-        mixed = _hash_sql("'42'", "case_id", f"'round{r}'", "low")
-        source = f"(SELECT case_id, n, step, mask, low AS high, xor(high, {mixed} % mask) AS low FROM {source})"
-    return source
-
-
 @query("match_overlap", f"""
-WITH {_pairs_sql('n.birth_year = c.birth_year')},
-ranges AS (SELECT case_id, count(*) AS n FROM pairs GROUP BY case_id),
-halves AS (SELECT case_id, n, CAST(1 AS BIGINT) << CAST(ceil(length(bin(n - 1)) / 2.0) AS INTEGER) AS mask FROM ranges),
-steps AS (SELECT *, step // mask AS high, step % mask AS low FROM (SELECT *, unnest(range(mask * mask)) AS step FROM halves)),
-visits AS (SELECT case_id, step, 1 + high * mask + low AS pos FROM {_rounds_sql('steps')}),
-seen AS (
-  SELECT v.case_id, p.control_id, row_number() OVER (PARTITION BY v.case_id ORDER BY step) AS control_rank
-  FROM visits v JOIN pairs p ON p.case_id = v.case_id AND p.pos = v.pos
-  WHERE p.n_start <= p.c_end AND p.n_end >= p.c_start)
-SELECT case_id, control_id, CAST(control_rank AS INTEGER) AS control_rank FROM seen WHERE control_rank <= {{K}}""".replace("{K}", str(K)))
+WITH RECURSIVE {_pairs_sql('n.birth_year = c.birth_year')},
+overlapping AS (
+  SELECT case_id, control_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS place FROM pairs
+  WHERE n_start <= c_end AND n_end >= c_start AND n_start <= n_end AND c_start <= c_end),
+ranges AS (SELECT case_id, count(*) AS n FROM overlapping GROUP BY case_id),
+{_DRAWS_SQL}
+SELECT p.case_id, control_id, CAST(row_number() OVER (PARTITION BY p.case_id ORDER BY h, d) AS INTEGER) AS control_rank
+FROM picked p JOIN overlapping o ON o.case_id = p.case_id AND o.place = p.d""")
 def match_overlap(spark, sf):
     return M.sample_overlapping(follow_up(spark, sf), SAME_BIRTH, "window_start", "window_end", K, SEED)
 
