@@ -1,31 +1,51 @@
 """Multiple imputation by chained equations with predictive mean matching.
 
 Method: van Buuren and Groothuis-Oudshoorn, Journal of Statistical Software
-45(3), 2011. All copies move together as rows of one table. Per variable and
-cycle, tasks build the cross products of the design; the driver draws the
-coefficients (p numbers per copy). Donors are numbered in order of prediction,
-and donors with one prediction are a range of numbers. A recipient meets the
-ranges nearest to its prediction, fills its five places from them, draws a place,
-and then a donor of that range at random, so tied donors are all as likely.
+45(3), 2011. All copies and strata move together.
+
+State. A row without gaps is the same in every copy, so it is kept once. Only rows
+with a gap are held per copy; a variable's step writes its new values, and they
+are folded into those rows once per cycle. What a cycle writes follows the rows
+with gaps, not the table.
+
+Equations. Every row gives one vector: the intercept, all predictors, all targets.
+The sums of its products are taken once for rows without gaps and, per step, for
+the others; an equation is a choice of rows and columns of that matrix, so which
+predictors enter is data (``ImputationPlan.matrix``). Constant and collinear
+predictors are left out by a pivoted Cholesky factorisation and reported. The driver
+sees one matrix per stratum and copy. Random numbers come from hashes.
+
+Matching. Donors are numbered in order of prediction, and donors with one prediction
+are a range of numbers. Only donors near a recipient's prediction are numbered: bins of
+predictions are counted first. A recipient meets the ranges nearest to its prediction,
+fills its five places from them, draws a place, and then a donor of that range at
+random, so tied donors are all as likely.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.matching import hash_number
+from matchloom.operators.matching import HASH_DIGITS, HASH_RANGE, hash_number
 from matchloom.operators.ranking import running_total
 from matchloom.operators.vectors import sum_vectors
-from matchloom.session import cut_lineage, discard, local_table
+from matchloom.session import broadcast_if_small, cut_lineage, discard, local_table
 
 DONORS = 5
-RIDGE = 1e-5
+#: Share of a predictor's own variation below which the others explain it.
+COLLINEAR = 1e-9
+#: Strata whose equations the driver solves in one step.
+MOST_STRATA = 1_000
+#: Bins of predictions that are counted to find the donors near recipients.
+BINS = 4_096
 
 
 @dataclass(frozen=True)
@@ -48,14 +68,26 @@ class ImputationPlan:
         left_out = {target, *self.excluded.get(target, ())}
         return [c for c in (*self.predictors, *self.targets) if c not in left_out]
 
-    def design(self, target: str) -> list[Column]:
-        columns = [F.lit(1.0)]
-        for name in self.inputs(target):
+    def features(self) -> list[tuple[str, str, Column]]:
+        """The vector of a row as (column, name, value): intercept, predictors and targets, positions of categorical targets."""
+        out = [("", "(intercept)", F.lit(1.0))]
+        for name in (*self.predictors, *self.targets):
             if name in self.levels:
-                columns += [(F.col(name) == v).cast("double") for v in self.levels[name][1:]]
+                out += [(name, f"{name}={v}", (F.col(name) == v).cast("double")) for v in self.levels[name][1:]]
             else:
-                columns.append(F.col(name).cast("double"))
-        return columns
+                out.append((name, name, F.col(name).cast("double")))
+        return out + [(f"position of {t}", t, self.response(t)) for t in self.targets if t in self.levels]
+
+    def matrix(self) -> dict[str, tuple[list[int], int]]:
+        """Per target: the places in a row's vector that enter its equation, and the place of its response."""
+        owners = [owner for owner, _, _ in self.features()]
+        return {
+            t: (
+                [0] + [i for i, owner in enumerate(owners) if owner in set(self.inputs(t))],
+                owners.index(f"position of {t}" if t in self.levels else t),
+            )
+            for t in self.targets
+        }
 
     def response(self, target: str) -> Column:
         if target not in self.levels:
@@ -68,11 +100,16 @@ class ImputationPlan:
 
 @dataclass
 class Imputation:
-    """``copies`` holds ``imp`` 1..m completed; ``original`` keeps the nulls."""
+    """``copies`` holds ``imp`` 1..m completed; ``original`` keeps the nulls.
+
+    ``trace`` has mean and deviation of the imputed cells per cycle; ``dropped`` the
+    predictors left out of an equation as constant or collinear.
+    """
 
     copies: DataFrame
     original: DataFrame
     trace: DataFrame
+    dropped: DataFrame
 
     def stacked(self) -> DataFrame:
         """The original as ``imp`` 0 above the completed copies."""
@@ -81,103 +118,131 @@ class Imputation:
 
 
 def _cross_products(columns: Sequence[str]):
-    """Task function: Z'Z per copy, summed over the batches of a partition."""
+    """Task function: Z'Z per stratum and copy, summed over the batches of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for frame in batches:
-            z, imps = frame[list(columns)].to_numpy(dtype=float), frame["imp"].to_numpy()
-            for imp in np.unique(imps):
-                part = z[imps == imp]
-                sums[int(imp)] = sums.get(int(imp), 0) + part.T @ part
+            z, cells = frame[list(columns)].to_numpy(dtype=float), frame["_cell"].to_numpy()
+            order = np.argsort(cells, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(cells[order]) != 0]) if len(order) else []
+            for cell, rows in zip(cells[order][starts], np.split(order, starts[1:])):
+                sums[int(cell)] = sums.get(int(cell), 0) + z[rows].T @ z[rows]
         if sums:
-            yield pd.DataFrame({"imp": list(sums), "vec": [s.ravel().tolist() for s in sums.values()]})
+            yield pd.DataFrame({"_cell": list(sums), "vec": [s.ravel().tolist() for s in sums.values()]})
 
     return run
 
 
-def _draw(products: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares coefficients, and a draw from their posterior."""
-    q = int(np.sqrt(products.size))
-    z = products.reshape(q, q)
-    xx, xy, yy = z[:-1, :-1], z[:-1, -1], z[-1, -1]
-    diagonal = np.diag(xx).copy()
-    diagonal[diagonal == 0] = 1.0
-    inverse = np.linalg.inv(xx + np.diag(diagonal) * RIDGE)
-    inverse = (inverse + inverse.T) / 2
-    beta = inverse @ xy
-    n = int(round(xx[0, 0]))
-    free = max(n - len(beta), 1)
-    residual = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
-    sigma = np.sqrt(residual / rng.chisquare(free))
-    values, vectors = np.linalg.eigh(inverse)
-    root = vectors * np.sqrt(np.clip(values, 0, None))
-    return beta, beta + sigma * (root @ rng.standard_normal(len(beta)))
-
-
-def _start_values(df: DataFrame, key: str, target: str, n: int, copies: Sequence[int], seed: int) -> DataFrame:
-    """A random observed value for every missing cell of every copy: ``imp, key, value``."""
-    observed = running_total(df.where(F.col(target).isNotNull()).select(key, target), [key], out="_number")
+def _products(rows: DataFrame, plan: ImputationPlan) -> dict[int, np.ndarray]:
+    """Sums of products of the vectors of ``rows``, per ``_cell``."""
+    names = [f"_z{i}" for i in range(len(plan.features()))]
+    vectors = rows.select(F.col("_cell").cast("long"), *[c.alias(n) for n, (_, _, c) in zip(names, plan.features())])
+    sums = sum_vectors(vectors.mapInPandas(_cross_products(names), "_cell bigint, vec array<double>"), key="_cell")
+    return {cell: s.reshape(len(names), len(names)) for cell, s in sums.items()}
+
+
+def normal_draw(*parts) -> float:
+    """A standard normal number from the hashes of the parts (Box and Muller, 1958)."""
+    uniform = [int(hashlib.md5("|".join(map(str, (*parts, i))).encode()).hexdigest()[:HASH_DIGITS], 16) / HASH_RANGE for i in "ab"]
+    return math.sqrt(-2 * math.log(1 - uniform[0])) * math.cos(2 * math.pi * uniform[1])
+
+
+def chi_square(z: float, free: float) -> float:
+    """The chi-square quantile of a standard normal number (Wilson and Hilferty, 1931)."""
+    return free * max(1 - 2 / (9 * free) + z * math.sqrt(2 / (9 * free)), 1e-6) ** 3
+
+
+def independent_columns(products: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Columns kept by a pivoted Cholesky factorisation, in pivot order, and their upper factor.
+
+    The first column, the intercept, is always taken first. A column whose own
+    variation is explained by those taken is left out.
+    """
+    size = len(products)
+    left, rows, kept = np.diag(products).astype(float).copy(), [], []
+    start = left.copy()
+    while len(kept) < size:
+        share = np.where(start > 0, left / np.where(start > 0, start, 1), 0)
+        share[kept] = -1
+        pivot = 0 if not kept else int(np.argmax(share))
+        if kept and share[pivot] <= COLLINEAR or left[pivot] <= 0:
+            break
+        row = (products[pivot] - sum((r[pivot] * r for r in rows), np.zeros(size))) / math.sqrt(left[pivot])
+        row[kept] = 0
+        rows.append(row)
+        left = left - row**2
+        kept.append(pivot)
+    return kept, np.array([r[kept] for r in rows])
+
+
+def draw_coefficients(products: np.ndarray, chosen: Sequence[int], response: int, *seeds) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Least-squares coefficients, a draw from their posterior, and the places left out.
+
+    Coefficients are vectors as long as a row's; the draw adds sigma times the inverse
+    of the upper factor times normal numbers, sigma from the residual sum over a
+    chi-square number.
+    """
+    chosen = list(chosen)
+    xx, xy, yy = products[np.ix_(chosen, chosen)], products[chosen, response], products[response, response]
+    kept, upper = independent_columns(xx)
+    beta = np.linalg.solve(upper, np.linalg.solve(upper.T, xy[kept]))
+    free = max(int(round(xx[0, 0])) - len(kept), 1)
+    residual = max(yy - beta @ xy[kept], 0.0)
+    sigma = math.sqrt(residual / chi_square(normal_draw(*seeds, "sigma"), free))
+    z = np.array([normal_draw(*seeds, i) for i in range(len(kept))])
+    fit, draw = np.zeros(len(products)), np.zeros(len(products))
+    places = [chosen[k] for k in kept]
+    fit[places], draw[places] = beta, beta + sigma * np.linalg.solve(upper, z)
+    return fit, draw, [c for c in chosen if c not in places]
+
+
+def _start_values(rows: DataFrame, key: str, target: str, copies: Sequence[int], seed: int) -> DataFrame:
+    """A random observed value of the stratum for every missing cell of every copy: ``imp, key, value``."""
+    observed = running_total(rows.where(F.col(target).isNotNull()).select("_stratum", key, target), [key], ["_stratum"], out="_number")
+    counts = rows.groupBy("_stratum").agg(F.count(target).alias("_n"))
     numbers = F.explode(F.array(*[F.lit(int(i)) for i in copies]))
-    missing = df.where(F.col(target).isNull()).select(key, numbers.alias("imp"))
-    drawn = F.pmod(hash_number(F.lit(seed), F.lit("start"), F.lit(target), F.col("imp"), F.col(key)), F.lit(n)) + 1
-    return (
+    missing = rows.where(F.col(target).isNull()).select("_stratum", key, numbers.alias("imp")).join(F.broadcast(counts), "_stratum")
+    drawn = F.pmod(hash_number(F.lit(seed), F.lit("start"), F.lit(target), F.col("imp"), F.col(key)), F.col("_n")) + 1
+    return cut_lineage(
         missing.withColumn("_number", drawn)
-        .join(observed.select("_number", F.col(target).alias("_value")), "_number")
+        .join(observed.select("_stratum", "_number", F.col(target).alias("_value")), ["_stratum", "_number"])
         .select("imp", key, "_value")
     )
 
 
-def _matched_values(
-    state: DataFrame, plan: ImputationPlan, key: str, target: str, seed: int, cycle: int, donors: int
-) -> DataFrame:
-    """New values of the missing cells of one variable: ``imp, key, value``."""
-    missing = F.col(f"_missing_{target}")
-    design = plan.design(target)
-    names = [f"_z{i}" for i in range(len(design))]
-    fitted = state.where(~missing).select(
-        "imp", *[c.alias(n) for c, n in zip(design, names)], plan.response(target).alias("_y")
-    )
-    products = sum_vectors(fitted.mapInPandas(_cross_products([*names, "_y"]), "imp int, vec array<double>"))
-    order = plan.targets.index(target)
-    rows = []
-    for imp, sums in sorted(products.items()):
-        fit, draw = _draw(sums, np.random.default_rng([seed, imp, cycle, order]))
-        rows.append((imp, fit.tolist(), draw.tolist()))
-    # one row of 2p numbers per copy
-    coefficients = F.broadcast(
-        local_table(state.sparkSession, rows, "imp int, _fit array<double>, _draw array<double>")
-    )
-    chosen = F.when(missing, F.col("_draw")).otherwise(F.col("_fit"))
-    prediction = sum((c * F.get(F.col("_b"), F.lit(i)) for i, c in enumerate(design)), F.lit(0.0))
-    scored = (
-        state.join(coefficients, "imp")
-        .withColumn("_b", chosen)
-        .select(
-            "imp", F.col(key).alias("_id"), prediction.alias("_score"), missing.alias("_wanting"),
-            F.when(~missing, F.col(target)).alias("_value"),
-        )
-    )
-    pool = cut_lineage(
-        running_total(scored.where(~F.col("_wanting")), ["_score", "_id"], ["imp"], out="_number").select(
-            "imp", "_number", "_score", "_value"
-        )
-    )
-    wanting = cut_lineage(scored.where("_wanting").select("imp", "_id", "_score"))
-    places = _donor_places(pool, wanting, donors)
-    draw = lambda *parts: hash_number(F.lit(seed), F.lit(cycle), F.lit(target), *parts, F.col("imp"), F.col("_id"))
-    place = F.pmod(draw(), F.least(F.lit(donors), F.col("_total")))
-    tie = F.filter("_ties", lambda t: t["upto"] > place)[0]
-    out = cut_lineage(
-        wanting.join(places, ["imp", "_score"])
-        .withColumn("_tie", tie)
-        .select("imp", "_id", (F.col("_tie.low") + F.pmod(draw(F.lit("tie")), F.col("_tie.n"))).alias("_number"))
-        .join(pool.drop("_score"), ["imp", "_number"])
-        .select("imp", F.col("_id").alias(key), "_value")
+def _filled(state: DataFrame, values: DataFrame, key: str, target: str) -> DataFrame:
+    """Rows with gaps, with the new values of one variable."""
+    replaced = F.when(F.col(f"_missing_{target}"), F.col("_value")).otherwise(F.col(target))
+    return state.join(values, ["imp", key], "left").withColumn(target, replaced).drop("_value")
+
+
+def _near_recipients(donors: DataFrame, wanting: DataFrame, places: int) -> DataFrame:
+    """The donors that can be among the nearest ``places`` of a recipient, and those tied with them.
+
+    Predictions are cut into bins between the least and the largest recipient.
+    A bin of donors is needed if less than ``places`` donors lie between it and a bin
+    with recipients. Per stratum and copy there are at most ``BINS`` and two bins.
+    """
+    cell = ["_stratum", "imp"]
+    reach = cut_lineage(wanting.groupBy(*cell).agg(F.min("_score").alias("_low"), F.max("_score").alias("_high")))
+    step = F.greatest((F.col("_high") - F.col("_low")) / BINS, F.lit(1e-300))
+    number = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(float(BINS)), (F.col("_score") - F.col("_low")) / step))).cast("int")
+    binned = lambda df: df.join(F.broadcast(reach), cell).withColumn("_bin", number).drop("_low", "_high")
+    given = binned(donors).groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    bins = given.join(binned(wanting).select(*cell, "_bin", F.lit(1).alias("_asked")).distinct(), [*cell, "_bin"], "full")
+    along = Window.partitionBy(*cell).orderBy("_bin")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    counted = bins.na.fill(0, ["_n"]).withColumn("_upto", F.sum("_n").over(upto))
+    asked = F.col("_asked") == 1
+    # donors up to the bin asked for, from the left; donors before it, from the right
+    needed = (
+        counted.withColumn("_left", F.max(F.when(asked, F.col("_upto"))).over(upto))
+        .withColumn("_right", F.min(F.when(asked, F.col("_upto") - F.col("_n"))).over(Window.partitionBy(*cell).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("_left") + places > F.col("_upto") - F.col("_n")) | (F.col("_right") - places < F.col("_upto")))
     )
-    for spent in (pool, wanting, places):
-        discard(spent)
-    return out
+    wanted = broadcast_if_small(cut_lineage(needed.select(*cell, "_bin")))
+    return binned(donors).join(wanted, [*cell, "_bin"], "left_semi").drop("_bin")
 
 
 def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame:
@@ -186,18 +251,19 @@ def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame
     ``_ties`` holds at most ``2 * donors`` ranges as (low, n, upto), ``upto``
     counting the donors of the ranges so far; ``_total`` counts all.
     """
-    ties = pool.groupBy("imp", "_score").agg(F.min("_number").alias("_low"), F.count(F.lit(1)).alias("_n"))
-    asked = wanting.select("imp", "_score").distinct()
+    cell = ["_stratum", "imp"]
+    ties = pool.groupBy(*cell, "_score").agg(F.min("_number").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    asked = wanting.select(*cell, "_score").distinct()
     none = F.lit(None).cast("long")
     marks = ties.withColumn("_is_tie", F.lit(1)).unionByName(
-        asked.select("imp", "_score", none.alias("_low"), none.alias("_n"), F.lit(0).alias("_is_tie"))
+        asked.select(*cell, "_score", none.alias("_low"), none.alias("_n"), F.lit(0).alias("_is_tie"))
     )
     ranked = cut_lineage(
-        running_total(marks, ["_score", "_is_tie"], ["imp"], weight=F.col("_is_tie"), out="_rank")
+        running_total(marks, ["_score", "_is_tie"], cell, weight=F.col("_is_tie"), out="_rank")
     )
     near = F.explode(F.sequence(F.col("_rank") - (donors - 1), F.col("_rank") + donors)).alias("_rank")
-    met = ranked.where("_is_tie = 0").select("imp", F.col("_score").alias("_target"), near).join(
-        ranked.where("_is_tie = 1").drop("_is_tie"), ["imp", "_rank"]
+    met = ranked.where("_is_tie = 0").select(*cell, F.col("_score").alias("_target"), near).join(
+        ranked.where("_is_tie = 1").drop("_is_tie"), [*cell, "_rank"]
     )
     distance = F.abs(F.col("_score") - F.col("_target")).alias("d")
     sorted_ties = F.array_sort(F.collect_list(F.struct(distance, "_rank", F.col("_low").alias("low"), F.col("_n").alias("n"))))
@@ -209,8 +275,8 @@ def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame
         ),
     )
     out = cut_lineage(
-        met.groupBy("imp", "_target").agg(sorted_ties.alias("_near")).select(
-            "imp", F.col("_target").alias("_score"), counted.alias("_ties"),
+        met.groupBy(*cell, "_target").agg(sorted_ties.alias("_near")).select(
+            *cell, F.col("_target").alias("_score"), counted.alias("_ties"),
             F.aggregate("_near", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("_total"),
         )
     )
@@ -218,16 +284,52 @@ def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame
     return out
 
 
-def impute_strata(df: DataFrame, key: str, plan: ImputationPlan, strata: str, **options) -> dict[object, Imputation]:
-    """``impute_chained`` for the rows of each value of ``strata`` apart, nulls left out.
+def _matched_values(
+    donors: DataFrame, wanting: DataFrame, key: str, target: str, seed: int, cycle: int, places: int
+) -> DataFrame:
+    """New values of the missing cells of one variable, written: ``imp, key, value``."""
+    cell = ["_stratum", "imp"]
+    pool = cut_lineage(
+        running_total(_near_recipients(donors, wanting, places), ["_score", "_id"], cell, out="_number").select(
+            *cell, "_number", "_score", "_value"
+        )
+    )
+    ranges = _donor_places(pool, wanting, places)
+    draw = lambda *parts: hash_number(F.lit(seed), F.lit(cycle), F.lit(target), *parts, F.col("imp"), F.col("_id"))
+    place = F.pmod(draw(), F.least(F.lit(places), F.col("_total")))
+    tie = F.filter("_ties", lambda t: t["upto"] > place)[0]
+    out = cut_lineage(
+        wanting.join(ranges, [*cell, "_score"])
+        .withColumn("_tie", tie)
+        .select(*cell, "_id", (F.col("_tie.low") + F.pmod(draw(F.lit("tie")), F.col("_tie.n"))).alias("_number"))
+        .join(pool.drop("_score"), [*cell, "_number"])
+        .select("imp", F.col("_id").alias(key), "_value")
+    )
+    for spent in (pool, ranges):
+        discard(spent)
+    return out
 
-    A study has a few strata, each imputed from its own donors; more than fifty
-    values are refused.
+
+def impute_strata(df: DataFrame, key: str, plan: ImputationPlan, strata: str, **options) -> Imputation:
+    """``impute_chained`` with equations and donors of each value of ``strata`` apart, in the same jobs.
+
+    Rows with a null in ``strata`` are left out. More than a thousand values are refused,
+    since the driver solves an equation per value and copy.
     """
-    values = [r[0] for r in df.select(strata).where(F.col(strata).isNotNull()).distinct().limit(51).collect()]
-    if len(values) > 50:
-        raise ValueError(f"{strata} has more than 50 values")
-    return {v: impute_chained(df.where(F.col(strata) == v), key, plan, **options) for v in sorted(values)}
+    return impute_chained(df, key, plan, strata=strata, **options)
+
+
+def _stratified(df: DataFrame, strata: str | None) -> tuple[DataFrame, dict[int, object]]:
+    """Rows with the number of their stratum, and the value of each number."""
+    if strata is None:
+        return df.withColumn("_stratum", F.lit(0)), {0: ""}
+    values = [r[0] for r in df.select(strata).where(F.col(strata).isNotNull()).distinct().limit(MOST_STRATA + 1).collect()]
+    if len(values) > MOST_STRATA:
+        raise ValueError(f"{strata} has more than {MOST_STRATA} values")
+    names = dict(enumerate(sorted(values)))
+    kind = df.schema[strata].dataType.simpleString()
+    numbers = local_table(df.sparkSession, [(v, i) for i, v in names.items()], f"`{strata}` {kind}, _stratum int")
+    return df.join(F.broadcast(numbers), strata), names
 
 
 def impute_chained(
@@ -238,60 +340,101 @@ def impute_chained(
     cycles: int = 5,
     seed: int = 100,
     donors: int = DONORS,
+    strata: str | None = None,
 ) -> Imputation:
     """Impute ``plan.targets`` in every copy; observed cells never change.
 
     ``key`` identifies a row. The result depends on data, seed and copy number
-    only, so copies may be computed together or one by one. The table is
-    written to the checkpoint folder after each variable, and the one before is
-    deleted.
+    only, so copies may be computed together or one by one. Every stratum needs
+    an observed value of every target.
     """
-    copies = [int(c) for c in copies]
-    targets = list(plan.targets)
-    original = cut_lineage(df.select(key, *plan.predictors, *targets))
-    filled = original.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in (*plan.predictors, *targets)]).first()
-    gaps = [c for c in plan.predictors if filled[c] < filled["_rows"]]
+    copies, targets = [int(c) for c in copies], list(plan.targets)
+    kept = list(dict.fromkeys([key, *([strata] if strata else []), *plan.predictors, *targets]))
+    numbered, names = _stratified(df.select(*kept), strata)
+    rows = cut_lineage(numbered)
+    original = rows.select(*kept)
+    filled = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in (*plan.predictors, *targets)]).collect()
+    gaps = [c for c in plan.predictors if any(f[c] < f["_rows"] for f in filled)]
     if gaps:
         raise ValueError(f"predictors with nulls: {gaps}; make them targets or leave them out")
-    empty = [t for t in targets if not filled[t]]
+    empty = [t for t in targets if any(not f[t] for f in filled) or not filled]
     if empty:
         raise ValueError(f"no observed value to impute from: {empty}")
-    flagged = original.withColumns({f"_missing_{t}": F.col(t).isNull() for t in targets})
-    numbers = F.explode(F.array(*[F.lit(c) for c in copies])).alias("imp")
-    state = flagged.select(numbers, "*")
+    whole = F.lit(True)
     for t in targets:
-        state = _filled(state, _start_values(original, key, t, filled[t], copies, seed), key, t)
+        whole = whole & F.col(t).isNotNull()
+    complete, partial = rows.where(whole), rows.where(~whole)
+    each = F.explode(F.array(*[F.lit(c) for c in copies])).alias("imp")
+    state = partial.withColumns({f"_missing_{t}": F.col(t).isNull() for t in targets}).select(each, "*")
+    starts = [_start_values(rows, key, t, copies, seed) for t in targets]
+    for t, values in zip(targets, starts):
+        state = _filled(state, values, key, t)
     state = cut_lineage(state)
-    log = []
+    fixed = _products(complete.withColumn("_cell", F.col("_stratum")), plan)
+    equations, cell = plan.matrix(), F.col("_stratum") * len(copies) + F.array_position(F.array(*[F.lit(c) for c in copies]), F.col("imp")) - 1
+    log, left_out = [], []
     for cycle in range(1, cycles + 1):
-        for t in targets:
-            values = _matched_values(state, plan, key, t, seed, cycle, donors)
-            before, state = state, cut_lineage(_filled(state, values, key, t))
-            discard(before)
-            discard(values)
-        log += _trace_rows(state, plan, cycle)
-    trace = local_table(df.sparkSession, 
-        log, "cycle int, imp int, variable string, n_imputed long, mean double, sd double"
-    )
-    completed = state.drop(*[f"_missing_{t}" for t in targets])
-    return Imputation(completed, original, trace)
+        now, fresh = state, []
+        for order, t in enumerate(targets):
+            moving = _products(now.where(~F.col(f"_missing_{t}")).withColumn("_cell", cell), plan)
+            solved = []
+            for s, name in names.items():
+                for i, imp in enumerate(copies):
+                    total = fixed.get(s, 0) + moving.get(s * len(copies) + i, 0)
+                    fit, draw, out = draw_coefficients(total, *equations[t], seed, cycle, t, imp, name)
+                    solved.append((s, imp, fit.tolist(), draw.tolist()))
+                    left_out += [(str(name), imp, cycle, t, plan.features()[c][1]) for c in out]
+            values = _step(plan, complete, now, solved, key, t, seed, cycle, donors)
+            now = _filled(now, values, key, t)
+            fresh.append(values)
+        before, state = state, cut_lineage(now)
+        for spent in (before, *fresh):
+            discard(spent)
+        log += _trace_rows(state, plan, cycle, names if strata else None)
+    for spent in starts:
+        discard(spent)
+    spark = df.sparkSession
+    trace = local_table(spark, log, "cycle int, imp int, " + ("stratum string, " if strata else "") + "variable string, n_imputed long, mean double, sd double")
+    dropped = local_table(spark, left_out, "stratum string, imp int, cycle int, variable string, predictor string")
+    completed = complete.select(each, *kept).unionByName(state.select("imp", *kept))
+    return Imputation(completed, original, trace, dropped)
 
 
-def _filled(state: DataFrame, values: DataFrame, key: str, target: str) -> DataFrame:
-    replaced = F.when(F.col(f"_missing_{target}"), F.col("_value")).otherwise(F.col(target))
-    return state.join(values, ["imp", key], "left").withColumn(target, replaced).drop("_value")
+def _step(
+    plan: ImputationPlan, complete: DataFrame, now: DataFrame, solved: list[tuple], key: str, target: str, seed: int, cycle: int, donors: int
+) -> DataFrame:
+    """New values of one variable in all strata and copies, from the solved equations."""
+    # a row of 2p numbers per stratum and copy
+    coefficients = F.broadcast(
+        local_table(now.sparkSession, solved, "_stratum int, imp int, _fit array<double>, _draw array<double>")
+    )
+    used = sorted({i for _, _, fit, draw in solved for i in range(len(fit)) if fit[i] or draw[i]})
+    columns = [c for _, _, c in plan.features()]
+    score = lambda b: sum((columns[i] * F.get(F.col(b), F.lit(i)) for i in used), F.lit(0.0)).alias("_score")
+    given = lambda df, on: df.join(coefficients, on).select(
+        "_stratum", "imp", F.col(key).alias("_id"), score("_fit"), F.col(target).alias("_value")
+    )
+    both = ["_stratum", "imp"]
+    pool = given(complete, "_stratum").unionByName(given(now.where(~F.col(f"_missing_{target}")), both))
+    wanting = cut_lineage(
+        now.where(f"`_missing_{target}`").join(coefficients, both).select(*both, F.col(key).alias("_id"), score("_draw"))
+    )
+    out = _matched_values(pool, wanting, key, target, seed, cycle, donors)
+    discard(wanting)
+    return out
 
 
-def _trace_rows(state: DataFrame, plan: ImputationPlan, cycle: int) -> list[tuple]:
-    """Mean and deviation of the imputed cells, one row per copy and variable."""
+def _trace_rows(state: DataFrame, plan: ImputationPlan, cycle: int, names: dict[int, object] | None) -> list[tuple]:
+    """Mean and deviation of the imputed cells, one row per copy (and stratum) and variable."""
     stats = []
     for i, t in enumerate(plan.targets):
         cell = F.when(F.col(f"_missing_{t}"), plan.response(t))
         stats += [F.count(cell).alias(f"n{i}"), F.avg(cell).alias(f"m{i}"), F.stddev(cell).alias(f"s{i}")]
-    rows = state.groupBy("imp").agg(*stats).collect()
+    by = ["imp", "_stratum"] if names else ["imp"]
+    rows = state.groupBy(*by).agg(*stats).collect()
     return [
-        (cycle, r["imp"], t, r[f"n{i}"], r[f"m{i}"], r[f"s{i}"])
-        for r in sorted(rows, key=lambda r: r["imp"])
+        (cycle, r["imp"], *([str(names[r["_stratum"]])] if names else []), t, r[f"n{i}"], r[f"m{i}"], r[f"s{i}"])
+        for r in sorted(rows, key=lambda r: tuple(r[c] for c in by))
         for i, t in enumerate(plan.targets)
     ]
 

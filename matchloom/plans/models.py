@@ -12,11 +12,12 @@ from matchloom.functions import values as V
 from matchloom.operators import assembly as A
 from matchloom.operators import condlogit as CL
 from matchloom.operators import impute as I
+from matchloom.operators import matching as M
 from matchloom.operators.compare import stack_results
 from matchloom.plans.cohorts import SETS_SQL, matched
 from matchloom.plans.features import analysis
 from matchloom.plans.registry import query
-from matchloom.plans.roles import people, table
+from matchloom.plans.roles import people, stamp, table
 from matchloom.session import ensure_checkpoint_dir
 from matchloom.sources import batches as B
 from matchloom.sources import codelist_files as CF
@@ -105,15 +106,16 @@ PLAN = I.ImputationPlan(
 )
 
 
-# imputations of a session by table folder: several queries read the same copies
+# imputations of a session by its tables and when they changed: several queries read the same copies
 _IMPUTED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def imputation(spark, sf) -> I.Imputation:
     done = _IMPUTED.setdefault(spark, {})
-    if sf not in done:
-        done[sf] = I.impute_chained(gappy_people(spark, sf), "person_id", PLAN, seed=100)
-    return done[sf]
+    key = (sf, *[stamp(spark, f"{sf}/{name}.parquet") for name in ("customer", "orders")])
+    if key not in done:
+        done[key] = I.impute_chained(gappy_people(spark, sf), "person_id", PLAN, seed=100)
+    return done[key]
 
 
 @query("imputed_copies")
@@ -205,6 +207,106 @@ def imputation_histogram(spark, sf):
     return I.observed_imputed_histogram(imputation(spark, sf), "person_id", "score", 5.0)
 
 
+PER_SEX = I.ImputationPlan(targets=("price", "score"), predictors=("birth_year", "n_orders"), excluded={"score": ("birth_year",)})
+
+
+@query("imputation_by_stratum", _OBSERVED + """,
+cells AS (SELECT CAST(person_id % 2 = 0 AS INTEGER) AS female, count(*) AS n, count(*) - count(price) AS n_price, count(*) - count(score) AS n_score FROM gappy GROUP BY 1)
+SELECT CAST(i.imp AS INTEGER) AS imp, female, n AS n_rows, n_price, n_score, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed,
+  CAST(0 AS BIGINT) AS n_foreign, CAST(1 AS BIGINT) AS n_dropped FROM cells, range(1, 4) i(imp)""")
+def imputation_by_stratum(spark, sf):
+    """Both sexes imputed in the same jobs, from donors of their own sex.
+
+    Per copy and sex: rows, cells imputed, nulls left, observed cells changed, values
+    that nobody of the sex has, and predictors dropped (a copy of another is).
+    """
+    people_ = gappy_people(spark, sf).withColumn("again", 2 * F.col("n_orders") + 1)
+    plan = I.ImputationPlan(PER_SEX.targets, (*PER_SEX.predictors, "again"), excluded=PER_SEX.excluded)
+    result = I.impute_strata(people_, "person_id", plan, "female", copies=(1, 2, 3), cycles=2, seed=7)
+    old = result.original.select("person_id", *[F.col(t).alias(f"_{t}") for t in plan.targets])
+    joined = result.copies.join(old, "person_id")
+    for t in plan.targets:
+        pool = result.original.where(F.col(t).isNotNull()).select("female", t).distinct().withColumn(f"_in_{t}", F.lit(1))
+        joined = joined.join(pool, ["female", t], "left")
+    total = lambda tests: sum((F.sum(F.when(c, 1).otherwise(0)) for c in tests), F.lit(0)).cast("long")
+    found = joined.groupBy("imp", "female").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[total([F.col(f"_{t}").isNull()]).alias(f"n_{t}") for t in plan.targets],
+        total([F.col(t).isNull() for t in plan.targets]).alias("n_null"),
+        total([F.col(f"_{t}").isNotNull() & (F.col(f"_{t}") != F.col(t)) for t in plan.targets]).alias("n_changed"),
+        total([F.col(t).isNotNull() & F.col(f"_in_{t}").isNull() for t in plan.targets]).alias("n_foreign"),
+    )
+    spare = result.dropped.groupBy("imp", F.col("stratum").cast("int").alias("female")).agg(F.countDistinct(F.when(F.col("predictor").isin("n_orders", "again"), 1)).alias("n_dropped"))
+    return found.join(spare, ["imp", "female"], "left").na.fill(0, ["n_dropped"])
+
+
+# one copy and cycle of one target, predicted from n_orders alone by the predictor matrix
+SINGLE = I.ImputationPlan(targets=("price",), predictors=("birth_year", "female", "n_orders"), excluded={"price": ("birth_year", "female")})
+
+
+def single_imputation(spark, sf) -> I.Imputation:
+    """The price is a whole mean of cents, so that every engine has the same number."""
+    cents = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("person_id")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents")
+    )
+    whole = F.when(F.col("price").isNotNull(), F.floor(F.col("cents") / F.col("n_orders") / 100).cast("double"))
+    exact = gappy_people(spark, sf).join(cents, "person_id").withColumn("price", whole)
+    return I.impute_chained(exact, "person_id", SINGLE, copies=(1,), cycles=1, seed=100)
+
+
+def _hash_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {M.HASH_DIGITS}) AS BIGINT)"
+
+
+def _normal_sql(name: str) -> str:
+    uniform = lambda end: f"({_hash_sql(f"'100|1|price|1||{name}|{end}'")} / {M.HASH_RANGE}.0::DOUBLE)"
+    return f"sqrt(-2 * ln(1 - {uniform('a')})) * cos(2 * pi() * {uniform('b')})"
+
+
+_SINGLE_SQL = _OBSERVED + f""",
+cents AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS n FROM orders GROUP BY o_custkey),
+wide AS (
+  SELECT person_id, CASE WHEN price IS NOT NULL THEN floor(cents::DOUBLE / n / 100) END AS price, CAST(n AS DOUBLE) AS x
+  FROM gappy JOIN cents ON o_custkey = person_id),
+sums AS (
+  SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(price) AS sy, sum(x * price) AS sxy, sum(price * price) AS syy,
+    {_normal_sql('0')} AS z0, {_normal_sql('1')} AS z1, {_normal_sql('sigma')} AS zs FROM wide WHERE price IS NOT NULL),
+factor AS (SELECT *, sqrt(n) AS r11, sx / sqrt(n) AS r12, sqrt(sxx - sx / n * sx) AS r22 FROM sums),
+fitted AS (SELECT *, (sxy - r12 * (sy / r11)) / r22 / r22 AS b1 FROM factor),
+solved AS (SELECT *, (sy / r11 - r12 * b1) / r11 AS b0, n - 2 AS free FROM fitted),
+spread AS (SELECT *, sqrt((syy - b0 * sy - b1 * sxy) / (free * power(1 - 2 / (9 * free) + zs * sqrt(2 / (9 * free)), 3))) AS sigma FROM solved),
+equation AS (SELECT b0, b1, b1 + sigma * z1 / r22 AS d1, b0 + sigma * (z0 - r12 * (z1 / r22)) / r11 AS d0 FROM spread),
+ties AS (SELECT x, b0 + x * b1 AS score, count(*) AS n FROM wide, equation WHERE price IS NOT NULL GROUP BY ALL),
+asked AS (SELECT person_id, d0 + x * d1 AS score FROM wide, equation WHERE price IS NULL),
+sides AS (
+  SELECT person_id, t.x, t.n, abs(t.score - a.score) AS d, t.score AS place_at,
+    row_number() OVER (PARTITION BY person_id, t.score > a.score ORDER BY abs(t.score - a.score)) AS place FROM asked a, ties t),
+near AS (
+  SELECT person_id, x, n, sum(n) OVER (PARTITION BY person_id ORDER BY d, place_at) AS upto, sum(n) OVER (PARTITION BY person_id) AS total FROM sides WHERE place <= 5),
+placed AS (SELECT person_id, x, n, upto, {_hash_sql("'100|1|price|1|' || person_id")} % least(5, total) AS place FROM near),
+taken AS (SELECT person_id, arg_min(x, upto) AS x, arg_min(n, upto) AS n FROM placed WHERE upto > place GROUP BY person_id),
+donors AS (SELECT x, price, row_number() OVER (PARTITION BY x ORDER BY person_id) - 1 AS number FROM wide WHERE price IS NOT NULL),
+imputed AS (
+  SELECT person_id, d.price FROM taken t JOIN donors d ON d.x = t.x AND d.number = {_hash_sql("'100|1|price|tie|1|' || person_id")} % t.n)"""
+
+
+@query("imputed_copy_single", _SINGLE_SQL + """
+SELECT CAST(1 AS INTEGER) AS imp, w.person_id, coalesce(w.price, i.price) AS price, w.price IS NULL AS imputed FROM wide w LEFT JOIN imputed i USING (person_id)
+UNION ALL SELECT CAST(0 AS INTEGER), person_id, price, price IS NULL FROM wide""")
+def imputed_copy_single(spark, sf):
+    """One copy after one cycle, every value: coefficients, draws, donors and ties as SQL finds them."""
+    result = single_imputation(spark, sf)
+    asked = result.original.select("person_id", F.col("price").isNull().alias("imputed"))
+    return result.stacked().join(asked, "person_id").select("imp", "person_id", "price", "imputed")
+
+
+@query("imputation_trace_single", _SINGLE_SQL + """
+SELECT CAST(1 AS INTEGER) AS cycle, CAST(1 AS INTEGER) AS imp, 'price' AS variable, count(*) AS n_imputed, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS sd FROM imputed""")
+def imputation_trace_single(spark, sf):
+    trace = single_imputation(spark, sf).trace
+    return trace.withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+
+
 # -- models ------------------------------------------------------------------
 
 TERMS = ["exposed_12m", "statin", "admitted"]

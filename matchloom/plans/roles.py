@@ -6,7 +6,7 @@ items for dated coded records, quantities for measurements.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +22,22 @@ STUDY_END = "1998-12-31"
 OUTCOME_CODES = ("1-URGENT",)
 
 
-@lru_cache(maxsize=256)
-def _opened(application: str, path: str) -> DataFrame:
-    """Opened once per session: reading a file's schema costs a job."""
-    return read_table(SparkSession.active(), path)
+# tables opened by a session, for reading a file's schema costs a job
+_OPENED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def stamp(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return _opened(spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    opened, key = _OPENED.setdefault(spark, {}), (path, stamp(spark, path))
+    if key not in opened:
+        opened[key] = read_table(spark, path)
+    return opened[key]
 
 
 def born(spark: SparkSession, sf: str) -> DataFrame:
