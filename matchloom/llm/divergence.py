@@ -19,13 +19,14 @@ add these corrections per pair of sources, so only sums leave them.
 from __future__ import annotations
 
 import heapq
+import itertools
 import pickle
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,10 @@ from matchloom.llm.common import column, letters_table
 from matchloom.operators.ranking import first_rows
 from matchloom.session import broadcast_if_small, cut_lineage
 
-#: Counts in a block before it is spilled, entries in a chunk of a run, documents that make a term count.
-ENTRIES, CHUNK, LEAST_DOCS = 200_000, 2_000, 3
+#: Counts in a block before it is spilled, terms in a chunk of a run, documents that make a term count.
+ENTRIES, CHUNK, LEAST_DOCS = 1_000_000, 5_000, 3
+#: Merged terms that are summed together.
+MERGED = 4_096
 #: Shards for each shuffle partition, so that partitions get about as many terms each.
 SHARDS_EACH = 4
 #: Pairs of sources whose sums a task holds before it passes them on.
@@ -59,7 +62,7 @@ def _words(text: str) -> Iterator[list[bytes]]:
 
 
 class _Block:
-    """Counts in memory: by (language, term) the number of documents and the counts per source."""
+    """Counts in memory: words per (language, source), and per language the documents of each term."""
 
     def __init__(self, shards: int) -> None:
         self.shards, self.counts, self.docs = shards, {}, {}
@@ -76,23 +79,33 @@ class _Block:
         return sum(map(len, self.counts.values())) + sum(map(len, self.docs.values()))
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """Chunks (shard, language and first term, entries) of the block, in term order within a shard."""
-        entries: dict[tuple[bytes, bytes], list] = {}
-        for lang, counts in self.docs.items():
-            key = lang.encode("utf-8", "surrogatepass")
-            entries.update({(key, term): [n, []] for term, n in counts.items()})
-        for (lang, source), counts in self.counts.items():
-            key = lang.encode("utf-8", "surrogatepass")
-            for term, n in counts.items():
-                entries[key, term][1].append((source, n))
-        shards: list[list] = [[] for _ in range(self.shards)]
-        for key in sorted(entries):
-            shards[xxhash.xxh64_intdigest(key[1], seed=len(key[0])) % self.shards].append((key, *entries[key]))
-        self.counts, self.docs = {}, {}
-        for shard, run in enumerate(shards):
-            for at in range(0, len(run), CHUNK):
-                part = run[at : at + CHUNK]
-                yield shard, *part[0][0], pickle.dumps(part, protocol=5)
+        """Chunks (shard, language, first term, contents) of the block, in term order within a shard."""
+        for lang in sorted(self.docs, key=_utf8):
+            docs = self.docs.pop(lang)
+            terms = sorted(docs)
+            place = {t: i for i, t in enumerate(terms)}
+            sources = sorted(s for g, s in self.counts if g == lang)
+            own = [self.counts.pop((lang, s)) for s in sources]
+            at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in own])
+            number = np.repeat(np.arange(len(own)), [len(c) for c in own])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in own])
+            order = np.lexsort((number, at))
+            number, count = number[order], count[order]
+            ends = np.cumsum(np.bincount(at, minlength=len(terms)))
+            n_docs = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+            shard = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % self.shards
+            for of in range(self.shards):
+                mine = np.flatnonzero(shard == of)
+                for begin in range(0, len(mine), CHUNK):
+                    part = mine[begin : begin + CHUNK]
+                    sizes = ends[part] - np.where(part > 0, ends[part - 1], 0)
+                    cells = np.repeat(ends[part] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+                    words = [terms[i] for i in part]
+                    yield of, _utf8(lang), words[0], pickle.dumps((words, n_docs[part], sizes, sources, number[cells], count[cells]), protocol=5)
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _spilled(shards: int):
@@ -100,14 +113,8 @@ def _spilled(shards: int):
         block = _Block(shards)
 
         def spill() -> Iterator[pa.RecordBatch]:
-            held: list = []
-            for chunk in block.runs():
-                held.append(chunk)
-                if len(held) >= 64:
-                    yield _batch(held, ("shard", "lang", "first", "entries"), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))
-                    held = []
-            if held:
-                yield _batch(held, ("shard", "lang", "first", "entries"), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+            for chunks in itertools.batched(block.runs(), 64):
+                yield _batch(chunks, ("shard", "lang", "first", "entries"), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -119,64 +126,111 @@ def _spilled(shards: int):
     return run
 
 
-def _batch(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
+def _batch(rows: Sequence[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
-def _merged_terms(chunks: Iterator[tuple[int, tuple[bytes, bytes], bytes]]) -> Iterator[tuple]:
-    """Entries of all runs of one shard after another, equal terms joined, by a heap of open chunks."""
-    heap: list = []
-    shard, opened, now = None, 0, None
+class _Run:
+    """An open chunk: its terms, where each one's counts begin, and how far it is merged."""
 
-    def due(limit) -> Iterator[tuple]:
-        nonlocal now
+    def __init__(self, entries: bytes) -> None:
+        self.words, self.docs, sizes, sources, self.number, self.count = pickle.loads(entries)
+        self.sources, self.sizes = np.array(sources, dtype=object), sizes
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.done, self.at = 0, 0
+        self.groups: list[int] = []
+
+
+class _Merge:
+    """Runs of one shard and language, merged by a heap of their next terms."""
+
+    def __init__(self) -> None:
+        self.heap: list[tuple[bytes, int]] = []
+        self.runs: dict[int, _Run] = {}
+        self.words: list[bytes] = []
+        self.opened = 0
+
+    def open(self, entries: bytes) -> None:
+        self.opened += 1
+        run = self.runs[self.opened] = _Run(entries)
+        heapq.heappush(self.heap, (run.words[0], self.opened))
+
+    def upto(self, limit: bytes | None) -> Iterator[tuple]:
+        """Terms below ``limit`` (all without one): batches of words, documents, and (word, source, count)."""
+        heap, runs, words = self.heap, self.runs, self.words
         while heap and (limit is None or heap[0][0] < limit):
-            key, _, at, part = heap[0]
-            _, docs, counts = part[at]
-            if now is None or now[0] != key:
-                if now is not None:
-                    yield now
-                now = [key, 0, Counter()]
-            now[1] += docs
-            for source, n in counts:
-                now[2][source] += n
-            if at + 1 < len(part):
-                heapq.heapreplace(heap, (part[at + 1][0], heap[0][1], at + 1, part))
+            word, number = heap[0]
+            if not words or words[-1] != word:
+                if len(words) >= MERGED:
+                    yield self._joined()
+                words.append(word)
+            run = runs[number]
+            run.groups.append(len(words) - 1)
+            run.at += 1
+            if run.at < len(run.words):
+                heapq.heapreplace(heap, (run.words[run.at], number))
             else:
                 heapq.heappop(heap)
-
-    for here, first, entries in chunks:
-        yield from due(None if here != shard else first)
-        if here != shard and now is not None:
-            yield now
-            now = None
-        shard, opened = here, opened + 1
-        part = pickle.loads(entries)
-        heapq.heappush(heap, (part[0][0], opened, 0, part))
-    yield from due(None)
-    if now is not None:
-        yield now
+        # the last term may go on in a chunk that is not open yet only if it is not below the limit
+        if words:
+            yield self._joined()
+
+    def _joined(self) -> tuple:
+        """The terms merged so far with the sums of their documents and counts."""
+        names: dict[str, int] = {}
+        docs = np.zeros(len(self.words), dtype=np.int64)
+        words, sources, counts = [], [], []
+        for number, run in list(self.runs.items()):
+            if run.groups:
+                groups, part = np.array(run.groups), slice(run.done, run.at)
+                docs[groups] += run.docs[part]
+                cells = slice(run.starts[run.done], run.starts[run.at])
+                ids = np.array([names.setdefault(s, len(names)) for s in run.sources], dtype=np.int64)
+                words.append(np.repeat(groups, run.sizes[part]))
+                sources.append(ids[run.number[cells]])
+                counts.append(run.count[cells])
+                run.done, run.groups = run.at, []
+            if run.done == len(run.words):
+                del self.runs[number]
+        key = np.concatenate(words) * len(names) + np.concatenate(sources)
+        cell, back = np.unique(key, return_inverse=True)
+        total = np.zeros(len(cell), dtype=np.int64)
+        np.add.at(total, back, np.concatenate(counts))
+        out = self.words[:], docs, cell // len(names), np.array(list(names), dtype=object)[cell % len(names)], total
+        self.words.clear()
+        return out
+
+
+def _merged_terms(chunks: Iterator[tuple[int, bytes, bytes, bytes]]) -> Iterator[tuple]:
+    """Chunks in order of shard, language and first term, merged: (language, words, documents, word, source, count)."""
+    for (_, lang), same in itertools.groupby(chunks, key=lambda c: c[:2]):
+        merge = _Merge()
+        for _, _, first, entries in same:
+            for part in merge.upto(first):
+                yield lang, *part
+            merge.open(entries)
+        for part in merge.upto(None):
+            yield lang, *part
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms that count, with their counts per source in order of the source."""
-
-    def chunks():
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in range(4)]
-                yield row[0], (row[1], row[2]), row[3]
-
-    types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    held: list = []
-    for (lang, term), docs, counts in _merged_terms(chunks()):
-        if docs >= LEAST_DOCS:
-            held.append((lang.decode("utf-8", "replace"), term.decode("utf-8", "replace"), *map(list, zip(*sorted(counts.items())))))
-        if len(held) >= 4096:
-            yield _batch(held, ("lang", "term", "sources", "counts"), types)
-            held = []
-    if held:
-        yield _batch(held, ("lang", "term", "sources", "counts"), types)
+    """Terms that count, with their counts per source."""
+    chunks = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(4))))
+    for lang, words, docs, word, source, count in _merged_terms(chunks):
+        kept = np.flatnonzero(docs >= LEAST_DOCS)
+        if not len(kept):
+            continue
+        cells = np.isin(word, kept)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(word[cells], minlength=len(words))[kept])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang.decode("utf-8", "replace")] * len(kept), pa.string()),
+                pa.array([words[i].decode("utf-8", "replace") for i in kept], pa.string()),
+                pa.ListArray.from_arrays(ends, pa.array(source[cells], pa.string())),
+                pa.ListArray.from_arrays(ends, pa.array(count[cells], pa.int64())),
+            ],
+            names=["lang", "term", "sources", "counts"],
+        )
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -193,37 +247,40 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return cut_lineage(dealt.mapInArrow(_frequencies, "lang string, term string, sources array<string>, counts array<bigint>"))
 
 
+def _part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far each ``x`` of a term is from each ``y`` of it, terms in the first axis."""
+    return (x[:, :, None] - y[:, None, :]) ** 2 // y[:, None, :]
+
+
 class _Sums:
-    """Sums per pair of sources of a language, as a square that grows."""
+    """Sums per pair of sources, as a square that grows."""
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {}
         self.square = np.zeros((16, 16), dtype=np.int64)
 
-    def add(self, sources: list[str], value: np.ndarray) -> None:
-        at = [self.at.setdefault(s, len(self.at)) for s in sources]
+    def add(self, names: list[str], number: np.ndarray, value: np.ndarray) -> None:
+        """Add ``value`` (term, source, source) of the sources ``number`` (term, source)."""
+        places = np.array([self.at.setdefault(s, len(self.at)) for s in names], dtype=np.int64)
         if len(self.at) > len(self.square):
             wider = np.zeros((2 * len(self.at),) * 2, dtype=np.int64)
             wider[: len(self.square), : len(self.square)] = self.square
             self.square = wider
-        self.square[np.ix_(at, at)] += value
+        at = places[number]
+        np.add.at(self.square, (at[:, :, None], at[:, None, :]), value)
 
     def rows(self, lang: str) -> list[tuple]:
         names = list(self.at)
         return [(lang, names[i], names[j], int(self.square[i, j])) for i, j in zip(*np.nonzero(self.square)) if i != j]
 
 
-def _part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How far each ``x`` is from each ``y``."""
-    return (x[:, None] - y[None, :]) ** 2 // y[None, :]
-
-
 def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corrections per pair of sources, summed over the terms that both have.
 
     Each row has, for one term, its sources with their probabilities ``p`` and what
     these are without a count, ``zero``. Two sources that share the term have been
-    counted as each against the other's zero.
+    counted as each against the other's zero. Terms with as many sources are taken
+    together.
     """
     sums: dict[str, _Sums] = {}
 
@@ -234,12 +291,24 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows, ("lang", "source", "item", "value"), (pa.string(), pa.string(), pa.string(), pa.int64()))
 
     for batch in batches:
-        for lang, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p, zero = (np.array([x[c] for x in of], dtype=np.int64) for c in ("p", "zero"))
-            value = _part(p, p) - _part(p, zero) - _part(zero, p) + _part(zero, zero)
-            sums.setdefault(lang, _Sums()).add([x["source"] for x in of], value)
-            if sum(len(s.at) ** 2 for s in sums.values()) >= HELD:
-                yield from out()
+        langs, of = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1)
+        cells = of.flatten()
+        source = cells.field("source").dictionary_encode()
+        names, number = source.dictionary.to_pylist(), np.asarray(source.indices)
+        p, zero = (np.asarray(cells.field(c)) for c in ("p", "zero"))
+        ends = np.asarray(of.offsets) - of.offsets[0].as_py()
+        sizes = np.diff(ends)
+        for lang in np.unique(langs):
+            for size in np.unique(sizes[langs == lang]):
+                rows = np.flatnonzero((langs == lang) & (sizes == size))
+                step = max(1, HELD // int(size) ** 2)
+                for begin in range(0, len(rows), step):
+                    at = ends[rows[begin : begin + step], None] + np.arange(size)
+                    x, z = p[at], zero[at]
+                    value = _part(x, x) - _part(x, z) - _part(z, x) + _part(z, z)
+                    sums.setdefault(str(lang), _Sums()).add(names, number[at], value)
+        if sum(len(s.at) ** 2 for s in sums.values()) >= HELD:
+            yield from out()
     yield from out()
 
 

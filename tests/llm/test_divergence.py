@@ -66,14 +66,21 @@ def test_small_blocks_and_chunks_merge_to_the_same(spark, monkeypatch):
     for text, lang, source in rows:
         block.add(lang, source, text)
         if block.size() >= 100:
-            chunks += [(s, (a, b), e) for s, a, b, e in block.runs()]
-    chunks += [(s, (a, b), e) for s, a, b, e in block.runs()]
-    merged = list(D._merged_terms(iter(sorted(chunks, key=lambda c: c[:2]))))
-    counted = defaultdict(Counter)
+            chunks += block.runs()
+    chunks += block.runs()
+    assert len(chunks) > 100
+    monkeypatch.setattr(D, "MERGED", 7)
+    merged, docs, seen = Counter(), Counter(), set()
+    for lang, words, n, word, source, count in D._merged_terms(iter(sorted(chunks, key=lambda c: c[:3]))):
+        assert words == sorted(words) and not seen & {(lang, w) for w in words}
+        seen |= {(lang, w) for w in words}
+        docs.update({(lang, w): int(x) for w, x in zip(words, n)})
+        merged.update({(lang, words[w], s): int(c) for w, s, c in zip(word, source, count)})
+    want_counts, want_docs = Counter(), Counter()
     for text, lang, source in rows:
-        for t in terms(text):
-            counted[lang.encode(), t.encode()][source] += 1
-    assert len(merged) == len(counted) and {k: c for k, _, c in merged} == counted
+        want_counts.update((lang.encode(), t.encode(), source) for t in terms(text))
+        want_docs.update({(lang.encode(), t.encode()) for t in terms(text)})
+    assert merged == want_counts and docs == want_docs
     assert run(spark, rows) == want
 
 
