@@ -51,3 +51,22 @@ def with_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[
     """Products of column pairs, named ``a:b``."""
     columns = {f"{a}:{b}": F.col(f"`{a}`") * F.col(f"`{b}`") for a, b in pairs}
     return df.withColumns(columns), list(columns)
+
+
+def model_terms(
+    df: DataFrame,
+    terms: Sequence[str] = (),
+    factors: Mapping[str, tuple[Sequence, object]] | None = None,
+    interactions: Sequence[tuple[str, str]] = (),
+) -> tuple[DataFrame, list[str]]:
+    """The columns of a model with factors: ``terms``, a 0/1 column per level but the reference, and interactions.
+
+    An interaction names terms or factors; of a factor every level but the
+    reference is multiplied. Returns the table and the names of the columns.
+    """
+    factors = dict(factors or {})
+    columns = {f: list(level_dummies(f, *spec)) for f, spec in factors.items()}
+    wide, dummies = with_dummies(df, factors)
+    pairs = [(a, b) for x, y in interactions for a in columns.get(x, [x]) for b in columns.get(y, [y])]
+    wide, products = with_interactions(wide, pairs)
+    return wide, [*terms, *dummies, *products]

@@ -3,7 +3,9 @@
 With one case per set the exact conditional likelihood is a softmax over the
 members of the set. A Newton step needs sums over sets of within-set means and
 covariances; tasks compute them with numpy on the rows they hold and only the
-p + p*p sums per copy reach the driver, which solves the p-by-p system.
+p + p*p sums per copy reach the driver, which solves the p-by-p system. A set that
+lies in several tasks is put together from their moments (largest predictor, weights,
+weighted terms and products), which merge in any order.
 """
 
 from __future__ import annotations
@@ -20,16 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.vectors import sum_vectors
-from matchloom.session import cut_lineage, local_table
+from matchloom.session import cut_lineage, discard, local_table
 
 # The task functions travel with the job, so executors need numpy and pandas only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMAL_975 = 1.96
-HOT_SET_ROWS = 10_000
-HOT_SET_SLICES = 256
-PART_SCHEMA = "imp int, vec array<double>"
-SLICE_SCHEMA = "imp int, member_set string, peak double, vec array<double>"
+#: Rows whose products of terms are held at a time.
+PIECE = 4_096
+PART_SCHEMA = "imp int, member_set string, peak double, vec array<double>"
 
 
 class ModelError(ValueError):
@@ -47,100 +48,115 @@ class ConditionalFit:
     n_dropped_sets: int
 
 
-def _segments(frame: pd.DataFrame) -> np.ndarray:
-    imp, sets = frame["imp"].to_numpy(), frame["member_set"].to_numpy()
-    change = (imp[1:] != imp[:-1]) | (sets[1:] != sets[:-1])
-    return np.concatenate([[0], np.flatnonzero(change) + 1])
+@dataclass
+class _Moments:
+    """Sums over members of one set, relative to the largest linear predictor seen.
+
+    ``vec`` holds the sum of weights, of weights times terms and of weights times
+    products of terms, then what the case adds: its predictor and its terms. Two
+    of them merge by scaling the weights to the larger peak.
+    """
+
+    imp: int
+    member_set: str
+    peak: float
+    vec: np.ndarray
+
+    def add(self, other: _Moments, weighted: int) -> None:
+        peak = max(self.peak, other.peak)
+        mine, theirs = math.exp(self.peak - peak), math.exp(other.peak - peak)
+        self.vec[:weighted] = mine * self.vec[:weighted] + theirs * other.vec[:weighted]
+        self.vec[weighted:] += other.vec[weighted:]
+        self.peak = peak
 
 
-def _moments(frame: pd.DataFrame, terms: Sequence[str], beta: dict[int, np.ndarray]):
-    """Per set: peak, sum of weights, weighted means' numerators, case terms; plus row weights."""
-    x = frame[list(terms)].to_numpy(dtype=float)
-    case = frame["case"].to_numpy(dtype=float)
-    starts = _segments(frame)
-    b = np.stack([beta[i] for i in frame["imp"].to_numpy()[starts]])
+def _moments(frame: pd.DataFrame, terms: Sequence[str], beta: dict[int, np.ndarray]) -> tuple:
+    """Copies, sets, peaks and vectors of the sets of a sorted frame, in order."""
+    x, case = frame[list(terms)].to_numpy(dtype=float), frame["case"].to_numpy(dtype=float)
+    imp, sets = frame["imp"].to_numpy(), frame["member_set"].to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero((imp[1:] != imp[:-1]) | (sets[1:] != sets[:-1])) + 1])
     sizes = np.diff(np.append(starts, len(frame)))
-    eta = np.einsum("ij,ij->i", x, np.repeat(b, sizes, axis=0))
+    eta = np.einsum("ij,ij->i", x, np.repeat(np.stack([beta[i] for i in imp[starts]]), sizes, axis=0))
     peak = np.maximum.reduceat(eta, starts)
     weight = np.exp(eta - np.repeat(peak, sizes))
-    total = np.add.reduceat(weight, starts)
-    first = np.add.reduceat(weight[:, None] * x, starts, axis=0)
-    of_case = np.add.reduceat(case[:, None] * x, starts, axis=0)
-    eta_case = np.add.reduceat(case * eta, starts)
-    return x, starts, sizes, peak, weight, total, first, of_case, eta_case
+    second = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    rows = np.column_stack([weight, weight[:, None] * x, weight[:, None] * second, case * eta, case[:, None] * x])
+    return imp[starts], sets[starts], peak, np.add.reduceat(rows, starts, axis=0)
 
 
-def _whole_set_sums(terms: Sequence[str], beta: dict[int, np.ndarray]):
-    """Task function for sets that lie in one partition, sorted by copy and set."""
+def _finished(peak: np.ndarray, vec: np.ndarray, p: int) -> np.ndarray:
+    """What whole sets add: log likelihood, gradient, negative Hessian."""
+    total, mean = vec[:, 0], vec[:, 1 : 1 + p] / vec[:, :1]
+    hessian = vec[:, 1 + p : 1 + p + p * p] / vec[:, :1] - (mean[:, :, None] * mean[:, None, :]).reshape(len(vec), -1)
+    eta_case, of_case = vec[:, 1 + p + p * p], vec[:, 2 + p + p * p :]
+    return np.column_stack([eta_case - peak - np.log(total), of_case - mean, hessian])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        rest: pd.DataFrame | None = None
-
-        def add(frame: pd.DataFrame) -> None:
-            x, starts, sizes, peak, weight, total, first, of_case, eta_case = _moments(frame, terms, beta)
-            mean = first / total[:, None]
-            share = weight / np.repeat(total, sizes)
-            fit = eta_case - peak - np.log(total)
-            imps = frame["imp"].to_numpy()
-            for imp in np.unique(imps):
-                rows, sets = imps == imp, imps[starts] == imp
-                hessian = x[rows].T @ (share[rows, None] * x[rows]) - mean[sets].T @ mean[sets]
-                vector = np.concatenate([[fit[sets].sum()], (of_case - mean)[sets].sum(axis=0), hessian.ravel()])
-                sums[int(imp)] = sums.get(int(imp), 0) + vector
-
-        for batch in batches:
-            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            last = _segments(frame)[-1]
-            if last:
-                add(frame.iloc[:last])
-            rest = frame.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            add(rest)
-        if sums:
-            yield pd.DataFrame({"imp": list(sums), "vec": [v.tolist() for v in sums.values()]})
-
-    return run
 
+def _set_sums(terms: Sequence[str], beta: dict[int, np.ndarray]):
+    """Task function over rows sorted by copy and set.
 
-def _set_slices(terms: Sequence[str], beta: dict[int, np.ndarray]):
-    """Task function for slices of large sets: sums relative to the slice's own peak."""
+    Sets that end inside the partition are finished and summed per copy. The first
+    and the last set may go on in another partition; their moments leave as they are,
+    at most two rows per task.
+    """
+    p = len(terms)
+    weighted = 1 + p + p * p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        first: _Moments | None = None
+        last: _Moments | None = None
         for frame in batches:
             if not len(frame):
                 continue
-            x, starts, sizes, peak, weight, total, first, of_case, eta_case = _moments(frame, terms, beta)
-            rows = []
-            for s, (start, size) in enumerate(zip(starts, sizes)):
-                part, w = x[start:start + size], weight[start:start + size]
-                second = part.T @ (w[:, None] * part)
-                rows.append(np.concatenate([[total[s]], first[s], second.ravel(), [eta_case[s]], of_case[s]]).tolist())
-            heads = frame.iloc[starts]
-            yield pd.DataFrame(
-                {"imp": heads["imp"], "member_set": heads["member_set"], "peak": peak, "vec": rows}
-            )
+            # in pieces, since a row has p * p products
+            for at in range(0, len(frame), PIECE):
+                imps, sets, peaks, vecs = _moments(frame.iloc[at : at + PIECE], terms, beta)
+                begin = 0
+                if last is not None and (last.imp, last.member_set) == (int(imps[0]), sets[0]):
+                    last.add(_Moments(last.imp, last.member_set, float(peaks[0]), vecs[0]), weighted)
+                    begin = 1
+                if begin == len(imps):
+                    continue
+                if last is not None and first is None:
+                    first = last
+                elif last is not None:
+                    sums[last.imp] = sums.get(last.imp, 0) + _finished(np.array([last.peak]), last.vec[None, :], p)[0]
+                inner = slice(begin + (first is None and last is None), len(imps) - 1)
+                if first is None and last is None and len(imps) > 1:
+                    first = _Moments(int(imps[0]), sets[0], float(peaks[0]), vecs[0].copy())
+                if inner.start < inner.stop:
+                    done = _finished(peaks[inner], vecs[inner], p)
+                    for imp in np.unique(imps[inner]):
+                        sums[int(imp)] = sums.get(int(imp), 0) + done[imps[inner] == imp].sum(axis=0)
+                last = _Moments(int(imps[-1]), sets[-1], float(peaks[-1]), vecs[-1].copy())
+        rows = [(imp, None, None, v.tolist()) for imp, v in sums.items()]
+        rows += [(m.imp, m.member_set, m.peak, m.vec.tolist()) for m in (first, last) if m is not None]
+        if rows:
+            yield pd.DataFrame(rows, columns=["imp", "member_set", "peak", "vec"])
 
     return run
 
 
-def _joined_slices(p: int):
-    """Group function: a large set from its slices (one row per slice and Arrow batch)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        peak = frame["peak"].max()
-        scale = np.exp(frame["peak"].to_numpy() - peak)
-        vec = np.stack(frame["vec"].to_numpy())
-        weighted = (vec[:, : 1 + p + p * p] * scale[:, None]).sum(axis=0)
-        total, mean = weighted[0], weighted[1:1 + p] / weighted[0]
-        hessian = weighted[1 + p:].reshape(p, p) / total - np.outer(mean, mean)
-        eta_case, of_case = vec[:, 1 + p + p * p].sum(), vec[:, 2 + p + p * p:].sum(axis=0)
-        out = np.concatenate([[eta_case - peak - np.log(total)], of_case - mean, hessian.ravel()])
-        return pd.DataFrame({"imp": [frame["imp"].iloc[0]], "vec": [out.tolist()]})
-
-    return run
+def _joined(moments: DataFrame, p: int) -> DataFrame:
+    """What sets add whose moments come from several tasks: ``imp``, ``vec``."""
+    weighted = 1 + p + p * p
+    key = ["imp", "member_set"]
+    peaks = moments.groupBy(*key).agg(F.max("peak").alias("top"))
+    scaled = F.transform("vec", lambda v, i: F.when(i < weighted, v * F.exp(F.col("peak") - F.col("top"))).otherwise(v))
+    cells = moments.join(peaks, key).select(*key, "top", F.posexplode(scaled).alias("at", "x"))
+    whole = (
+        cells.groupBy(*key, "top", "at").agg(F.sum("x").alias("x"))
+        .groupBy(*key, "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("v"))
+    )
+    v = lambda i: F.get("v", i)
+    places = F.sequence(F.lit(0), F.lit(p - 1))
+    gradient = F.transform(places, lambda i: v(i + 2 + p + p * p) - v(i + 1) / v(F.lit(0)))
+    hessian = F.flatten(F.transform(places, lambda i: F.transform(
+        places, lambda j: v(i * p + j + 1 + p) / v(F.lit(0)) - v(i + 1) * v(j + 1) / v(F.lit(0)) / v(F.lit(0))
+    )))
+    fit = F.array(v(F.lit(weighted)) - F.col("top") - F.log(v(F.lit(0))))
+    return whole.select("imp", F.concat(fit, gradient, hessian).alias("vec"))
 
 
 def fit_conditional_logistic(
@@ -151,14 +167,15 @@ def fit_conditional_logistic(
     copy: str | None = None,
     max_steps: int = 50,
     tolerance: float = 1e-8,
-    hot_set_rows: int = HOT_SET_ROWS,
+    slices: int | None = None,
 ) -> ConditionalFit:
     """Fit ``case ~ terms`` within sets, for every copy in the same jobs.
 
     Rows with a null term are left out; sets without a control or without a
     case then carry no information and are dropped and counted. A set with two
-    cases is an error. A set above ``hot_set_rows`` is split over tasks and
-    joined from its slices' sums. Non-convergence and separation raise.
+    cases is an error. Rows are range partitioned by (copy, set, row), so a set of any
+    size spreads over tasks; ``slices`` sets their number, by default Spark does.
+    Non-convergence and separation raise.
     """
     terms = list(terms)
     p = len(terms)
@@ -177,20 +194,17 @@ def fit_conditional_logistic(
         F.count(F.when(good, 1)).alias("used"),
         F.count(F.when(~good, 1)).alias("dropped"),
         F.max("_cases").alias("cases"),
-        F.max(F.when(good, F.col("_n"))).alias("largest"),
     ).first()
     if (facts["cases"] or 0) > 1:
         raise ModelError("a set has more than one case")
     if not facts["used"]:
         raise ModelError("no set has both its case and a control")
-    hot = F.col("_n") > hot_set_rows
+    order = ["imp", "member_set", "_spread"]
+    kept = cut_lineage(rows.join(sizes.where(good).select("imp", "member_set"), ["imp", "member_set"], "left_semi"))
     prepared = (
-        rows.join(sizes.where(good), ["imp", "member_set"])
-        .withColumn("_hot", hot)
-        .withColumn("_slice", F.when(hot, F.pmod("_spread", F.lit(HOT_SET_SLICES))).otherwise(F.lit(0)))
-        .drop("_cases", "_n", "_spread")
-        .repartition("imp", "member_set", "_slice")
+        (kept.repartitionByRange(slices, *order) if slices else kept.repartitionByRange(*order))
         .sortWithinPartitions("imp", "member_set")
+        .drop("_spread")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
@@ -199,21 +213,14 @@ def fit_conditional_logistic(
         flat = [t for t, s in zip(terms, scale) if s < 1e-12]
         if flat:
             raise ModelError(f"terms do not vary: {flat}")
-        scaled = prepared.select(
-            "imp", "member_set", "case", "_hot", *[(F.col(c) / float(s)).alias(c) for c, s in zip(x, scale)]
-        )
-        columns = ["imp", "member_set", "case", *x]
-        has_hot = facts["largest"] > hot_set_rows
+        scaled = prepared.select("imp", "member_set", "case", *[(F.col(c) / float(s)).alias(c) for c, s in zip(x, scale)])
 
         def evaluate(beta: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-            whole = scaled.where(~F.col("_hot")) if has_hot else scaled
-            parts = whole.select(*columns).mapInPandas(_whole_set_sums(x, beta), PART_SCHEMA)
-            if has_hot:
-                slices = scaled.where(F.col("_hot")).select(*columns).mapInPandas(_set_slices(x, beta), SLICE_SCHEMA)
-                parts = parts.unionByName(
-                    slices.groupBy("imp", "member_set").applyInPandas(_joined_slices(p), PART_SCHEMA)
-                )
-            return sum_vectors(parts)
+            parts = cut_lineage(scaled.mapInPandas(_set_sums(x, beta), PART_SCHEMA))
+            cut = parts.where(F.col("member_set").isNotNull())
+            out = sum_vectors(parts.where(F.col("member_set").isNull()).select("imp", "vec").unionByName(_joined(cut, p)))
+            discard(parts)
+            return out
 
         copies = [r["imp"] for r in prepared.select("imp").distinct().collect()]
         beta = {i: np.zeros(p) for i in copies}

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from matchloom.operators.ranking import running_total
+from matchloom.session import cut_lineage
+
+QUARTERS = (0.25, 0.5, 0.75)
 
 
 def freq_one(df: DataFrame, column: str) -> DataFrame:
@@ -68,9 +72,8 @@ def describe_by(df: DataFrame, by: str, column: str, accuracy: int | None = None
     sketch.
     """
     value = F.col(column).cast("double")
-    quarters = [0.25, 0.5, 0.75]
     if accuracy:
-        quartiles = F.percentile_approx(value, quarters, accuracy)
+        quartiles = F.percentile_approx(value, list(QUARTERS), accuracy)
         table = df.groupBy(by)
         stats = [F.count(value), F.avg(value), F.stddev(value), F.min(value), quartiles, F.max(value)]
         names = ["count", "mean", "std", "min", "_q", "max"]
@@ -86,15 +89,7 @@ def describe_by(df: DataFrame, by: str, column: str, accuracy: int | None = None
         # a struct, so that a null group is a key like any other
         stats = stats.withColumn("_key", F.struct(by))
         counts = df.where(value.isNotNull()).groupBy(F.struct(by).alias("_key"), value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_total(counts, ["_value"], ["_key"], weight=F.col("_n"), out="_upto").join(
-            stats.select("_key", "count"), "_key"
-        )
-        at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_value")))
-        place = [q * (F.col("count") - 1) for q in quarters]
-        low, high = [at(F.floor(p)) for p in place], [at(F.ceil(p)) for p in place]
-        part = [F.max(p - F.floor(p)) for p in place]
-        found = placed.groupBy("_key").agg(F.array(*[a + f * (b - a) for a, b, f in zip(low, high, part)]).alias("_q"))
-        out = stats.join(found, "_key", "left")
+        out = stats.join(_quartiles(counts, stats.select("_key", "count")), "_key", "left")
     return out.select(
         by, "count", "mean", "std", "min",
         *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
@@ -102,16 +97,46 @@ def describe_by(df: DataFrame, by: str, column: str, accuracy: int | None = None
     )
 
 
-def summary_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long summary of numeric columns: ``column, count, mean, std, min, max``, one pass."""
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
-    sums = [
-        fn(F.col(c).cast("double")).alias(f"{c}#{name}") for c in columns for name, fn in stats.items()
-    ]
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}#{name}`").alias(name) for name in stats]) for c in columns
-    ]
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+def _quartiles(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Quartiles ``_q`` per ``_key`` from the counts ``_n`` of each ``_value``; ``totals`` has ``_key`` and ``count``."""
+    placed = running_total(counts, ["_value"], ["_key"], weight=F.col("_n"), out="_upto").join(totals, "_key")
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_value")))
+    place = [q * (F.col("count") - 1) for q in QUARTERS]
+    low, high = [at(F.floor(p)) for p in place], [at(F.ceil(p)) for p in place]
+    part = [F.max(p - F.floor(p)) for p in place]
+    return placed.groupBy("_key").agg(F.array(*[a + f * (b - a) for a, b, f in zip(low, high, part)]).alias("_q"))
+
+
+def summary_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Long summary of columns, a row each: numbers with exact quartiles, anything else by its text.
+
+    ``column, kind, count, nulls, mean, std, min, p25, p50, p75, max`` and, for text,
+    dates and other kinds, ``first`` and ``last`` in text order. Two passes: one for
+    the sums of all columns, one that unpivots the numbers into counts per (column,
+    value), which one running total numbers. Without rows the count is 0.
+    """
+    columns = list(columns or df.columns)
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    none, sums, rows = F.lit(None), [], []
+    for i, c in enumerate(columns):
+        value = named(c).cast("double") if c in numeric else none.cast("double")
+        text = none.cast("string") if c in numeric else named(c).cast("string")
+        stats = {
+            "count": F.count(named(c)), "nulls": F.count(F.lit(1)) - F.count(named(c)), "mean": F.avg(value), "std": F.stddev(value),
+            "min": F.min(value), "max": F.max(value), "first": F.min(text), "last": F.max(text),
+        }
+        sums += [fn.alias(f"{i}#{name}") for name, fn in stats.items()]
+        kind = F.lit("number" if c in numeric else "text").alias("kind")
+        rows.append(F.struct(F.lit(i).alias("_key"), F.lit(c).alias("column"), kind, *[F.col(f"`{i}#{name}`").alias(name) for name in stats]))
+    stats = cut_lineage(df.agg(*sums).select(F.inline(F.array(*rows))))
+    out = stats.withColumn("_q", F.lit(None).cast("array<double>"))
+    if numeric & set(columns):
+        cells = [F.struct(F.lit(i).alias("_key"), named(c).cast("double").alias("_value")) for i, c in enumerate(columns) if c in numeric]
+        counts = df.select(F.inline(F.array(*cells))).where(F.col("_value").isNotNull()).groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+        out = stats.join(F.broadcast(_quartiles(counts, F.broadcast(stats.select("_key", "count")))), "_key", "left")  # a row per column
+    quartiles = [F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    return out.select("column", "kind", "count", "nulls", "mean", "std", "min", *quartiles, "max", "first", "last")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from matchloom.operators import matching as M
 from matchloom.operators.compare import stack_results
 from matchloom.plans.cohorts import SETS_SQL, matched
 from matchloom.plans.features import analysis
-from matchloom.plans.registry import query
+from matchloom.plans.registry import ORACLES, query
 from matchloom.plans.roles import people, stamp, table
 from matchloom.session import ensure_checkpoint_dir
 from matchloom.sources import batches as B
@@ -316,10 +316,74 @@ def model_table(spark, sf) -> DataFrame:
     return analysis(spark, sf).select("set", "person_id", "case", *TERMS, "any_source")
 
 
-@query("cond_logit")
+def newton_sql(rows: str, terms: list[str], steps: int = 7) -> str:
+    """Common tables that fit a conditional logistic model by Newton steps, ending in ``fitted`` (imp, term, estimate, std_error).
+
+    ``rows`` gives ``imp``, ``set``, ``c`` and a column ``x0``, ``x1``, ... per term.
+    Each step factors the Hessian by Cholesky, a table per column, with the gradient
+    as a last row, and substitutes back, a table per row.
+    """
+    n = len(terms)
+    p = range(n)
+    pairs = [(i, j) for i in p for j in p if j <= i]
+    add = lambda parts: " + ".join(parts) or "0"
+    out = [
+        f"given AS MATERIALIZED ({rows})",
+        """model AS MATERIALIZED (
+  SELECT g.* FROM given g SEMI JOIN (SELECT imp, set FROM given GROUP BY imp, set HAVING sum(c) = 1 AND count(*) > 1) u ON u.imp = g.imp AND u.set = g.set)""",
+        f"beta0 AS MATERIALIZED (SELECT imp, {', '.join(f'0.0::DOUBLE AS b{i}' for i in p)} FROM model GROUP BY imp)",
+    ]
+    for s in range(steps):
+        out += [
+            f"e{s} AS MATERIALIZED (SELECT m.*, exp({add([f'x{i} * b{i}' for i in p])}) AS w FROM model m JOIN beta{s} USING (imp))",
+            f"m{s} AS MATERIALIZED (SELECT imp, set, {', '.join([f'sum(w * x{i}) / sum(w) AS f{i}, sum(c * x{i}) AS c{i}' for i in p] + [f'sum(w * x{i} * x{j}) / sum(w) AS s{i}_{j}' for i, j in pairs])} FROM e{s} GROUP BY imp, set)",
+            f"l{s}_0 AS MATERIALIZED (SELECT imp, {', '.join([f'sum(c{i} - f{i}) AS h{n}_{i}' for i in p] + [f'sum(s{i}_{j} - f{i} * f{j}) AS h{i}_{j}' for i, j in pairs])} FROM m{s} GROUP BY imp)",
+        ]
+        for j in p:
+            left = lambda i: f"(h{i}_{j} - ({add([f'l{i}_{k} * l{j}_{k}' for k in range(j)])}))"
+            column = [f"sqrt({left(j)}) AS l{j}_{j}", *[f"{left(i)} / sqrt({left(j)}) AS l{i}_{j}" for i in range(j + 1, n + 1)]]
+            out.append(f"l{s}_{j + 1} AS MATERIALIZED (SELECT *, {', '.join(column)} FROM l{s}_{j})")
+        source = f"l{s}_{n}"
+        for i in reversed(p):
+            move = f"(l{n}_{i} - ({add([f'l{k}_{i} * d{k}' for k in range(i + 1, n)])})) / l{i}_{i} AS d{i}"
+            out.append(f"d{s}_{i} AS MATERIALIZED (SELECT *, {move} FROM {source})")
+            source = f"d{s}_{i}"
+        out.append(f"beta{s + 1} AS MATERIALIZED (SELECT imp, {', '.join(f'b{i} + d{i} AS b{i}' for i in p)} FROM beta{s} JOIN {source} USING (imp))")
+    # the inverse of the factor, a table per row
+    source = f"l{steps - 1}_{n}"
+    for i in p:
+        row = [f"-({add([f'l{i}_{k} * v{k}_{j}' for k in range(j, i)])}) / l{i}_{i} AS v{i}_{j}" for j in range(i)] + [f"1 / l{i}_{i} AS v{i}_{i}"]
+        out.append(f"v_{i} AS MATERIALIZED (SELECT *, {', '.join(row)} FROM {source})")
+        source = f"v_{i}"
+    rows_of = [
+        f"SELECT imp, '{t}' AS term, b{i} AS estimate, sqrt({add([f'v{k}_{i} * v{k}_{i}' for k in range(i, n)])}) AS std_error FROM beta{steps} JOIN {source} USING (imp)"
+        for i, t in enumerate(terms)
+    ]
+    out.append("fitted AS MATERIALIZED (" + " UNION ALL ".join(rows_of) + ")")
+    return ",\n".join(out)
+
+
+_RATIOS_SQL = '''round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(exp(estimate), 6) AS "OR",
+  round(exp(estimate - 1.96 * std_error), 6) AS "OR_lower", round(exp(estimate + 1.96 * std_error), 6) AS "OR_upper"'''
+_ANALYSIS_SQL = f"analysed AS MATERIALIZED (SELECT * FROM ({ORACLES['analysis_table']}))"
+
+
+def _columns_sql(columns: list[str]) -> str:
+    return ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(columns))
+
+
+def _fit_sql(columns: list[str], terms: list[str], source: str = "analysed") -> str:
+    return newton_sql(f'SELECT 0 AS imp, set, "case" AS c, {_columns_sql(columns)} FROM {source}', terms)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+
+@query("cond_logit", f"WITH {_ANALYSIS_SQL}, {_fit_sql(TERMS, TERMS)} SELECT term, {_RATIOS_SQL} FROM fitted")
 def cond_logit(spark, sf):
     fit = CL.fit_conditional_logistic(model_table(spark, sf), TERMS)
-    return CL.odds_ratios(fit.coefficients)
+    return rounded(CL.odds_ratios(fit.coefficients))
 
 
 @query("cond_logit_pairs", f"""
@@ -337,10 +401,91 @@ def cond_logit_pairs(spark, sf):
     return fit.coefficients.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
 
 
-@query("cond_logit_interaction")
+@query("cond_logit_interaction", f"""
+WITH {_ANALYSIS_SQL}, {_fit_sql([*TERMS, "exposed_12m * admitted"], [*TERMS, "exposed_12m:admitted"])} SELECT term, {_RATIOS_SQL} FROM fitted""")
 def cond_logit_interaction(spark, sf):
-    df, products = A.with_interactions(model_table(spark, sf), [("exposed_12m", "admitted")])
-    return CL.odds_ratios(CL.fit_conditional_logistic(df, [*TERMS, *products]).coefficients)
+    df, names = A.model_terms(model_table(spark, sf), TERMS, interactions=[("exposed_12m", "admitted")])
+    return rounded(CL.odds_ratios(CL.fit_conditional_logistic(df, names).coefficients))
+
+
+# factors of the adjusted model: levels, and the one the others are compared with
+GROUPING = ("none", "recent_only", "non_recent_only", "both")
+AREAS = tuple(f"area_{i}" for i in range(8))
+FACTORS = {"grouping": (GROUPING, "none"), "area": (AREAS, "area_0")}
+_FACTOR_TERMS = ["admitted", "statin", *[f"grouping_{g}" for g in GROUPING[1:]], *[f"area_{a}" for a in AREAS[1:]]]
+_FACTOR_COLUMNS = ["admitted", "statin", *[f"grouping = '{g}'" for g in GROUPING[1:]], *[f"area = '{a}'" for a in AREAS[1:]]]
+_FACTOR_SQL = f"""{_ANALYSIS_SQL},
+grouped AS (
+  SELECT a.*, 'area_' || (c_nationkey % 8) AS area, CASE WHEN recent_3m = 1 AND (recent_6m = 1 OR recent_12m = 1) THEN 'both'
+    WHEN recent_3m = 1 THEN 'recent_only' WHEN recent_6m = 1 OR recent_12m = 1 THEN 'non_recent_only' ELSE 'none' END AS grouping
+  FROM analysed a JOIN customer ON c_custkey = person_id)"""
+
+
+def factor_table(spark, sf) -> DataFrame:
+    area = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("person_id"), F.concat(F.lit("area_"), (F.col("c_nationkey") % 8).cast("string")).alias("area")
+    )
+    grouping = V.exposure_group("recent_3m", "recent_6m", "recent_12m").alias("grouping")
+    return analysis(spark, sf).select("set", "person_id", "case", "admitted", "statin", grouping).join(area, "person_id")
+
+
+@query("cond_logit_factors", f"""
+WITH {_FACTOR_SQL}, {_fit_sql(_FACTOR_COLUMNS, _FACTOR_TERMS, "grouped")} SELECT term, {_RATIOS_SQL} FROM fitted""")
+def cond_logit_factors(spark, sf):
+    """Exposure in four groups and an area in eight, against their reference levels, adjusted for two flags."""
+    df, names = A.model_terms(factor_table(spark, sf), ["admitted", "statin"], FACTORS)
+    return rounded(CL.odds_ratios(CL.fit_conditional_logistic(df, names).coefficients))
+
+
+_CROSSED = [f"statin:grouping_{g}" for g in GROUPING[1:]]
+
+
+@query("cond_logit_factor_interaction", f"""
+WITH {_FACTOR_SQL}, {_fit_sql(["statin", *_FACTOR_COLUMNS[2:5], *[f"statin * (grouping = '{g}')::INTEGER" for g in GROUPING[1:]]], ["statin", *_FACTOR_TERMS[2:5], *_CROSSED], "grouped")}
+SELECT term, {_RATIOS_SQL} FROM fitted""")
+def cond_logit_factor_interaction(spark, sf):
+    """A flag crossed with every level of a factor."""
+    df, names = A.model_terms(factor_table(spark, sf), ["statin"], {"grouping": FACTORS["grouping"]}, [("statin", "grouping")])
+    return rounded(CL.odds_ratios(CL.fit_conditional_logistic(df, names).coefficients))
+
+
+@query("cond_logit_subgroups", f"""
+WITH {_FACTOR_SQL}, heads AS (SELECT set, sex FROM grouped WHERE "case" = 1),
+given_to AS (SELECT g.*, h.sex AS subgroup FROM grouped g JOIN heads h USING (set)),
+{newton_sql(f"SELECT CAST(subgroup = 'F' AS INTEGER) AS imp, set, \"case\" AS c, {_columns_sql(['statin', 'exposed_12m'])} FROM given_to", ['statin', 'exposed_12m'])}
+SELECT CASE WHEN imp = 1 THEN 'F' ELSE 'M' END AS subgroup, term, {_RATIOS_SQL} FROM fitted""")
+def cond_logit_subgroups(spark, sf):
+    """The same model in the sets of each sex, fitted in the same jobs."""
+    rows = analysis(spark, sf).select("set", "case", "sex", "statin", "exposed_12m")
+    heads = rows.where(F.col("case") == 1).select("set", (F.col("sex") == "F").cast("int").alias("part"))
+    fit = CL.fit_conditional_logistic(rows.join(heads, "set"), ["statin", "exposed_12m"], copy="part")
+    named = fit.coefficients.withColumn("subgroup", F.when(F.col("imp") == 1, "F").otherwise("M")).drop("imp")
+    return rounded(CL.odds_ratios(named))
+
+
+def _load_sql(copies: int) -> str:
+    load = f"(n_orders + {_hash_sql("concat_ws('|', 'load', i.imp, person_id)")} % 5)"
+    rows = f"""SELECT CAST(i.imp AS INTEGER) AS imp, set, "case" AS c, CAST({load} AS DOUBLE) AS x0, CAST(person_id % 7 < 3 AS INTEGER)::DOUBLE AS x1
+  FROM sets JOIN totals ON o_custkey = person_id, range(1, {copies + 1}) i(imp)"""
+    return newton_sql(rows, ["load", "three_sevenths"])
+
+
+@query("cond_logit_copies", f"""
+WITH RECURSIVE {SETS_SQL}, totals AS (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey),
+{_load_sql(4)},
+pooled AS (
+  SELECT term, count(*) AS n_copies, avg(estimate) AS estimate, avg(std_error * std_error) AS within, var_samp(estimate) AS between FROM fitted GROUP BY term),
+errors AS (SELECT *, sqrt(within + (1 + 1.0::DOUBLE / n_copies) * between) AS std_error FROM pooled)
+SELECT term, n_copies, round(within, 6) AS within, round(between, 6) AS between, {_RATIOS_SQL} FROM errors""")
+def cond_logit_copies(spark, sf):
+    """Four copies that differ in a term drawn from hashes, fitted together, and pooled."""
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("person_id")).agg(F.count(F.lit(1)).alias("n_orders"))
+    copies = matched(spark, sf).select("set", "person_id", "case").join(counts, "person_id").select("*", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])).alias("imp"))
+    load = F.col("n_orders") + M.hash_number(F.lit("load"), F.col("imp"), F.col("person_id")) % 5
+    terms = copies.withColumn("load", load).withColumn("three_sevenths", (F.col("person_id") % 7 < 3).cast("int"))
+    fit = CL.fit_conditional_logistic(terms, ["load", "three_sevenths"], copy="imp")
+    pooled = CL.pool_estimates(fit.coefficients).select("term", "estimate", "std_error", "within", "between", "n_copies")
+    return rounded(CL.odds_ratios(pooled))
 
 
 @query("cond_logit_by_copy")

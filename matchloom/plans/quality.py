@@ -54,11 +54,29 @@ def describe_by(spark, sf):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("summary_cols", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
-    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_TEXTS = ("l_returnflag", "l_linestatus")
+
+
+def _summary_sql(column: str) -> str:
+    if column in _NUMBERS:
+        value = f"CAST({column} AS DOUBLE)"
+        numbers = [f"round(avg({value}), 4)", f"round(stddev_samp({value}), 4)", f"min({value})", *[f"quantile_cont({value}, {q})" for q in (0.25, 0.5, 0.75)], f"max({value})"]
+        texts = ["CAST(NULL AS VARCHAR)"] * 2
+    else:
+        numbers, texts = ["CAST(NULL AS DOUBLE)"] * 7, [f"min({column})", f"max({column})"]
+    named = zip([*numbers, *texts], ["mean", "std", "min", "p25", "p50", "p75", "max", "first", "last"])
+    kind = "number" if column in _NUMBERS else "text"
+    return (
+        f"SELECT '{column}' AS \"column\", '{kind}' AS kind, count({column}) AS count, count(*) - count({column}) AS nulls, "
+        + ", ".join(f'{value} AS "{name}"' for value, name in named) + " FROM lineitem"
+    )
+
+
+@query("summary_cols", " UNION ALL ".join(_summary_sql(c) for c in (*_NUMBERS, *_TEXTS)))
 def summary_cols(spark, sf):
-    out = P.summary_columns(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    """Every number and text of the line items, quartiles included."""
+    out = P.summary_columns(table(spark, sf, "lineitem"), [*_NUMBERS, *_TEXTS])
     return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,11 +53,12 @@ def test_discordant_pairs_give_the_odds_ratio(spark):
     assert (fit.n_sets, fit.n_dropped_sets) == (56, 2)
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_fit_equals_plain_newton_also_with_split_sets(spark, hot):
+@pytest.mark.parametrize("slices", [None, 1, 60])
+def test_fit_equals_plain_newton_also_with_cut_sets(spark, slices, monkeypatch):
     data, sets = simulated()
     df = spark.createDataFrame(data, "set int, case int, a double, b double")
-    fit = CL.fit_conditional_logistic(df, ["a", "b"], hot_set_rows=hot)
+    monkeypatch.setattr(CL, "PIECE", 7)
+    fit = CL.fit_conditional_logistic(df, ["a", "b"], slices=slices)
     beta, error, ll = newton(sets, 2)
     got = {r.term: (r.estimate, r.std_error) for r in fit.coefficients.collect()}
     assert got["a"] == pytest.approx((beta[0], error[0]), rel=1e-6)
@@ -64,6 +66,36 @@ def test_fit_equals_plain_newton_also_with_split_sets(spark, hot):
     assert fit.log_likelihood[0] == pytest.approx(ll, rel=1e-9)
 
 
+def test_one_set_over_all_tasks(spark):
+    """Two sets of thousands of members, cut into more slices than sets, and small ones between."""
+    rng = np.random.default_rng(5)
+    data, sets = [], []
+    for s, size in enumerate([4000, *[4] * 40, 6000]):
+        x = rng.normal(size=(size, 2))
+        w = np.exp(x @ np.array([0.5, -0.3]))
+        case = rng.choice(size, p=w / w.sum())
+        sets.append((x, case))
+        data += [(s, int(j == case), float(x[j, 0]), float(x[j, 1])) for j in range(size)]
+    fit = CL.fit_conditional_logistic(spark.createDataFrame(data, "set int, case int, a double, b double"), ["a", "b"], slices=16)
+    beta, error, ll = newton(sets, 2)
+    got = {r.term: (r.estimate, r.std_error) for r in fit.coefficients.collect()}
+    assert got["a"] == pytest.approx((beta[0], error[0]), rel=1e-6) and got["b"] == pytest.approx((beta[1], error[1]), rel=1e-6)
+    assert fit.log_likelihood[0] == pytest.approx(ll, rel=1e-9) and fit.n_sets == 42
+
+
+def test_moments_merge_in_any_order():
+    rng = np.random.default_rng(1)
+    frame = lambda rows: pd.DataFrame({"imp": 1, "member_set": "s", "case": [int(i == 3) for i in rows], "x": data[rows, 0], "y": data[rows, 1]})
+    data, beta = rng.normal(0, 40, size=(30, 2)), {1: np.array([3.0, -2.0])}
+    take = lambda rows: CL._Moments(1, "s", *(v[0] for v in CL._moments(frame(rows), ["x", "y"], beta)[2:]))
+    whole = take(np.arange(30))
+    for parts in ([(0, 7), (7, 20), (20, 30)], [(20, 30), (0, 7), (7, 20)]):
+        merged = take(np.arange(*parts[0]))
+        for part in parts[1:]:
+            merged.add(take(np.arange(*part)), 7)
+        assert merged.peak == pytest.approx(whole.peak) and merged.vec == pytest.approx(whole.vec)
+
+
 def test_copies_are_fitted_together(spark):
     data, sets = simulated(60)
     other, other_sets = simulated(60, seed=9)
