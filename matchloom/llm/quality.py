@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import column, free_name, words
-from matchloom.session import cut_lineage
+from matchloom.session import broadcast_if_small, cut_lineage
 
 SHORTEST, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "[#*$%&|<>]"
@@ -231,7 +231,7 @@ def adaptive_rules(
     at = free_name(docs.columns, out)
     columns = [c for c in docs.columns if carry or c != text]
     measured = cut_lineage(measure(docs, at, text).select(*map(column, columns), at))
-    limits = thresholds(measured, at, lang, source)
+    limits = broadcast_if_small(cut_lineage(thresholds(measured, at, lang, source)))
     rate = column_of("d", at)["rates"]
     failed = F.filter(
         F.array(*[

@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType
 
 from matchloom.llm.common import column, free_name
 from matchloom.llm.components import components
-from matchloom.session import cut_lineage
+from matchloom.session import cut_lineage, discard
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -162,7 +162,10 @@ def classes(rows: DataFrame, order: str) -> DataFrame:
     linked = labels.join(low.withColumnRenamed("fp", "node"), "node")
     by_root = cut_lineage(linked.groupBy("root").agg(F.min("low").alias("first")))
     moved = cut_lineage(labels.join(by_root, "root").select(F.col("node").alias("fp"), "first"))
-    return cut_lineage(low.join(moved, "fp", "left").select("fp", F.coalesce("first", "low").alias("first")))
+    out = cut_lineage(low.join(moved, "fp", "left").select("fp", F.coalesce("first", "low").alias("first")))
+    for spent in (low, labels, by_root, moved):
+        discard(spent)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
