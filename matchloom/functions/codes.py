@@ -8,6 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What a code is cleaned of, at its end and anywhere, and the zero before a position.
+TRAILING = r"X$"
+PUNCTUATION = r"[.,\-\s]"
+PUNCTUATION_NO_COMMA = r"[.\-\s]"
+LEADING_ZERO = r"^0"
+
+
 def as_column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -18,12 +25,12 @@ def clean_code(code, comma: bool = True) -> Column:
     The order matters: ``A41.X`` gives ``A41.`` and then ``A41``, while the
     ``X`` of ``A41X.`` stays.
     """
-    punctuation = r"[.,\-\s]" if comma else r"[.\-\s]"
-    return F.regexp_replace(F.regexp_replace(as_column(code), r"X$", ""), punctuation, "")
+    plain = F.regexp_replace(as_column(code), TRAILING, "")
+    return strip_punctuation(plain) if comma else F.regexp_replace(plain, PUNCTUATION_NO_COMMA, "")
 
 
 def strip_punctuation(code) -> Column:
-    return F.regexp_replace(as_column(code), r"[.,\-\s]", "")
+    return F.regexp_replace(as_column(code), PUNCTUATION, "")
 
 
 def clean_code_of(code, terminology, kind: str = "ICD10") -> Column:
@@ -47,7 +54,7 @@ def parent_code(code, digits: int = 3) -> Column:
 
 def clean_position(position) -> Column:
     """Position text after a stub: no leading zero."""
-    return F.regexp_replace(as_column(position), r"^0", "")
+    return F.regexp_replace(as_column(position), LEADING_ZERO, "")
 
 
 def cause_position(position, underlying: str = "UNDERLYING") -> Column:

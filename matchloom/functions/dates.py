@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.codes import as_column
 
+# Days of a year for ages, the form of a compact date, and its length with a one-digit day.
 DAYS_PER_YEAR = 365.25
+COMPACT = "yyyyMMdd"
+SHORT_LENGTH = 7
 
 
 def parse_compact_date(text) -> Column:
@@ -17,10 +20,10 @@ def parse_compact_date(text) -> Column:
     """
     text = as_column(text)
     padded = F.when(
-        F.length(text) == 7,
+        F.length(text) == SHORT_LENGTH,
         F.concat(F.substring(text, 1, 6), F.lit("0"), F.substring(text, 7, 1)),
     ).otherwise(text)
-    return F.try_to_date(padded, "yyyyMMdd")
+    return F.try_to_date(padded, COMPACT)
 
 
 def year_month(date) -> Column:
@@ -87,7 +90,3 @@ def within(date, start, end, closed: bool = True) -> Column:
     """In ``[start, end]``, or ``[start, end)`` when not closed."""
     date, start, end = as_column(date), as_column(start), as_column(end)
     return (date >= start) & (date <= end if closed else date < end)
-
-
-def overlaps(start_a, end_a, start_b, end_b) -> Column:
-    return (as_column(start_a) <= as_column(end_b)) & (as_column(end_a) >= as_column(start_b))

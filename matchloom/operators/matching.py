@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.values import typed_null
 from matchloom.operators.ranking import dense_index, running_total
 from matchloom.session import broadcast_if_small, cut_lineage, discard
 
@@ -188,13 +189,13 @@ def matched_sets(
     heads = sets.join(cases, rules.person)
     case_rows = heads.select(
         "set", rules.person, F.lit(1).alias("case"), "index_date", "source", "code",
-        F.lit(None).cast("double").alias("random_num"), F.lit(None).cast("int").alias("control_rank"),
+        typed_null("double").alias("random_num"), typed_null("int").alias("control_rank"),
     )
     control_rows = pairs.join(
         heads.select("set", F.col(rules.person).alias("case_id"), "index_date"), "case_id"
     ).select(
         "set", F.col("control_id").alias(rules.person), F.lit(0).alias("case"), "index_date",
-        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("code"),
+        typed_null("string").alias("source"), typed_null("string").alias("code"),
         "random_num", "control_rank",
     )
     return case_rows.unionByName(control_rows)
