@@ -45,7 +45,7 @@ def decompose(
     longest: int = LENGTH,
     id: str = "doc_id",
     text: str = "text",
-    literal: bool = True,
+    literal: bool = False,
 ) -> DataFrame:
     """One row per sequence: ``id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``ids``.
 
@@ -78,8 +78,9 @@ def decompose(
                 types = (kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(held, types)], names=out.names)
 
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(value.as_py()) + end
+            encoded = encoder.encode_all(value.as_py() for value in batch.column(1))
+            for key, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 total, start = len(ids) >> 2, 0
                 for length in binary_lengths(total, longest):
                     piece = ids[4 * start : 4 * (start + length)]

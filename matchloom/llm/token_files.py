@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,16 +80,28 @@ class EliasFano:
             value |= (int(self.low[place >> 3]) >> (place & 7) & 1) << b
         return value
 
-    def decode(self) -> np.ndarray:
-        """All numbers."""
-        bits = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (bits - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def span(self, start: int, end: int) -> np.ndarray:
+        """The numbers from ``start`` to before ``end``: the high part is read between two select samples."""
+        if start >= end:
+            return np.zeros(0, np.uint64)
+        first, after = start // SAMPLED, -(-end // SAMPLED)
+        byte = int(self.samples[first]) >> 3
+        stop = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        bits = 8 * byte + np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little"))
+        at = int(np.searchsorted(bits, int(self.samples[first]))) + start - first * SAMPLED
+        values = (bits[at : at + end - start] - np.arange(start, end)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, -1)
+            place, stop = start * self.low_bits, end * self.low_bits
+            low = np.unpackbits(self.low[place >> 3 : -(-stop >> 3)], bitorder="little")[place & 7 :]
+            low = low[: stop - place].reshape(end - start, -1)
             for b in range(self.low_bits):
                 values |= low[:, b].astype(np.uint64) << np.uint64(b)
         return values
 
+    def decode(self) -> np.ndarray:
+        """All numbers."""
+        return self.span(0, self.n)
+
     def to_bytes(self) -> bytes:
         head = _HEAD.pack(self.n, self.low_bits, len(self.samples), len(self.high))
         return head + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -164,17 +177,23 @@ class Shard:
         return self.ids(self.ends[i - 1] if i else 0, self.ends[i])
 
     def documents(self) -> Iterator[tuple[int | None, int, bytes]]:
-        """Number, start in the shard and ids of each document, read some megabytes at a time."""
-        ends = self.ends.decode().astype(np.int64)
-        numbers = [None] * self.nulls + [self.base + int(x) for x in self.numbers.decode()]
-        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
-        i = 0
-        while i < len(ends):
-            last = max(i + 1, int(np.searchsorted(ends, starts[i] + HANDED // 4, side="right")))
-            block, first = self.ids(int(starts[i]), int(ends[last - 1])), int(starts[i])
-            for k in range(i, last):
-                yield numbers[k], int(starts[k]), block[starts[k] - first : ends[k] - first].tobytes()
-            i = last
+        """Number, start in the shard and ids of each document.
+
+        Boundaries are found by select, some hundreds at a time, and ids read some megabytes at a time.
+        """
+        start = 0
+        for at in range(0, self.ends.n, SAMPLED):
+            ends = self.ends.span(at, min(at + SAMPLED, self.ends.n)).astype(np.int64).tolist()
+            low, high = max(0, at - self.nulls), max(0, at + len(ends) - self.nulls)
+            numbers = [None] * (len(ends) - high + low) + [self.base + x for x in self.numbers.span(low, high).tolist()]
+            i = 0
+            while i < len(ends):
+                last = max(i + 1, bisect_right(ends, start + HANDED // 4))
+                block, first = self.ids(start, ends[last - 1]), start
+                for k in range(i, last):
+                    yield numbers[k], start, block[start - first : ends[k] - first].tobytes()
+                    start = ends[k]
+                i = last
 
     def close(self) -> None:
         self.file.close()
@@ -187,7 +206,7 @@ def write_tokens(
     end_id: int = END_ID,
     id: str = "doc_id",
     text: str = "text",
-    literal: bool = True,
+    literal: bool = False,
 ) -> DataFrame:
     """Encode whole texts, write shards under ``folder`` and return the manifest.
 
@@ -207,14 +226,13 @@ def write_tokens(
         shard, writer, encoder, end = TaskContext.get().partitionId(), None, None, end_id.to_bytes(4, "little")
         path = f"{folder}/shard-{shard:07d}-{uuid.uuid4().hex}.tok"
         for batch in batches:
-            for number, value in zip(batch.column(0), batch.column(1)):
-                if writer is None:
-                    encoder = encoder_of(tokenizer, literal)
-                    width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-                    writer = ShardWriter(path, width)
-                content = value.as_py()
-                parts = encoder.parts(content) if content else ()
-                writer.add(number.as_py(), (p for source in (parts, (end,)) for p in source))
+            if writer is None and batch.num_rows:
+                encoder = encoder_of(tokenizer, literal)
+                width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                writer = ShardWriter(path, width)
+            numbers, texts = batch.column(0).to_pylist(), (value.as_py() for value in batch.column(1))
+            for number, ids in zip(numbers, encoder.encode_all(texts) if numbers else ()):
+                writer.add(number, (ids, end))
         if writer is not None:
             writer.close()
             made = ([shard], [path], [len(writer.ends)], [writer.total])

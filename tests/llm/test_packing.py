@@ -13,13 +13,7 @@ from matchloom.llm import packing, tokenization
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
-LIBRARIES = {p: library(p) for p in (WORDS, BYTES)}
+LIBRARIES = {p: Tokenizer.from_file(p) for p in (WORDS, BYTES)}
 ENCODERS = {p: tokenization.ChunkEncoder(p) for p in (WORDS, BYTES)}
 ALPHABET = "aZé́Σß1 23'st.,!  \n\n\t\r\x0b\x0c\x1c\x1f\x85\xa0  　​<|endoftext|>日🙂"
 
@@ -32,15 +26,26 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
         assert encoder.encode(text) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(st.text(alphabet=ALPHABET, min_size=1, max_size=8) | st.sampled_from(["word", "don't", "x1,"]), max_size=30).map(" ".join), max_size=12))
+def test_chunks_of_many_texts_are_learned_together(texts):
+    for path, library in LIBRARIES.items():
+        want = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert list(tokenization.ChunkEncoder(path).encode_all(texts)) == want
+
+
 def test_small_limits_change_nothing(monkeypatch):
     rng = random.Random(1)
     text = " ".join(rng.choice(["alpha", "beta.\nGamma", "x" * 90, "d'être", "12345"]) + str(rng.randrange(50)) for _ in range(800))
     monkeypatch.setattr(tokenization, "KEPT", 40)
     monkeypatch.setattr(tokenization, "PART", 64)
+    monkeypatch.setattr(tokenization, "JOINED", 7)
     for path in LIBRARIES:
         for value in (text, text.replace(" x", "  x")):
             want = LIBRARIES[path].encode(value, add_special_tokens=False).ids
-            assert np.frombuffer(tokenization.ChunkEncoder(path).encode(value), "<u4").tolist() == want
+            encoder = tokenization.ChunkEncoder(path)
+            assert np.frombuffer(encoder.encode(value), "<u4").tolist() == want
+            assert all(np.frombuffer(x, "<u4").tolist() == want for x in encoder.encode_all([value, value]))
 
 
 def test_binary_lengths():

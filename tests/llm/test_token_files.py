@@ -20,6 +20,7 @@ def test_elias_fano_round_trip(values):
     assert code.decode().tolist() == values
     for i in range(0, len(values), 41):
         assert code[i] == values[i]
+        assert code.span(i, len(values) - i // 2).tolist() == values[i : len(values) - i // 2]
     with pytest.raises(IndexError):
         code[len(values)]
 
@@ -32,7 +33,6 @@ def test_elias_fano_is_small():
 def test_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "HANDED", 3000)
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     rows = [(9, "nine <|endoftext|> words", 1), (-4, None, 1), (3, "", 1), (3, "three again", 1), (None, "no number", 1)]
     rows += [(100 + i, f"Text {i}\n\nwith  lines" * (i % 40), 1) for i in range(200)] + [(77, "very long text, " * 9000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(5)
