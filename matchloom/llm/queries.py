@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import divergence, langid, lines, minhash, packing, permutation, pieces, quality, search, simhash, threads, token_files, warc
 from matchloom.llm.common import read
-from matchloom.session import ensure_checkpoint_dir
+from matchloom.session import cut_lineage, ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,14 +100,26 @@ def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_quotation_threads(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages without quotations, in reply order, as chat markup."""
-    ordered = threads.reply_order(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    """Messages that quote earlier ones, without quotations again, in reply order, as chat markup."""
+    messages = threads.quoting(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    ordered = threads.reply_order(cut_lineage(messages))
     return threads.as_chat(ordered).select("conv_id", "turn", "role", "text", "chat", "reply.*")
 
 
 ORACLES["op10_quotation_threads"] = r"""
-WITH RECURSIVE cut AS (
-    SELECT conv_id, turn, role, text, row_number() OVER () AS uid, string_split(text, chr(10)) AS parts FROM conversations
+WITH RECURSIVE said AS (SELECT conv_id AS c, turn::BIGINT AS t, min(text) AS said FROM conversations GROUP BY ALL),
+first AS (SELECT *, CASE WHEN turn > 0 THEN turn - 1 - (conv_id + turn) % least(turn, 3) END AS up1 FROM conversations),
+second AS (SELECT *, CASE WHEN up1 > 0 THEN up1 - 1 - (conv_id + up1) % least(up1, 3) END AS up2 FROM first),
+third AS (SELECT *, CASE WHEN up2 > 0 THEN up2 - 1 - (conv_id + up2) % least(up2, 3) END AS up3 FROM second),
+quoting AS (
+    SELECT m.conv_id, m.turn, m.role, CASE WHEN m.text IS NOT NULL THEN array_to_string(list_concat(
+        CASE WHEN m.turn % 4 = 0 THEN list_transform(list_filter(string_split(z.said, chr(10)), lambda x, i: (i + m.turn) % 3 <> 0), lambda x: '>>> ' || x) END,
+        CASE WHEN m.turn % 2 = 0 THEN list_transform(list_filter(string_split(y.said, chr(10)), lambda x, i: (i + m.turn) % 3 <> 0), lambda x: '>> ' || x) END,
+        list_transform(list_filter(string_split(x.said, chr(10)), lambda x, i: (i + m.turn) % 3 <> 0), lambda x: '> ' || x), [m.text]), chr(10)) END AS text
+    FROM third m LEFT JOIN said x ON x.c = m.conv_id AND x.t = up1 LEFT JOIN said y ON y.c = m.conv_id AND y.t = up2
+        LEFT JOIN said z ON z.c = m.conv_id AND z.t = up3
+), cut AS (
+    SELECT conv_id, turn, role, text, row_number() OVER () AS uid, string_split(text, chr(10)) AS parts FROM quoting
 ), lines AS (
     SELECT uid, conv_id, turn, i, parts[i] AS line, regexp_extract(parts[i], '^((?:[ \t]*>)+)', 1) AS signs
     FROM cut, unnest(range(1, len(parts) + 1)) AS r(i)

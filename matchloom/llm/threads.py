@@ -153,6 +153,37 @@ def reply_order(
     )
 
 
+def quoting(messages: DataFrame, near: int = 3) -> DataFrame:
+    """Messages of ``conv_id``, ``turn``, ``role``, ``text`` made to quote: replies as mail programs write them.
+
+    Every turn above 0 answers one of the ``near`` turns before it, by a rule on
+    both numbers, and quotes two of three of its lines; every second turn quotes
+    what that one answers one level deeper, every fourth a third one. Of rows
+    repeated with conversation and turn the smallest text is quoted. A null text,
+    conversation or turn stays as it is, and so does what has nothing to quote.
+    """
+    said = messages.groupBy(F.col("conv_id").alias("c"), F.col("turn").cast("long").alias("t")).agg(F.min("text").alias("said"))
+
+    def above(turn: Column) -> Column:
+        return F.when(turn > 0, turn - 1 - F.pmod(F.col("conv_id") + turn, F.least(turn, F.lit(near))))
+
+    def signed(lines: Column, signs: Column) -> Column:
+        return F.transform(lines, lambda x: F.concat(signs, x))
+
+    made = messages.withColumn("up0", F.col("turn").cast("long"))
+    quotes = []
+    for level in (1, 2, 3):
+        made = made.withColumn(f"up{level}", above(F.col(f"up{level - 1}")))
+        source = said.select(*[F.col(c).alias(f"{c}{level}") for c in said.columns])
+        found = (F.col("conv_id") == F.col(f"c{level}")) & (F.col(f"up{level}") == F.col(f"t{level}"))
+        made = made.join(source, found & F.col(f"said{level}").isNotNull(), "left")
+        lines, signs = F.filter(F.split(f"said{level}", "\n"), lambda x, i: (i + 1 + F.col("up0")) % 3 != 0), F.lit(">" * level + " ")
+        wanted = F.col(f"said{level}").isNotNull() & (F.col("up0") % (1 << (level - 1)) == 0)
+        quotes.append(F.when(wanted, signed(lines, signs)).otherwise(F.array().cast("array<string>")))
+    text = F.array_join(F.concat(*reversed(quotes), F.array("text")), "\n")
+    return made.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), text).alias("text"))
+
+
 def as_chat(messages: DataFrame, out: str = "chat", role: str = "role", text: str = "text") -> DataFrame:
     """Add each message as chat markup: its role on a line of its own, then the text."""
     said = F.concat(F.lit("<|"), F.coalesce(column(role), F.lit("unknown")), F.lit("|>\n"), F.coalesce(column(text), F.lit("")), F.lit("\n"))

@@ -55,3 +55,21 @@ def test_long_chain_equals_sql(spark, tmp_path):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(result.columns)
     assert sorted(map(str, (tuple(r) for r in result.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_quoting_messages(spark, tmp_path):
+    said = [(c, t, "user" if t % 2 else "assistant", f"point {c} {t} a\npoint {c} {t} b\npoint {c} {t} c") for c in range(4) for t in range(40)]
+    said += [(9, 0, "user", None), (9, 1, "user", "answers nothing"), (9, 2, None, ""), (None, 1, "user", "alone"), (9, None, "user", "alone")]
+    docs = spark.createDataFrame(said, SCHEMA)
+    made = {(r.conv_id, r.turn): r.text for r in threads.quoting(docs).collect()}
+    assert made[0, 0] == said[0][3] and made[9, 0] is None and made[None, 1] == made[9, None] == "alone"
+    assert made[0, 1] == "> point 0 0 a\n> point 0 0 c\n" + said[1][3]
+    assert any(line.startswith(">>> point 0 ") for line in made[0, 8].split("\n"))
+    docs.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in queries.QUERIES["op10_quotation_threads"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(said)
+    for c, t, _, text in said:
+        assert got[c, t].text == text
+        if c is not None and t and c < 9:
+            assert got[c, t].reply_to == t - 1 - (c + t) % min(t, 3) and got[c, t].n_linked == got[c, t].n_quoted > 0
+    assert max(r.depth for r in got.values()) > 10 and threads.quoting(docs.limit(0)).count() == 0
