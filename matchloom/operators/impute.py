@@ -4,9 +4,8 @@ Method: van Buuren and Groothuis-Oudshoorn, Journal of Statistical Software
 45(3), 2011. All copies and strata move together.
 
 State. A row without gaps is the same in every copy, so it is kept once. Only rows
-with a gap are held per copy; a variable's step writes its new values, and they
-are folded into those rows once per cycle. What a cycle writes follows the rows
-with gaps, not the table.
+with a gap are held per copy. A variable's step carries them through its sort, so what
+comes out is the next state and no join by key is needed.
 
 Equations. Every row gives one vector: the intercept, all predictors, all targets.
 The sums of its products are taken once for rows without gaps and, per step, for
@@ -16,36 +15,50 @@ predictors are left out by a pivoted Cholesky factorisation and reported. The dr
 sees one matrix per stratum and copy. Random numbers come from hashes.
 
 Matching. Donors are numbered in order of prediction, and donors with one prediction
-are a range of numbers. Only donors near a recipient's prediction are numbered: bins of
-predictions are counted first. A recipient meets the ranges nearest to its prediction,
-fills its five places from them, draws a place, and then a donor of that range at
-random, so tied donors are all as likely.
+are a range of numbers. Donors and recipients of a step are range partitioned and sorted once.
+Each slice says which ranges lie at its ends; the driver puts these together, a few per
+slice and copy, so every slice knows the ranges next to it. A recipient meets the ranges
+nearest to its prediction, fills its five places from them, draws a place, and then a donor
+of that range at random, so tied donors are all as likely. A donor of the same slice
+is read there, one of another slice is joined by its number.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from matchloom.operators.matching import HASH_DIGITS, HASH_RANGE, hash_number
 from matchloom.operators.ranking import running_total
 from matchloom.operators.vectors import sum_vectors
 from matchloom.session import broadcast_if_small, cut_lineage, discard, local_table
 
+# The task functions travel with the job, so executors need numpy, pandas and pyarrow only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DONORS = 5
 #: Share of a predictor's own variation below which the others explain it.
 COLLINEAR = 1e-9
 #: Strata whose equations the driver solves in one step.
 MOST_STRATA = 1_000
-#: Bins of predictions that are counted to find the donors near recipients.
-BINS = 4_096
+#: Rows of a slice of sorted predictions, and recipients whose donors are drawn at a time.
+SLICE_ROWS, PIECE = 1 << 17, 1 << 14
+EDGE_SCHEMA = "_slice int, _cell int, n bigint, low double, high double, scores array<double>, firsts array<bigint>, counts array<bigint>"
+EDGE_NAMES = ["_slice", "_cell", "n", "low", "high", "scores", "firsts", "counts"]
+EDGE_TYPES = [
+    pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())
+]
 
 
 @dataclass(frozen=True)
@@ -142,6 +155,18 @@ def _products(rows: DataFrame, plan: ImputationPlan) -> dict[int, np.ndarray]:
     return {cell: s.reshape(len(names), len(names)) for cell, s in sums.items()}
 
 
+def _hash_numbers(texts: Sequence[str], *parts) -> np.ndarray:
+    """``hash_number`` of the parts and each text, which holds the last parts joined."""
+    start = hashlib.md5("".join(f"{p}|" for p in parts).encode())
+
+    def one(text: str) -> int:
+        digest = start.copy()
+        digest.update(text.encode())
+        return int(digest.hexdigest()[:HASH_DIGITS], 16)
+
+    return np.fromiter(map(one, texts), dtype=np.int64, count=len(texts))
+
+
 def normal_draw(*parts) -> float:
     """A standard normal number from the hashes of the parts (Box and Muller, 1958)."""
     uniform = [int(hashlib.md5("|".join(map(str, (*parts, i))).encode()).hexdigest()[:HASH_DIGITS], 16) / HASH_RANGE for i in "ab"]
@@ -197,117 +222,195 @@ def draw_coefficients(products: np.ndarray, chosen: Sequence[int], response: int
     return fit, draw, [c for c in chosen if c not in places]
 
 
-def _start_values(rows: DataFrame, key: str, target: str, copies: Sequence[int], seed: int) -> DataFrame:
-    """A random observed value of the stratum for every missing cell of every copy: ``imp, key, value``."""
+def _started(state: DataFrame, rows: DataFrame, key: str, target: str, seed: int) -> DataFrame:
+    """Rows with gaps, a random observed value of the stratum in every missing cell of one variable."""
     observed = running_total(rows.where(F.col(target).isNotNull()).select("_stratum", key, target), [key], ["_stratum"], out="_number")
     counts = rows.groupBy("_stratum").agg(F.count(target).alias("_n"))
-    numbers = F.explode(F.array(*[F.lit(int(i)) for i in copies]))
-    missing = rows.where(F.col(target).isNull()).select("_stratum", key, numbers.alias("imp")).join(F.broadcast(counts), "_stratum")
     drawn = F.pmod(hash_number(F.lit(seed), F.lit("start"), F.lit(target), F.col("imp"), F.col(key)), F.col("_n")) + 1
-    return cut_lineage(
-        missing.withColumn("_number", drawn)
-        .join(observed.select("_stratum", "_number", F.col(target).alias("_value")), ["_stratum", "_number"])
-        .select("imp", key, "_value")
-    )
-
+    missing = state.where(f"`_missing_{target}`").drop(target).join(F.broadcast(counts), "_stratum").withColumn("_number", drawn)
+    filled = missing.join(observed.select("_stratum", "_number", target), ["_stratum", "_number"]).drop("_number", "_n")
+    return state.where(~F.col(f"_missing_{target}")).unionByName(filled)
+
+
+class _Slice:
+    """A partition of the rows of a step, sorted by cell, prediction, donors first, and id, cut where the cell changes."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        parts = list(batches)
+        self.table = pa.Table.from_batches(parts) if parts else None
+        self.pieces: list[tuple[int, int, tuple[int, int]]] = []
+        if self.table is None or not self.table.num_rows:
+            return
+        numbers, cells = (self.table[c].to_numpy() for c in ("_slice", "_cell"))
+        self.score, self.asks = self.table["_score"].to_numpy(), self.table["_asks"].to_numpy().astype(bool)
+        starts = np.flatnonzero(np.r_[True, (np.diff(numbers) != 0) | (np.diff(cells) != 0)])
+        for at, end in zip(starts, np.r_[starts[1:], len(cells)]):
+            self.pieces.append((int(at), int(end), (int(numbers[at]), int(cells[at]))))
+
+    def ties(self, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of a piece's donors, and their different predictions with place of the first donor and count."""
+        donors = at + np.flatnonzero(~self.asks[at:end])
+        return donors, *np.unique(self.score[donors], return_index=True, return_counts=True)
+
+
+def _edges(places: int):
+    """Task function: per piece its range of predictions, number of donors and the outermost tied donors on both ends."""
+    edge = places + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = _Slice(batches), []
+        for at, end, (number, cell) in part.pieces:
+            donors, *ties = part.ties(at, end)
+            n = len(ties[0])
+            outer = np.arange(n) if n <= 2 * edge else np.r_[0:edge, n - edge : n]
+            rows.append((number, cell, len(donors), float(part.score[at]), float(part.score[end - 1]), *[t[outer].tolist() for t in ties]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), EDGE_TYPES)], names=EDGE_NAMES)
 
-def _filled(state: DataFrame, values: DataFrame, key: str, target: str) -> DataFrame:
-    """Rows with gaps, with the new values of one variable."""
-    replaced = F.when(F.col(f"_missing_{target}"), F.col("_value")).otherwise(F.col(target))
-    return state.join(values, ["imp", key], "left").withColumn(target, replaced).drop("_value")
+    return run
 
 
-def _near_recipients(donors: DataFrame, wanting: DataFrame, places: int) -> DataFrame:
-    """The donors that can be among the nearest ``places`` of a recipient, and those tied with them.
+def _surroundings(edges: list, places: int) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece: the donors of its cell before it, and the tied donors on and next to its ends (prediction, low, n).
 
-    Predictions are cut into bins between the least and the largest recipient.
-    A bin of donors is needed if less than ``places`` donors lie between it and a bin
-    with recipients. Per stratum and copy there are at most ``BINS`` and two bins.
+    Ties that lie in several pieces are put together, so low and n hold for the whole cell.
     """
-    cell = ["_stratum", "imp"]
-    reach = cut_lineage(wanting.groupBy(*cell).agg(F.min("_score").alias("_low"), F.max("_score").alias("_high")))
-    step = F.greatest((F.col("_high") - F.col("_low")) / BINS, F.lit(1e-300))
-    number = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(float(BINS)), (F.col("_score") - F.col("_low")) / step))).cast("int")
-    binned = lambda df: df.join(F.broadcast(reach), cell).withColumn("_bin", number).drop("_low", "_high")
-    given = binned(donors).groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    bins = given.join(binned(wanting).select(*cell, "_bin", F.lit(1).alias("_asked")).distinct(), [*cell, "_bin"], "full")
-    along = Window.partitionBy(*cell).orderBy("_bin")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    counted = bins.na.fill(0, ["_n"]).withColumn("_upto", F.sum("_n").over(upto))
-    asked = F.col("_asked") == 1
-    # donors up to the bin asked for, from the left; donors before it, from the right
-    needed = (
-        counted.withColumn("_left", F.max(F.when(asked, F.col("_upto"))).over(upto))
-        .withColumn("_right", F.min(F.when(asked, F.col("_upto") - F.col("_n"))).over(Window.partitionBy(*cell).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-        .where((F.col("_left") + places > F.col("_upto") - F.col("_n")) | (F.col("_right") - places < F.col("_upto")))
-    )
-    wanted = broadcast_if_small(cut_lineage(needed.select(*cell, "_bin")))
-    return binned(donors).join(wanted, [*cell, "_bin"], "left_semi").drop("_bin")
+    edge, cells = places + 1, {}
+    for row in sorted(edges, key=lambda r: (r["_cell"], r["_slice"])):
+        known, pieces = cells.setdefault(row["_cell"], ([], []))
+        base = pieces[-1][-1] if pieces else 0
+        for score, first, n in zip(row["scores"], row["firsts"], row["counts"]):
+            if known and known[-1][0] == score:
+                known[-1][2] += n
+            else:
+                known.append([score, base + first + 1, n])
+        pieces.append((row["_slice"], row["low"], row["high"], base, base + row["n"]))
+    out = {}
+    for cell, (known, pieces) in cells.items():
+        scores, lows, counts = (np.array([k[i] for k in known], dtype=t) for i, t in enumerate((float, np.int64, np.int64)))
+        for number, low, high, base, _ in pieces:
+            below, above = int(np.searchsorted(scores, low, "right")), int(np.searchsorted(scores, high, "left"))
+            near = sorted({*range(max(0, below - edge), below), *range(above, min(above + edge, len(scores)))})
+            out[number, cell] = (base, scores[near], lows[near], counts[near])
+    return out
 
 
-def _donor_places(pool: DataFrame, wanting: DataFrame, donors: int) -> DataFrame:
-    """For each different prediction of recipients: the tied donors that fill its places, nearest first.
+def _drawn_numbers(asked: np.ndarray, ties: tuple, place: np.ndarray, tie: np.ndarray, places: int) -> np.ndarray:
+    """The donor each recipient draws, as its number in the cell.
 
-    ``_ties`` holds at most ``2 * donors`` ranges as (low, n, upto), ``upto``
-    counting the donors of the ranges so far; ``_total`` counts all.
+    The tied donors nearest to the prediction fill the ``places`` in order of distance; ``place``
+    chooses one of the places, ``tie`` a donor of the range that holds it.
     """
-    cell = ["_stratum", "imp"]
-    ties = pool.groupBy(*cell, "_score").agg(F.min("_number").alias("_low"), F.count(F.lit(1)).alias("_n"))
-    asked = wanting.select(*cell, "_score").distinct()
-    none = F.lit(None).cast("long")
-    marks = ties.withColumn("_is_tie", F.lit(1)).unionByName(
-        asked.select(*cell, "_score", none.alias("_low"), none.alias("_n"), F.lit(0).alias("_is_tie"))
-    )
-    ranked = cut_lineage(
-        running_total(marks, ["_score", "_is_tie"], cell, weight=F.col("_is_tie"), out="_rank")
-    )
-    near = F.explode(F.sequence(F.col("_rank") - (donors - 1), F.col("_rank") + donors)).alias("_rank")
-    met = ranked.where("_is_tie = 0").select(*cell, F.col("_score").alias("_target"), near).join(
-        ranked.where("_is_tie = 1").drop("_is_tie"), [*cell, "_rank"]
-    )
-    distance = F.abs(F.col("_score") - F.col("_target")).alias("d")
-    sorted_ties = F.array_sort(F.collect_list(F.struct(distance, "_rank", F.col("_low").alias("low"), F.col("_n").alias("n"))))
-    counted = F.transform(
-        "_near",
-        lambda t, i: F.struct(
-            t["low"].alias("low"), t["n"].alias("n"),
-            F.aggregate(F.slice("_near", F.lit(1), i + 1), F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("upto"),
-        ),
-    )
-    out = cut_lineage(
-        met.groupBy(*cell, "_target").agg(sorted_ties.alias("_near")).select(
-            *cell, F.col("_target").alias("_score"), counted.alias("_ties"),
-            F.aggregate("_near", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("_total"),
-        )
-    )
-    discard(ranked)
-    return out
+    scores, lows, counts = ties
+    near = np.searchsorted(scores, asked, "left")[:, None] + np.arange(-places, places)
+    there = (near >= 0) & (near < len(scores))
+    near = np.where(there, near, 0)
+    order = np.argsort(np.where(there, np.abs(scores[near] - asked[:, None]), np.inf), axis=1, kind="stable")
+    near, there = np.take_along_axis(near, order, 1), np.take_along_axis(there, order, 1)
+    upto = np.cumsum(np.where(there, counts[near], 0), axis=1)
+    chosen = near[np.arange(len(near)), np.argmax(upto > (place % np.minimum(places, upto[:, -1]))[:, None], axis=1)]
+    return lows[chosen] + tie % counts[chosen]
+
+
+def _matching(around: dict, seeds: Sequence, target: str, columns: Sequence[str], places: int):
+    """Task function: the rows with gaps of a slice, with new values where the donor drawn lies in the
+    same slice, else with the donor's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _Slice(batches)
+        if not part.pieces:
+            return
+        source = np.arange(part.table.num_rows)
+        number, away = np.zeros(len(source), dtype=np.int64), np.zeros(len(source), dtype=bool)
+        for at, end, place in part.pieces:
+            base, scores, lows, counts = around[place]
+            donors, own, firsts, sizes = part.ties(at, end)
+            if len(own):
+                # an outermost tie may go on in another slice
+                left, right = scores < own[0], scores > own[-1]
+                firsts = firsts + base + 1
+                for end_ in (0, -1):
+                    same = np.flatnonzero(scores == own[end_])
+                    if len(same):
+                        firsts[end_], sizes[end_] = lows[same[0]], counts[same[0]]
+                scores, lows, counts = (
+                    np.concatenate([c[left], o, c[right]]) for c, o in ((scores, own), (lows, firsts), (counts, sizes))
+                )
+            rows = at + np.flatnonzero(part.asks[at:end])
+            for some in np.array_split(rows, len(rows) // PIECE + 1):
+                texts = part.table["_text"].take(pa.array(some)).to_pylist()
+                hashes = (_hash_numbers(texts, *seeds, *parts) for parts in ((), ("tie",)))
+                drawn = _drawn_numbers(part.score[some], (scores, lows, counts), *hashes, places)
+                here = (drawn > base) & (drawn <= base + len(donors))
+                source[some[here]] = donors[drawn[here] - base - 1]
+                number[some], away[some] = drawn, ~here
+        partial = np.flatnonzero(part.table["_partial"].to_numpy())
+        kept = part.table.select([*columns, "_cell"]).take(pa.array(partial))
+        kept = kept.set_column(columns.index(target), target, part.table[target].take(pa.array(source[partial])))
+        yield from kept.append_column("_number", pa.array(number[partial], mask=~away[partial])).to_batches(1 << 16)
 
+    return run
 
-def _matched_values(
-    donors: DataFrame, wanting: DataFrame, key: str, target: str, seed: int, cycle: int, places: int
-) -> DataFrame:
-    """New values of the missing cells of one variable, written: ``imp, key, value``."""
-    cell = ["_stratum", "imp"]
-    pool = cut_lineage(
-        running_total(_near_recipients(donors, wanting, places), ["_score", "_id"], cell, out="_number").select(
-            *cell, "_number", "_score", "_value"
-        )
-    )
-    ranges = _donor_places(pool, wanting, places)
-    draw = lambda *parts: hash_number(F.lit(seed), F.lit(cycle), F.lit(target), *parts, F.col("imp"), F.col("_id"))
-    place = F.pmod(draw(), F.least(F.lit(places), F.col("_total")))
-    tie = F.filter("_ties", lambda t: t["upto"] > place)[0]
-    out = cut_lineage(
-        wanting.join(ranges, [*cell, "_score"])
-        .withColumn("_tie", tie)
-        .select(*cell, "_id", (F.col("_tie.low") + F.pmod(draw(F.lit("tie")), F.col("_tie.n"))).alias("_number"))
-        .join(pool.drop("_score"), [*cell, "_number"])
-        .select("imp", F.col("_id").alias(key), "_value")
+
+def _outer_donors(sliced: DataFrame, edges: list, places: int) -> DataFrame:
+    """The donors of outermost ties, the only ones that other slices draw from."""
+    edge = places + 1
+    bounds = [
+        (r["_slice"], r["_cell"], r["scores"][min(edge, len(r["scores"])) - 1], r["scores"][-min(edge, len(r["scores"]))])
+        for r in edges if r["scores"]
+    ]
+    few = local_table(sliced.sparkSession, bounds, "_slice int, _cell int, _head double, _tail double")
+    outer = (F.col("_score") <= F.col("_head")) | (F.col("_score") >= F.col("_tail"))
+    return sliced.where("not _asks").join(F.broadcast(few), ["_slice", "_cell"]).where(outer)
+
+
+def _donor_numbers(around: dict, sizes: dict, heads: dict, target: str):
+    """Task function: the outermost donors of the pieces of a slice, with their numbers in the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _Slice(batches)
+        for at, end, place in part.pieces:
+            numbers = around[place][0] + 1 + np.arange(end - at)
+            numbers[part.score[at:end] > heads[place]] += sizes[place] - (end - at)
+            table = part.table.select(["_cell", target]).slice(at, end - at)
+            yield from table.append_column("_number", pa.array(numbers)).to_batches(1 << 16)
+
+    return run
+
+
+def _matched(scored: DataFrame, columns: Sequence[str], key: str, target: str, seeds: Sequence, slices: int, places: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows with gaps after the matching of one variable, and the files they lie in.
+
+    ``scored`` has those rows, and those without gaps as donors, with ``_cell``, ``_score``,
+    ``_asks`` and ``_partial``. They are sorted once, range partitioned down to the id, so tied
+    donors of any number spread over slices.
+    """
+    order = ["_cell", "_score", "_asks", key]
+    sliced = (
+        scored.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+        .withColumn("_slice", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     )
-    for spent in (pool, ranges):
-        discard(spent)
-    return out
+    try:
+        place = ["_slice", "_cell", "_score", "_asks"]
+        edges = sliced.select(*place).mapInArrow(_edges(places), EDGE_SCHEMA).collect()
+        around = _surroundings(edges, places)
+        text = F.concat_ws("|", F.col("imp").cast("string"), F.col(key).cast("string"))
+        drawing = sliced.select("*", F.when(F.col("_asks"), text).alias("_text"))
+        kept = StructType([*(sliced.schema[c] for c in columns), sliced.schema["_cell"], StructField("_number", LongType())])
+        moved = cut_lineage(drawing.mapInArrow(_matching(around, seeds, target, columns, places), kept))
+        away = moved.where(F.col("_number").isNotNull())
+        done = moved.where(F.col("_number").isNull()).select(*columns)
+        if away.isEmpty():
+            return done, [moved]
+        given = StructType([sliced.schema["_cell"], sliced.schema[target], StructField("_number", LongType())])
+        sizes = {(r["_slice"], r["_cell"]): r["n"] for r in edges}
+        heads = {(r["_slice"], r["_cell"]): r["scores"][min(places + 1, len(r["scores"])) - 1] for r in edges if r["scores"]}
+        outer = _outer_donors(sliced.select(*place, target), edges, places).select(*place, target)
+        numbered = outer.mapInArrow(_donor_numbers(around, sizes, heads, target), given)
+        fetched = cut_lineage(numbered.join(broadcast_if_small(away.drop(target)), ["_cell", "_number"]).select(*columns))
+        return done.unionByName(fetched), [moved, fetched]
+    finally:
+        sliced.unpersist()
 
 
 def impute_strata(df: DataFrame, key: str, plan: ImputationPlan, strata: str, **options) -> Imputation:
@@ -366,17 +469,17 @@ def impute_chained(
     complete, partial = rows.where(whole), rows.where(~whole)
     each = F.explode(F.array(*[F.lit(c) for c in copies])).alias("imp")
     state = partial.withColumns({f"_missing_{t}": F.col(t).isNull() for t in targets}).select(each, "*")
-    starts = [_start_values(rows, key, t, copies, seed) for t in targets]
-    for t, values in zip(targets, starts):
-        state = _filled(state, values, key, t)
+    for t in targets:
+        state = _started(state, rows, key, t, seed)
     state = cut_lineage(state)
+    files = [state]
+    slices = math.ceil(sum(f["_rows"] for f in filled) * len(copies) / SLICE_ROWS)
     fixed = _products(complete.withColumn("_cell", F.col("_stratum")), plan)
     equations, cell = plan.matrix(), F.col("_stratum") * len(copies) + F.array_position(F.array(*[F.lit(c) for c in copies]), F.col("imp")) - 1
     log, left_out = [], []
     for cycle in range(1, cycles + 1):
-        now, fresh = state, []
-        for order, t in enumerate(targets):
-            moving = _products(now.where(~F.col(f"_missing_{t}")).withColumn("_cell", cell), plan)
+        for t in targets:
+            moving = _products(state.where(~F.col(f"_missing_{t}")).withColumn("_cell", cell), plan)
             solved = []
             for s, name in names.items():
                 for i, imp in enumerate(copies):
@@ -384,15 +487,11 @@ def impute_chained(
                     fit, draw, out = draw_coefficients(total, *equations[t], seed, cycle, t, imp, name)
                     solved.append((s, imp, fit.tolist(), draw.tolist()))
                     left_out += [(str(name), imp, cycle, t, plan.features()[c][1]) for c in out]
-            values = _step(plan, complete, now, solved, key, t, seed, cycle, donors)
-            now = _filled(now, values, key, t)
-            fresh.append(values)
-        before, state = state, cut_lineage(now)
-        for spent in (before, *fresh):
-            discard(spent)
+            scored = _scored(plan, complete, state, solved, key, t).withColumn("_cell", cell.cast("int"))
+            before, (state, files) = files, _matched(scored, state.columns, key, t, (seed, cycle, t), slices, donors)
+            for spent in before:
+                discard(spent)
         log += _trace_rows(state, plan, cycle, names if strata else None)
-    for spent in starts:
-        discard(spent)
     spark = df.sparkSession
     trace = local_table(spark, log, "cycle int, imp int, " + ("stratum string, " if strata else "") + "variable string, n_imputed long, mean double, sd double")
     dropped = local_table(spark, left_out, "stratum string, imp int, cycle int, variable string, predictor string")
@@ -400,28 +499,28 @@ def impute_chained(
     return Imputation(completed, original, trace, dropped)
 
 
-def _step(
-    plan: ImputationPlan, complete: DataFrame, now: DataFrame, solved: list[tuple], key: str, target: str, seed: int, cycle: int, donors: int
-) -> DataFrame:
-    """New values of one variable in all strata and copies, from the solved equations."""
+def _scored(plan: ImputationPlan, complete: DataFrame, state: DataFrame, solved: list[tuple], key: str, target: str) -> DataFrame:
+    """Donors and recipients of one variable in all strata and copies, with their predictions.
+
+    Rows with gaps keep all columns, since the next state is made of them; the others are donors only.
+    """
     # a row of 2p numbers per stratum and copy
     coefficients = F.broadcast(
-        local_table(now.sparkSession, solved, "_stratum int, imp int, _fit array<double>, _draw array<double>")
+        local_table(state.sparkSession, solved, "_stratum int, imp int, _fit array<double>, _draw array<double>")
     )
     used = sorted({i for _, _, fit, draw in solved for i in range(len(fit)) if fit[i] or draw[i]})
     columns = [c for _, _, c in plan.features()]
-    score = lambda b: sum((columns[i] * F.get(F.col(b), F.lit(i)) for i in used), F.lit(0.0)).alias("_score")
-    given = lambda df, on: df.join(coefficients, on).select(
-        "_stratum", "imp", F.col(key).alias("_id"), score("_fit"), F.col(target).alias("_value")
+    score = lambda b: sum((columns[i] * F.get(F.col(b), F.lit(i)) for i in used), F.lit(0.0))
+    needed = ("imp", "_stratum", key, target)
+    given = complete.join(coefficients, "_stratum").select(
+        *[F.col(c) if c in needed else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in state.columns],
+        score("_fit").alias("_score"), F.lit(False).alias("_asks"), F.lit(False).alias("_partial"),
     )
-    both = ["_stratum", "imp"]
-    pool = given(complete, "_stratum").unionByName(given(now.where(~F.col(f"_missing_{target}")), both))
-    wanting = cut_lineage(
-        now.where(f"`_missing_{target}`").join(coefficients, both).select(*both, F.col(key).alias("_id"), score("_draw"))
+    asks = F.col(f"_missing_{target}")
+    moving = state.join(coefficients, ["_stratum", "imp"]).select(
+        *state.columns, F.when(asks, score("_draw")).otherwise(score("_fit")).alias("_score"), asks.alias("_asks"), F.lit(True).alias("_partial")
     )
-    out = _matched_values(pool, wanting, key, target, seed, cycle, donors)
-    discard(wanting)
-    return out
+    return given.unionByName(moving)
 
 
 def _trace_rows(state: DataFrame, plan: ImputationPlan, cycle: int, names: dict[int, object] | None) -> list[tuple]:
