@@ -222,6 +222,8 @@ def stratum_sizes(people: DataFrame, keys: list[str], case: str = "case") -> Dat
 
 # Children of a block of consecutive numbers, as a power of two.
 FAN_BITS = 3
+# Level of the leaves: blocks of so few numbers that their controls are looked at one by one.
+LEAF = 2
 
 
 def overlap_counts(
@@ -257,11 +259,11 @@ def overlap_counts(
     )
 
 
-def _prefix_blocks(upto: Column, levels: int) -> Column:
-    """The blocks that make up the numbers 1..upto, as structs ``_level``, ``_block``."""
+def _prefix_blocks(upto: Column, levels: Sequence[int]) -> Column:
+    """The blocks of ``levels`` among those that make up the numbers 1..upto, as structs ``_level``, ``_block``."""
     at = lambda level: lambda b: F.struct(F.lit(level).cast("int").alias("_level"), b.alias("_block"))
     parts = []
-    for level in range(levels):
+    for level in levels:
         digit = F.shiftright(upto, level * FAN_BITS).bitwiseAND(F.lit((1 << FAN_BITS) - 1).cast("long"))
         first = F.shiftleft(F.shiftright(upto, (level + 1) * FAN_BITS), FAN_BITS)
         blocks = F.when(digit > 0, F.sequence(first, first + digit - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -269,19 +271,38 @@ def _prefix_blocks(upto: Column, levels: int) -> Column:
     return F.concat(*parts)
 
 
+def _leaves(controls: DataFrame, cell: list[str]) -> DataFrame:
+    """The controls of every leaf, in order of their number: at most 8^``LEAF`` numbers in a row."""
+    members = F.array_sort(F.collect_list(F.struct("_number", "_from", "_to")))
+    leaf = F.shiftright(F.col("_number") - 1, LEAF * FAN_BITS).alias("_leaf")
+    return cut_lineage(controls.groupBy(*cell, leaf).agg(members.alias("_members")))
+
+
+def _overlapping_members() -> Column:
+    """Numbers of a leaf's controls that overlap the window of the row, in order."""
+    meets = lambda m: (m["_from"] <= F.col("_to")) & (m["_to"] >= F.col("_from"))
+    return F.transform(F.filter("_members", meets), lambda m: m["_number"])
+
+
+def _of_block(numbers: Column) -> Column:
+    """Those of ``numbers`` that lie in the block of the row."""
+    return F.filter(numbers, lambda n: F.call_function("shiftright", n - 1, F.col("_level") * FAN_BITS) == F.col("_block"))
+
+
 def sample_overlapping(
     people: DataFrame, rules: MatchRules, start: str, end: str, k: int = 10, seed: int = 42
 ) -> DataFrame:
     """As ``sample_controls``, and the windows of case and control must overlap.
 
     The follow-up test bounds a prefix of the numbered cell as before. The prefix is
-    a few blocks of numbers, and how many controls overlap in each is counted
-    (``overlap_counts``), so a case's number of candidates is known exactly and a
-    case without any is settled there. ``k`` different ranks below it are drawn, and
-    each is followed down its block, into the child that holds it by the counts of
-    the children, to one control. Work is ``k`` times the depth per case, whatever
-    share of the cell overlaps. A window that is null or ends before it starts
-    overlaps nothing. Gives ``case_id, control_id, control_rank``.
+    a few blocks of numbers, and how many controls overlap in each is counted, in
+    blocks from a leaf on by ``overlap_counts``, in smaller ones by looking at the
+    leaf. So a case's number of candidates is known exactly and a case without any is
+    settled there. ``k`` different ranks below it are drawn, and each is followed
+    down its block, into the child that holds it by the counts of the children, to a
+    leaf and there to one control. Work is ``k`` times the depth and a leaf per case,
+    whatever share of the cell overlaps. A window that is null or ends before it
+    starts overlaps nothing. Gives ``case_id, control_id, control_rank``.
     """
     people = _kept(people, rules, start, end)
     numbered = _numbered(people, rules)
@@ -300,13 +321,21 @@ def sample_overlapping(
         F.struct(F.lit(False).alias("_own"), (F.col("n_eligible") + F.when(F.col("_self").isNotNull(), 1).otherwise(0)).alias("_upto")),
         F.struct(F.lit(True).alias("_own"), F.coalesce(F.col("_self") - 1, F.lit(0)).alias("_upto")),
     )
-    parts = cut_lineage(
-        cases.select(*cell, "_id", "_from", "_to", F.inline(prefixes))
-        .select("*", F.inline(_prefix_blocks(F.col("_upto"), levels)))
+    starts = cases.select(*cell, "_id", "_from", "_to", F.inline(prefixes))
+    leaves = _leaves(controls, cell)
+    sized = (
+        starts.withColumn("_leaf", F.shiftright("_upto", LEAF * FAN_BITS))
+        .join(leaves, [*cell, "_leaf"])
+        .select(*starts.columns, _overlapping_members().alias("_met"), F.inline(_prefix_blocks(F.col("_upto"), range(LEAF))))
+        .withColumn("_n", F.size(_of_block(F.col("_met"))).cast("long"))
+        .drop("_met")
     )
-    asked = parts.select(*cell, "_id", "_from", "_to", "_level", "_block").distinct()
-    counts = cut_lineage(overlap_counts(controls, asked, cell, range(levels)))
-    sized = cut_lineage(parts.join(counts, ["_id", "_level", "_block"]).where(F.col("_n") > 0))
+    if levels > LEAF:
+        parts = cut_lineage(starts.select("*", F.inline(_prefix_blocks(F.col("_upto"), range(LEAF, levels)))))
+        asked = parts.select(*cell, "_id", "_from", "_to", "_level", "_block").distinct()
+        counts = cut_lineage(overlap_counts(controls, asked, cell, range(LEAF, levels)))
+        sized = sized.unionByName(parts.join(counts, ["_id", "_level", "_block"]))
+    sized = cut_lineage(sized.where(F.col("_n") > 0))
     totals = sized.groupBy("_id").agg(
         F.sum(F.when(F.col("_own"), F.lit(0)).otherwise(F.col("_n"))).alias("_all"), F.sum(F.when(F.col("_own"), F.col("_n")).otherwise(0)).alias("_before")
     )
@@ -319,17 +348,23 @@ def sample_overlapping(
     )
     along = Window.partitionBy("_id").orderBy(F.call_function("shiftleft", F.col("_block"), F.col("_level") * FAN_BITS))
     placed = sized.where(~F.col("_own")).withColumn("_upto", F.sum("_n").over(along))
-    # a case has at most seven blocks per level, and k draws
+    # a case has at most seven blocks per level, and k draws; items end in leaves or below
     items = cut_lineage(
         drawn.join(placed, "_id")
         .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
         .select(*cell, "_id", "_from", "_to", "_draw", "_level", "_block", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
     )
-    for level in range(levels - 1, 0, -1):
+    for level in range(levels - 1, LEAF, -1):
         before, items = items, cut_lineage(_one_level_down(controls, items, cell, level))
         discard(before)
     order = hash_number(F.lit(seed), F.col("_id"), F.lit("rank"), F.col("_draw"))
-    found = items.withColumn("_number", F.col("_block") + 1).join(controls.select(*cell, "_number", "control_id"), [*cell, "_number"])
+    reached = items.withColumn("_leaf", F.call_function("shiftright", F.col("_block"), (LEAF - F.col("_level")) * FAN_BITS)).join(
+        leaves, [*cell, "_leaf"]
+    )
+    chosen = F.get(_of_block(_overlapping_members()), (F.col("_rank") - 1).cast("int"))
+    found = reached.select(*cell, "_id", "_draw", chosen.alias("_number")).join(
+        controls.select(*cell, "_number", "control_id"), [*cell, "_number"]
+    )
     ranked = F.row_number().over(Window.partitionBy("_id").orderBy(order, "_draw"))
     return found.select(F.col("_id").alias("case_id"), "control_id", ranked.alias("control_rank"))
 

@@ -59,3 +59,21 @@ def test_subsets_are_even_own_row_is_left_out_and_bad_windows_overlap_nothing(sp
     every = M.sample_overlapping(df.where("person_id < 102"), M.MatchRules(exact=("kind",)), "start", "end", k=1000)
     assert {(r.case_id, r.control_id) for r in every.collect()} == {(c, o) for c in (100, 101) for o in (*range(6), 100, 101) if o != c}
     assert M.sample_overlapping(df.where("case = 0"), RULES, "start", "end").isEmpty()
+
+
+def test_blocks_below_a_leaf_are_looked_at_and_not_counted(spark, monkeypatch):
+    rng = random.Random(5)
+    window = lambda: sorted((rng.randrange(40), rng.randrange(40)))
+    people = [(i, 0, "ab"[i % 2], rng.randrange(50), *window()) for i in range(700)] + [(2000, 0, "c", 9, 0, 9)]
+    cases = [(5000 + i, 1, "abc"[i % 3], rng.randrange(50), *window()) for i in range(40)]
+    levels = []
+    counts = M.overlap_counts
+    monkeypatch.setattr(M, "overlap_counts", lambda c, asked, cell, at: levels.extend(at) or counts(c, asked, cell, at))
+    df = spark.createDataFrame(people + cases, SCHEMA)
+    got = {(r.case_id, r.control_id) for r in M.sample_overlapping(df, RULES, "start", "end", k=1000).collect()}
+    want = {
+        (c[0], p[0]) for c in cases for p in people
+        if p[2] == c[2] and p[3] >= c[3] and p[4] <= c[5] and p[5] >= c[4]
+    }
+    assert got == want
+    assert levels and min(levels) >= 2  # below, a running count per level of every control and every draw
