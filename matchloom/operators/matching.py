@@ -278,15 +278,10 @@ def _leaves(controls: DataFrame, cell: list[str]) -> DataFrame:
     return cut_lineage(controls.groupBy(*cell, leaf).agg(members.alias("_members")))
 
 
-def _overlapping_members() -> Column:
-    """Numbers of a leaf's controls that overlap the window of the row, in order."""
-    meets = lambda m: (m["_from"] <= F.col("_to")) & (m["_to"] >= F.col("_from"))
-    return F.transform(F.filter("_members", meets), lambda m: m["_number"])
-
-
-def _of_block(numbers: Column) -> Column:
-    """Those of ``numbers`` that lie in the block of the row."""
-    return F.filter(numbers, lambda n: F.call_function("shiftright", n - 1, F.col("_level") * FAN_BITS) == F.col("_block"))
+def _bounds() -> list[Column]:
+    """The numbers of the row's block are those above ``_low``, up to ``_high``."""
+    at = lambda block: F.call_function("shiftleft", block, F.col("_level") * FAN_BITS)
+    return [at(F.col("_block")).alias("_low"), at(F.col("_block") + 1).alias("_high")]
 
 
 def sample_overlapping(
@@ -323,12 +318,17 @@ def sample_overlapping(
     )
     starts = cases.select(*cell, "_id", "_from", "_to", F.inline(prefixes))
     leaves = _leaves(controls, cell)
+    meets = lambda m: (m["_from"] <= F.col("_to")) & (m["_to"] >= F.col("_from"))
+    inside = lambda n: (n > F.col("_low")) & (n <= F.col("_high"))
+    met = starts.withColumn("_leaf", F.shiftright("_upto", LEAF * FAN_BITS)).join(leaves, [*cell, "_leaf"]).select(
+        *starts.columns, F.transform(F.filter("_members", meets), lambda m: m["_number"]).alias("_met")
+    )
+    # bounds come out of a generator, so that they are not worked out for every member
     sized = (
-        starts.withColumn("_leaf", F.shiftright("_upto", LEAF * FAN_BITS))
-        .join(leaves, [*cell, "_leaf"])
-        .select(*starts.columns, _overlapping_members().alias("_met"), F.inline(_prefix_blocks(F.col("_upto"), range(LEAF))))
-        .withColumn("_n", F.size(_of_block(F.col("_met"))).cast("long"))
-        .drop("_met")
+        met.select("*", F.inline(_prefix_blocks(F.col("_upto"), range(LEAF))))
+        .select("*", F.inline(F.array(F.struct(*_bounds()))))
+        .withColumn("_n", F.size(F.filter("_met", inside)).cast("long"))
+        .drop("_met", "_low", "_high")
     )
     if levels > LEAF:
         parts = cut_lineage(starts.select("*", F.inline(_prefix_blocks(F.col("_upto"), range(LEAF, levels)))))
@@ -358,10 +358,10 @@ def sample_overlapping(
         before, items = items, cut_lineage(_one_level_down(controls, items, cell, level))
         discard(before)
     order = hash_number(F.lit(seed), F.col("_id"), F.lit("rank"), F.col("_draw"))
-    reached = items.withColumn("_leaf", F.call_function("shiftright", F.col("_block"), (LEAF - F.col("_level")) * FAN_BITS)).join(
-        leaves, [*cell, "_leaf"]
-    )
-    chosen = F.get(_of_block(_overlapping_members()), (F.col("_rank") - 1).cast("int"))
+    leaf = F.call_function("shiftright", F.col("_block"), (LEAF - F.col("_level")) * FAN_BITS).alias("_leaf")
+    reached = items.select("*", leaf, *_bounds()).join(leaves, [*cell, "_leaf"])
+    fitting = F.filter("_members", lambda m: meets(m) & inside(m["_number"]))
+    chosen = F.get(fitting, (F.col("_rank") - 1).cast("int"))["_number"]
     found = reached.select(*cell, "_id", "_draw", chosen.alias("_number")).join(
         controls.select(*cell, "_number", "control_id"), [*cell, "_number"]
     )
